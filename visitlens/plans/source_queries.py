@@ -15,8 +15,8 @@ from visitlens.sources import readers, samples, writers
 
 AS_OF = samples.AS_OF
 
-# Hex digits of an id that name its file in ``read_identities``.
-DIGITS = 1
+# Records per JSON array in the files of ``read_identities``.
+ARRAY_RECORDS = 2000
 
 # Batches of users ending in 9 are malformed in every third block of ids.
 BROKEN = "user_id % 10 = 9 and (event_id - event_id % 300) % 1000 = 300"
@@ -62,10 +62,10 @@ def read_identities(spark, folder):
         F.col("last_name").alias("lastName"), "company", F.col("campaign_id").alias("campaignId"),
         F.col("campaign_name").alias("campaignName"), F.unix_millis("created_at").alias("createdAt"),
         F.unix_millis("expires_at").alias("expiresAt")))
-    # One JSON array per file. The leading hex digits of the id choose it; with
-    # more leads, raise DIGITS to keep the arrays short.
-    (identities(spark, folder)
-     .groupBy(F.substring("short_id", 1, DIGITS).alias("_p"))
+    # One JSON array per file, of about ARRAY_RECORDS records however many there are.
+    made = identities(spark, folder)
+    files = made.count() // ARRAY_RECORDS + 1
+    (made.groupBy(F.pmod(F.xxhash64("short_id"), F.lit(files)).alias("_p"))
      .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
      .select("value").write.option("maxRecordsPerFile", 1).text(path))
     return readers.read_identities(spark, path).drop("visitor_id", "sequence_step")
