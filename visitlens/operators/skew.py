@@ -74,7 +74,7 @@ class RunningMax:
 
 @dataclass
 class Trailing:
-    """Array of the non-null values of the last ``n`` rows before this one."""
+    """Array of the values of the last ``n`` rows before this one; no nulls."""
     value: Column
     n: int
 
@@ -180,8 +180,7 @@ def _carried(hot_rows: DataFrame, keys: list[str], order: list[str],
                     .groupBy(*parts)
                     .agg(F.sort_array(F.collect_list(F.struct(
                         place.alias("p"), F.col(f"_in_{name}").alias("v")))).alias("_t"))
-                    .withColumn(f"_sum_{name}", F.filter(
-                        F.transform("_t", lambda e: e["v"]), lambda v: v.isNotNull()))
+                    .withColumn(f"_sum_{name}", F.transform("_t", lambda e: e["v"]))
                     .drop("_t"))
             same = summary["_slice"] == tail["_slice"]
             for k in keys:
@@ -222,14 +221,14 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str,
     else:
         facts = _mark_hot(facts, [key], hot)
         table = _mark_hot(table, [key], hot)
-        parts = F.coalesce(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(1)).cast("int")
+        parts = F.coalesce(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(1)).cast("long")
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS)))
     if hot is None:
         salted = table.withColumn("_salt", F.lit(0).cast("long"))
         salt = salt.otherwise(F.lit(0))
     else:
         salted = table.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), parts - 1)).cast("long")).drop("_n")
+            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n")
         salt = salt.otherwise(F.pmod(F.xxhash64(spread_by), parts))
     facts = facts.withColumn("_salt", salt.cast("long")).drop("_n")
     return facts.join(salted, [key, "_salt"], how).drop("_salt")
