@@ -16,6 +16,8 @@ def spark():
     session = (SparkSession.builder.master("local[*]").appName("visitlens-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.driver.memory", "6g")
+               # Small inputs: compiling plans would take longer than running them.
+               .config("spark.sql.codegen.wholeStage", "false")
                .config("spark.ui.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from visitlens.operators import campaigns, sessions
+from visitlens.operators import campaigns, enrich, sessions
 from visitlens.plans import catalog, flows
 from visitlens.sources import readers, samples, writers
 
@@ -73,3 +73,15 @@ def test_sessions_keep_every_event(spark, sample_dir):
     cut = sessions.sessionize(ev)
     rolled = sessions.session_rollup(cut, ["visitor_id", "session_number"])
     assert rolled.agg(F.sum("events")).first()[0] == ev.count()
+
+
+def test_enriched_payload_keeps_its_fields(spark):
+    rows = [('{"a":{"b":1}} ', 'x"y'), ("{ }", "s"), (None, "s"), ('{"a":1}', None), ("", "s")]
+    df = spark.createDataFrame(rows, "data string, session_id string").withColumns({
+        "raw_type": F.lit("pageview"), "url": F.lit("::bad::"), "referrer": F.lit(None).cast("string"),
+        "ip_address": F.lit(None).cast("string")})
+    out = enrich.enrich_events(df).collect()
+    assert [r.data and json.loads(r.data) for r in out] == [
+        {"a": {"b": 1}, "_originalSessionId": 'x"y'}, {"_originalSessionId": "s"},
+        {"_originalSessionId": "s"}, {"a": 1}, ""]
+    assert not any(r.url_ok for r in out) and {r.path for r in out} == {None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitlens.functions.scalars import email_domain, filled
+from visitlens.functions.scalars import bound, email_domain, filled
 
 # Address pattern and mailbox providers counted as personal.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -78,11 +78,12 @@ def scrubbed_fields(fields: Column) -> Column:
         plain = F.array(F.struct(key.alias("key"), F.substring(value, 1, 100).alias("value")))
         return F.when(holds_email(key, value), hashed).otherwise(plain)
 
-    entries = F.flatten(F.transform(F.map_entries(fields), one))
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + F.lit(2), F.greatest(F.size(entries), F.lit(1))),
-        lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    def last_ones(entries: Column) -> Column:
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(
+            F.slice(entries, i + F.lit(2), F.greatest(F.size(entries), F.lit(1))),
+            lambda later: later["key"] == e["key"])))
+
+    return bound(F.flatten(F.transform(F.map_entries(fields), one)), last_ones)
 
 
 def holds_email(key: Column, value: Column) -> Column:

@@ -44,6 +44,20 @@ def payload(data: Column, field: str) -> Column:
     return F.get_json_object(data, f"$.{field}")
 
 
+def payload_struct(data: Column, schema: str) -> Column:
+    """Several payload fields in one parse, for jobs that need more than two."""
+    return F.from_json(data, schema)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A column used inside a lambda is otherwise computed again for every
+    element the lambda runs on.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def payload_number(data: Column, field: str) -> Column:
     return payload(data, field).try_cast("double")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitlens.functions.scalars import filled
+from visitlens.functions.scalars import bound, filled
 
 # Campaign parameters stored with an event, and the further ones
 # a page view carries.
@@ -49,21 +49,31 @@ def query_text(url: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """Percent and plus decoding; malformed escapes are left as they are."""
-    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+    return F.when(text.contains("%"), F.coalesce(
+        F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))).otherwise(
+        F.replace(text, F.lit("+"), F.lit(" ")))
 
 
 def url_params(url: Column) -> Column:
     """Query parameters as a map. A repeated key keeps its last value."""
+    def entry(piece: Column) -> Column:
+        key = F.substring_index(piece, "=", 1)
+        return F.struct(decoded(key).alias("key"),
+                        decoded(F.substr(piece, F.length(key) + 2)).alias("value"))
+
+    def last_ones(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: ~F.exists(
+            F.slice(entries, i + F.lit(2), F.size(entries)),
+            lambda later: later["key"] == e["key"]))
+
+    def as_map(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+        once = F.size(F.array_distinct(keys)) == F.size(entries)
+        return F.when(F.size(entries) > 0, F.map_from_entries(
+            F.when(once, entries).otherwise(last_ones(entries))))
+
     pieces = F.filter(F.split(query_text(url), "&"), lambda p: p != "")
-    entries = F.transform(pieces, lambda p: F.struct(
-        decoded(F.substring_index(p, "=", 1)).alias("key"),
-        F.when(F.instr(p, "=") > 0, decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)))
-        .otherwise(F.lit("")).alias("value"),
-    ))
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + F.lit(2), F.greatest(F.size(entries), F.lit(1))),
-        lambda later: later["key"] == e["key"]))
-    return F.when(F.size(entries) > 0, F.map_from_entries(last))
+    return F.when(url.contains("?"), bound(F.transform(pieces, entry), as_map))
 
 
 def param(params: Column, name: str) -> Column:

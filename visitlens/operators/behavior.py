@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from visitlens.functions.scalars import payload, payload_number
 from visitlens.operators.sessions import ORDER
 from visitlens.operators.skew import (
-    HOT_ROWS, Following, Previous, RunningMax, RunningSum, Trailing, along, heavy_keys)
+    HOT_ROWS, Following, Hot, Previous, RunningMax, RunningSum, Trailing, along, heavy_keys)
 
 # Length of the page history, scroll and video marks, click rule.
 HISTORY_PAGES = 20
@@ -68,7 +68,7 @@ def device_history(events: DataFrame, key: str = "visitor_id", device: str = "de
     return _devices(known, key, device, heavy_keys(known, [key], hot_rows))
 
 
-def _devices(known: DataFrame, key: str, device: str, hot: DataFrame | None) -> DataFrame:
+def _devices(known: DataFrame, key: str, device: str, hot: Hot | None) -> DataFrame:
     firsts = (known.groupBy(key, device).agg(F.min(F.struct(*ORDER)).alias("_f"))
               .select(key, device, "_f.ts", "_f.event_id"))
     return along(firsts, [key], ORDER, {"device_no": RunningSum(F.lit(1))}, hot)

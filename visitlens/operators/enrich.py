@@ -28,23 +28,24 @@ def enrich_events(df: DataFrame) -> DataFrame:
     session_id, ts``; other columns pass through. ``data`` gains the original
     session id, which the store's own session key replaces.
     """
-    out = (typed(df)
-           .withColumns({"url_ok": urls.is_url(F.col("url")),
-                         "_params": urls.url_params(F.col("url"))}))
+    # The map is a column of its own, so each address is parsed once.
+    out = typed(df).withColumns({"url_ok": urls.is_url(F.col("url")),
+                                 "_params": urls.url_params(F.col("url"))})
     # Adding one field to JSON text is a splice; no need to parse the payload.
-    body = F.when(F.col("data").rlike(r"^\s*\{\s*\}\s*$") | filled(F.col("data")).isNull(),
-                  F.lit("{")).otherwise(
-        F.concat(F.regexp_replace("data", r"\s*\}\s*$", ""), F.lit(",")))
+    text = F.trim(F.coalesce("data", F.lit("{}")))
+    inside = F.trim(F.substr(text, F.lit(2), F.length(text) - 2))
+    session = F.to_json(F.struct(F.col("session_id").alias("s")))
+    field = F.concat(F.lit('"_originalSessionId":'), F.substr(session, F.lit(6)))
+    spliced = F.when(F.col("session_id").isNull() | ~text.startswith("{"), F.col("data")).when(
+        inside == "", F.concat(F.lit("{"), field)).otherwise(
+        F.concat(F.lit("{"), inside, F.lit(","), field))
     columns = {
         "path": urls.path(F.col("url")),
         "company_identifier": ev.company_identifier(F.col("ip_address")),
         "url_parms": F.to_json("_params"),
         "campaign_id": ev.valid_uuid(payload(F.col("data"), "campaign_id")),
         "message_id": ev.valid_uuid(payload(F.col("data"), "message_id")),
-        "data": F.when(F.col("session_id").isNull(), F.col("data")).otherwise(F.concat(
-            body, F.lit('"_originalSessionId":'),
-            F.regexp_extract(F.to_json(F.struct(F.col("session_id").alias("s"))),
-                             r'^\{"s":(.*)\}$', 1), F.lit("}"))),
+        "data": spliced,
     }
     for name in urls.STORED_CAMPAIGN_PARAMS:
         columns[name] = urls.param(F.col("_params"), name)
@@ -59,9 +60,8 @@ def url_params(df: DataFrame) -> DataFrame:
 
 def utm_fields(df: DataFrame) -> DataFrame:
     """Campaign parameters a page view carries, and whether it has any."""
-    out = df.withColumn("_params", urls.url_params(F.col("url")))
-    found = [urls.param(F.col("_params"), n).alias(n) for n in urls.PAGE_VIEW_CAMPAIGN_PARAMS]
-    out = out.select("event_id", *found)
+    out = df.withColumn("_params", urls.url_params(F.col("url"))).select(
+        "event_id", *[urls.param(F.col("_params"), n).alias(n) for n in urls.PAGE_VIEW_CAMPAIGN_PARAMS])
     return out.withColumn("has_utm", F.coalesce(
         *[F.col(n) for n in urls.PAGE_VIEW_CAMPAIGN_PARAMS]).isNotNull())
 

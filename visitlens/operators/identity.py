@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions import emails
-from visitlens.functions.scalars import as_ts, email_domain, filled, payload
+from visitlens.functions.scalars import (
+    as_ts, email_domain, filled, first_filled, payload, payload_struct)
 from visitlens.operators.skew import HOT_ROWS, lookup
+from visitlens.session import enable_checkpoints
 
 HASH_KINDS = ["sha256", "sha1", "md5"]
 
+# Payload fields that say who sent an event.
+SIGNAL_FIELDS = (
+    "tracking_id string, deviceFingerprint string, browserId string, firstName string,"
+    " lastName string, email string, emailHash string, sha256 string, sha1 string, md5 string,"
+    " emails array<struct<email: string, sha256: string, hash: string, sha1: string, md5: string>>")
+
 
 def batch_identity_signal(events: DataFrame) -> DataFrame:
     """What a batch says about its sender.
@@ -19,25 +27,25 @@ def batch_identity_signal(events: DataFrame) -> DataFrame:
     The address comes from the first event that has one, in clear or in a
     browser scan, with the hashes sent beside it.
     """
-    data = F.col("data")
-    clear = payload(data, "email")
-    scanned = F.when(F.col("type") == "browser_emails_scanned", payload(data, "emails[0].email"))
+    p = payload_struct(F.col("data"), SIGNAL_FIELDS)
+    scan = F.get(F.col("_p.emails"), 0)
+    clear = F.col("_p.email")
+    scanned = F.when(F.col("type") == "browser_emails_scanned", scan["email"])
     address = F.when(clear.contains("@"), F.struct(
         clear.alias("email"),
-        F.coalesce(filled(payload(data, "emailHash")), filled(payload(data, "sha256"))).alias("sha256"),
-        payload(data, "sha1").alias("sha1"), payload(data, "md5").alias("md5"))
+        first_filled(F.col("_p.emailHash"), F.col("_p.sha256")).alias("sha256"),
+        F.col("_p.sha1").alias("sha1"), F.col("_p.md5").alias("md5"))
     ).when(scanned.contains("@"), F.struct(
-        scanned.alias("email"),
-        F.coalesce(filled(payload(data, "emails[0].sha256")),
-                   filled(payload(data, "emails[0].hash"))).alias("sha256"),
-        payload(data, "emails[0].sha1").alias("sha1"), payload(data, "emails[0].md5").alias("md5")))
-    slim = events.select("batch_id", "pos", "ts", address.alias("_a"), F.struct(
-        filled(F.col("visitor_id")).alias("visitor_id"),
-        filled(payload(data, "tracking_id")).alias("tracking_id"),
-        payload(data, "deviceFingerprint").alias("device_fingerprint"),
-        filled(payload(data, "browserId")).alias("browser_id"),
-        payload(data, "firstName").alias("first_name"),
-        payload(data, "lastName").alias("last_name")).alias("_s"))
+        scanned.alias("email"), first_filled(scan["sha256"], scan["hash"]).alias("sha256"),
+        scan["sha1"].alias("sha1"), scan["md5"].alias("md5")))
+    slim = events.select("batch_id", "pos", "ts", "type", "visitor_id", p.alias("_p")).select(
+        "batch_id", "pos", "ts", address.alias("_a"), F.struct(
+            filled(F.col("visitor_id")).alias("visitor_id"),
+            filled(F.col("_p.tracking_id")).alias("tracking_id"),
+            F.col("_p.deviceFingerprint").alias("device_fingerprint"),
+            filled(F.col("_p.browserId")).alias("browser_id"),
+            F.col("_p.firstName").alias("first_name"),
+            F.col("_p.lastName").alias("last_name")).alias("_s"))
     out = slim.groupBy("batch_id").agg(
         F.min_by("_s", "pos").alias("_s"), F.min("ts").alias("ts"),
         F.min_by("_a", F.when(F.col("_a").isNotNull(), F.col("pos"))).alias("_a"))
@@ -156,8 +164,15 @@ def batch_owners(signals: DataFrame, leads: DataFrame, visitors: DataFrame,
 
 def assign_owner(events: DataFrame, leads: DataFrame, visitors: DataFrame,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Stamp every event with its batch's owner."""
-    owners = batch_owners(batch_identity_signal(events), leads, visitors, hot_rows)
+    """Stamp every event with its batch's owner.
+
+    Signals, one row per batch, are used by several joins and their counts, so
+    they are written once by ``checkpoint()`` instead of being derived from the
+    events each time.
+    """
+    enable_checkpoints(events.sparkSession)
+    signals = batch_identity_signal(events).checkpoint()
+    owners = batch_owners(signals, leads, visitors, hot_rows)
     return lookup(events, owners, "batch_id", "event_id", hot_rows=hot_rows)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import scores
 from visitlens.functions.scalars import as_ts, payload_number
+from visitlens.operators.skew import lookup
 
 
 def company_activity(events: DataFrame) -> DataFrame:
@@ -67,14 +68,15 @@ def campaign_performance(members: DataFrame, clicks: DataFrame, profiles: DataFr
 
     ``clicks`` is ``tracking_id, clicks``; ``profiles`` has ``tracking_id,
     intent_score``. Members are reduced to one row per campaign and recipient
-    first, and both lookups are unique per recipient.
+    first; clicks and score are unique per recipient, so one salted lookup
+    serves a recipient who is in very many campaigns.
     """
     recipients = (members.filter(F.col("tracking_id").isNotNull())
                   .select("campaign_id", "campaign_name", "tracking_id").distinct())
     high = (high_intent_leads(profiles).select("tracking_id").distinct()
             .withColumn("_high", F.lit(1)))
-    per_recipient = (recipients.join(clicks, "tracking_id", "left")
-                     .join(high, "tracking_id", "left"))
+    per_recipient = lookup(recipients, clicks.join(high, "tracking_id", "full"), "tracking_id",
+                           "campaign_id")
     out = per_recipient.groupBy("campaign_id", "campaign_name").agg(
         F.count(F.lit(1)).alias("total_recipients"),
         F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import urls
 from visitlens.functions.scores import engagement_points
-from visitlens.functions.scalars import filled, payload, payload_number
+from visitlens.functions.scalars import filled, payload, payload_struct
 from visitlens.operators.skew import (
     HOT_ROWS, Previous, RunningSum, along, heavy_keys, lookup)
 
@@ -71,15 +71,15 @@ def session_rollup(events: DataFrame, keys: list[str]) -> DataFrame:
     def of_type(name: str) -> Column:
         return F.count_if(F.col("type") == name)
 
-    data = F.col("data")
-    video = F.when(F.col("type") == "video_watched", F.coalesce(
-        filled(payload(data, "videoId")), filled(payload(data, "src"))))
     place = F.struct(*ORDER)
     slim = events.select(
         *keys, "ts", "event_id", "type", "url", "country", "user_agent",
-        F.greatest(payload_number(data, "depth"), payload_number(data, "maxScrollDepth")).alias("_depth"),
-        F.when(F.col("type") == "page_exit", payload_number(data, "activeTime")).alias("_active"),
-        video.alias("_video"))
+        payload_struct(F.col("data"), "depth double, maxScrollDepth double, activeTime double,"
+                       " videoId string, src string").alias("_p")).select(
+        "*", F.greatest("_p.depth", "_p.maxScrollDepth").alias("_depth"),
+        F.when(F.col("type") == "page_exit", F.col("_p.activeTime")).alias("_active"),
+        F.when(F.col("type") == "video_watched", F.coalesce(
+            filled(F.col("_p.videoId")), filled(F.col("_p.src")))).alias("_video"))
     out = slim.groupBy(*keys).agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
         F.min_by("url", place).alias("first_page"), F.max_by("url", place).alias("last_page"),
@@ -117,11 +117,10 @@ def first_touch(events: DataFrame, key: str = "visitor_id") -> DataFrame:
              .agg(F.min_by(F.struct("ts", "url", "referrer", "country"),
                            F.struct(*ORDER)).alias("_f")))
     # Only the winning row's address is parsed.
-    out = first.select(key, "_f.*").withColumn("_params", urls.url_params(F.col("url")))
-    found = [urls.param(F.col("_params"), n).alias(n) for n in urls.STORED_CAMPAIGN_PARAMS]
-    return out.select(key, F.col("ts").alias("first_seen_at"), F.col("url").alias("first_page"),
-                      filled(F.col("referrer")).alias("first_referrer"),
-                      filled(F.col("country")).alias("country"), *found)
+    return first.select(key, "_f.*").withColumn("_params", urls.url_params(F.col("url"))).select(
+        key, F.col("ts").alias("first_seen_at"), F.col("url").alias("first_page"),
+        filled(F.col("referrer")).alias("first_referrer"), filled(F.col("country")).alias("country"),
+        *[urls.param(F.col("_params"), n).alias(n) for n in urls.STORED_CAMPAIGN_PARAMS])
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:

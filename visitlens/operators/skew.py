@@ -21,30 +21,40 @@ from pyspark.sql import Window as W
 HOT_ROWS = 2_000_000
 SLICE_SECONDS = 3600
 NULL_SALTS = 512
+BROADCAST_KEYS = 100_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` rows and their row count, or None.
+@dataclass
+class Hot:
+    """Hot keys with their row counts ``_n``, and how many keys there are."""
+    keys: DataFrame
+    count: int
+
+
+def heavy_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Hot | None:
+    """Keys with at least ``hot_rows`` rows, or None when there are none.
 
-    The result has at most ``rows / hot_rows`` rows: 100,000 for 2e11 events.
-    That bound is what makes broadcasting it safe.
+    There are at most ``rows / hot_rows`` of them: 100,000 for 2e11 events.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counted.agg(F.max("_n")).first()[0]
-    if largest is None or largest < hot_rows:
-        return None
-    return counted.filter(F.col("_n") >= hot_rows)
+    found = counted.agg(F.count_if(F.col("_n") >= hot_rows)).first()[0]
+    return Hot(counted.filter(F.col("_n") >= hot_rows), found) if found else None
 
 
-def _mark_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Add ``_n``: the row count of a hot key, null for the rest."""
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n")
+def _mark_hot(df: DataFrame, keys: list[str], hot: Hot) -> DataFrame:
+    """Add ``_n``: the row count of a hot key, null for the rest.
+
+    The keys are broadcast while their counted number is small; beyond that the
+    join is left to the planner.
+    """
+    renamed = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n")
+    if hot.count <= BROADCAST_KEYS:
+        renamed = F.broadcast(renamed)
     match = None
     for k in keys:
         same = df[k].eqNullSafe(renamed[f"_hot_{k}"])
         match = same if match is None else match & same
-    return (df.join(F.broadcast(renamed), match, "left")
-            .drop(*[f"_hot_{k}" for k in keys]))
+    return df.join(renamed, match, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
 @dataclass
@@ -80,7 +90,7 @@ class Trailing:
 
 
 def along(df: DataFrame, keys: list[str], order: list[str], steps: dict[str, object],
-          hot: DataFrame | None = None, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+          hot: Hot | None = None, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Add columns computed along each key's rows in order.
 
     ``order[0]`` is the timestamp; the other columns break ties. ``hot`` comes

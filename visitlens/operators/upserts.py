@@ -139,10 +139,12 @@ def merge_touched(old: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFram
     return old.join(fresh, keys, "left_anti").unionByName(fresh.select(*old.columns))
 
 
-def delete_lead(table: DataFrame, deleted: DataFrame, key: str = "lead_id") -> DataFrame:
+def delete_lead(table: DataFrame, deleted: DataFrame, key: str = "lead_id",
+                spread_by: str = "event_id") -> DataFrame:
     """A table without the rows of deleted leads; use on leads and events alike.
 
-    A left-anti join is planned like any other: a short list is broadcast when
-    its measured size allows. Rows without a lead are kept.
+    Rows without a lead are kept. They, and those of a hot lead, are spread by
+    another column of the table.
     """
-    return table.join(deleted.select(key).distinct(), key, "left_anti")
+    gone = deleted.select(key).filter(F.col(key).isNotNull()).distinct()
+    return lookup(table, gone, key, spread_by, how="left_anti")

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.functions.scalars import filled, payload
+from visitlens.functions.scalars import filled, payload_struct
 from visitlens.operators import campaigns, enrich, identity, profiles, sessions
 from visitlens.sources import writers
 
 
 def with_devices(events: DataFrame) -> DataFrame:
-    """Device and browser columns out of the payload."""
-    return events.withColumns({
-        "device_fingerprint": filled(payload(F.col("data"), "deviceFingerprint")),
-        "browser_id": filled(payload(F.col("data"), "browserId")),
-        "tracking_id": filled(payload(F.col("data"), "tracking_id")),
-    })
+    """Device and browser columns out of the payload, in one parse."""
+    fields = payload_struct(
+        F.col("data"), "deviceFingerprint string, browserId string, tracking_id string")
+    return events.withColumn("_p", fields).withColumns({
+        "device_fingerprint": filled(F.col("_p.deviceFingerprint")),
+        "browser_id": filled(F.col("_p.browserId")),
+        "tracking_id": filled(F.col("_p.tracking_id")),
+    }).drop("_p")
 
 
 def ingest(raw: DataFrame, leads: DataFrame, visitors: DataFrame) -> DataFrame:

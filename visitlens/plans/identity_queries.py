@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from visitlens.operators import campaigns, enrich, identity, stitching, upserts
-from visitlens.plans.catalog import events, query
+from visitlens.operators import campaigns, enrich, identity, sessions, stitching, upserts
+from visitlens.operators.skew import lookup
+from visitlens.plans.catalog import events, query, raw_events
 from visitlens.plans.event_queries import STATUS_SQL
 from visitlens.plans.profile_queries import CLICKS_SQL, CONTACT, PROFILES_SQL, profile_table
+from visitlens.session import enable_checkpoints
 from visitlens.sources import samples, writers
 
 AS_OF = samples.AS_OF
 
+
+
+def raw_typed(spark, folder):
+    return enrich.typed(raw_events(spark, folder))
+
+
 SIGNALS_SQL = """
     select batch_id, min(ts) as ts,
         coalesce(arg_min_null(visitor_id, pos), arg_min_null(browser_id, pos), arg_min(device_fingerprint, pos))
@@ -23,7 +31,7 @@ SIGNALS_SQL = """
 
 
 def signals(spark, folder):
-    return identity.batch_identity_signal(events(spark, folder))
+    return identity.batch_identity_signal(raw_typed(spark, folder))
 
 
 @query("batch_identity_signal", SIGNALS_SQL)
@@ -89,12 +97,13 @@ OWNERS_SQL = f"""
 
 @query("batch_owners", OWNERS_SQL)
 def batch_owners(spark, folder):
-    return identity.batch_owners(signals(spark, folder), samples.leads(spark, folder),
+    enable_checkpoints(spark)
+    return identity.batch_owners(signals(spark, folder).checkpoint(), samples.leads(spark, folder),
                                  samples.web_visitors(spark, folder))
 
 
 def owned_events(spark, folder):
-    return identity.assign_owner(events(spark, folder), samples.leads(spark, folder),
+    return identity.assign_owner(raw_typed(spark, folder), samples.leads(spark, folder),
                                  samples.web_visitors(spark, folder))
 
 
@@ -377,13 +386,11 @@ MERGED_SQL = """
 
 
 def _totals_merge(spark, folder, key: str):
-    from visitlens.operators import sessions
-
     ev = events(spark, folder).filter(F.col(key).isNotNull())
     cut = F.lit(samples.CUT).cast("timestamp")
     old = sessions.visitor_totals(ev.filter(F.col("ts") < cut), key)
     touched = ev.filter(F.col("ts") >= cut).select(key).distinct()
-    fresh = sessions.visitor_totals(ev.join(touched, key, "left_semi"), key)
+    fresh = sessions.visitor_totals(lookup(ev, touched, key, "event_id", how="left_semi"), key)
     return upserts.merge_touched(old, fresh, [key])
 
 

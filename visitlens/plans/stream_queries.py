@@ -114,7 +114,7 @@ RAGE_DELAY_SECONDS = 1
         select user_id, event_id, make_timestamp(cast(floor(epoch_us(ts) / {COMPRESS}) as bigint)) as ts,
             row_number() over (partition by user_id order by ts, event_id) as n
         from te where type = 'click'),
-    mark as (select epoch_ms(max(ts)) - {RAGE_DELAY_SECONDS * 1000} as at from c),
+    mark as (select epoch_us(max(ts)) - {RAGE_DELAY_SECONDS * 1_000_000} as us from c),
     cand as (
         select *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts, 4) over (partition by user_id order by n)) < 2000, false) as near
         from c),
@@ -126,15 +126,15 @@ RAGE_DELAY_SECONDS = 1
             case when w.blocked > 0 then w.blocked - 1 when x.near then 4 else 0 end
         from walk w join cand x on x.user_id = w.user_id and x.n = w.n + 1)
     select 'u' || cast(user_id as varchar) as session_id, event_id, ts from walk, mark
-    where hit and epoch_ms(ts) <= mark.at""")
+    where hit and epoch_us(ts) <= mark.us""")
 def stream_rage_clicks(spark, folder):
     ev = events(spark, folder).select(
         "event_id", "type", F.concat(F.lit("u"), F.regexp_extract("session_id", "s([0-9]+)-", 1)).alias("person"),
         F.timestamp_micros(F.floor(F.unix_micros("ts") / COMPRESS)).alias("ts"))
     out = new_folder(spark, "stream-rage")
-    finished(jobs.stream_rage_clicks(as_stream(spark, ev, step=2), out, "person",
-                                     f"{RAGE_DELAY_SECONDS} second"))
-    return spark.read.parquet(f"{out}/out")
+    finished(jobs.stream_rage_clicks(as_stream(spark, ev, step=2), out, "person", RAGE_DELAY_SECONDS))
+    return (spark.read.schema(jobs.RAGE_LOG).parquet(f"{out}/out").filter("kind = 'hit'")
+            .select("session_id", "event_id", "ts"))
 
 
 @query("stream_identity", """

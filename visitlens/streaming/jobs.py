@@ -12,22 +12,24 @@ counts twice, and no stored table is rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from visitlens.functions import scores
 from visitlens.functions.scalars import filled, payload
 from visitlens.operators import enrich
-from visitlens.operators.behavior import RAGE_CLICKS, RAGE_MILLIS
+from visitlens.operators.behavior import RAGE_MILLIS, rage_clicks
 
 NOW = {"availableNow": True}
 
+RAGE_LOG = T.StructType([
+    T.StructField("session_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType())])
+
 
 def _append(df: DataFrame, folder: str, trigger: dict | None) -> StreamingQuery:
     return (df.writeStream.format("parquet").outputMode("append")
@@ -46,14 +48,15 @@ def _log(df: DataFrame, folder: str, part: Callable[[DataFrame, int], DataFrame]
             .trigger(**(trigger or NOW)).start())
 
 
-def _earlier(batch: DataFrame, folder: str, n: int, schema: T.StructType) -> DataFrame:
-    """What the log holds from batches before ``n``."""
+def _earlier(batch: DataFrame, folder: str, n: int, schema: T.StructType,
+             only: int | None = None) -> DataFrame:
+    """What the log holds from the batches before ``n``, or from one of them."""
     spark = batch.sparkSession
     if n == 0:
         return spark.createDataFrame([], schema)
     stored = T.StructType(schema.fields + [T.StructField("batch", T.IntegerType())])
-    return (spark.read.schema(stored).parquet(f"{folder}/out")
-            .filter(F.col("batch") < n).drop("batch"))
+    wanted = F.col("batch") < n if only is None else F.col("batch") == only
+    return spark.read.schema(stored).parquet(f"{folder}/out").filter(wanted).drop("batch")
 
 
 def stream_ingest(raw: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
@@ -124,48 +127,48 @@ def stream_recent_leads(events: DataFrame, folder: str, length: str = "10 minute
     return _append(out, folder, trigger)
 
 
-def _rage(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session's clicks: hold them until the watermark passes, then count.
-
-    State is the clicks not yet passed and the recent ones already counted.
+def stream_rage_clicks(events: DataFrame, folder: str, key: str = "session_id",
+                       delay_seconds: int = 3600, trigger: dict | None = None) -> StreamingQuery:
+    """The fifth click inside two seconds, whatever order clicks arrive in.
+
+    A click is judged once the greatest time seen is ``delay_seconds`` ahead of
+    it; clicks arriving later than that are dropped. The log holds, per batch:
+    ``hit`` rows; ``open`` rows, the clicks the next batch starts from; and one
+    ``mark`` row, the time up to which clicks were judged. Open are the clicks
+    not judged yet, and judged ones after a session's last hit that are under
+    two seconds older than the mark: fewer than five per session. As counting
+    starts anew after a hit, nothing else has to be remembered, and hits come
+    from the batch operator, which splits a hot session over tasks.
     """
-    waiting, recent = state.get if state.exists else ([], [])
-    waiting = list(waiting)
-    for chunk in chunks:
-        waiting.extend(zip(chunk["us"].tolist(), chunk["event_id"].tolist()))
-    mark = state.getCurrentWatermarkMs()
-    waiting = sorted((int(t), int(e)) for t, e in waiting)
-    ready = [c for c in waiting if c[0] // 1000 <= mark]
-    waiting = waiting[len(ready):]
-    recent, hits = [int(t) for t in recent], []
-    for us, event in ready:
-        ms = us // 1000
-        recent = [t for t in recent if ms - t < RAGE_MILLIS] + [ms]
-        if len(recent) >= RAGE_CLICKS:
-            hits.append((key[0], event, us))
-            recent = []
-    recent = [t for t in recent if mark - t < RAGE_MILLIS]
-    if waiting or recent:
-        state.update((waiting, recent))
-        soonest = waiting[0][0] // 1000 if waiting else recent[-1] + RAGE_MILLIS
-        state.setTimeoutTimestamp(max(soonest, mark + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(hits, columns=["session_id", "event_id", "us"])
+    clicks = events.filter((F.col("type") == "click") & F.col(key).isNotNull()).select(
+        F.col(key).alias("session_id"), "ts", "event_id", "type")
 
-
-def stream_rage_clicks(events: DataFrame, folder: str, key: str = "session_id",
-                       delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
-    """The fifth click inside two seconds, whatever order clicks arrive in."""
-    clicks = (events.filter((F.col("type") == "click") & F.col(key).isNotNull())
-              .withWatermark("ts", delay)
-              .select(F.col(key).alias("session_id"), "ts", "event_id", F.unix_micros("ts").alias("us")))
-    hits = clicks.groupBy("session_id").applyInPandasWithState(
-        _rage, "session_id string, event_id long, us long",
-        "waiting array<struct<us: long, event_id: long>>, recent array<long>",
-        "append", GroupStateTimeout.EventTimeTimeout)
-    return _append(hits.select("session_id", "event_id", F.timestamp_micros("us").alias("ts")),
-                   folder, trigger)
+    def part(batch: DataFrame, n: int) -> DataFrame:
+        before = _earlier(batch, folder, n, RAGE_LOG, only=n - 1)
+        old_mark = before.filter("kind = 'mark'").select("ts").first()
+        old_mark = F.lit(old_mark[0] if old_mark else None).cast("timestamp")
+        fresh = batch.filter(old_mark.isNull() | (F.col("ts") > old_mark))
+        rows = before.filter("kind = 'open'").select(
+            "session_id", "ts", "event_id", F.lit("click").alias("type")).unionByName(fresh)
+        newest = fresh.agg(F.max("ts")).first()[0]
+        mark = F.greatest(old_mark, F.timestamp_micros(
+            F.unix_micros(F.lit(newest).cast("timestamp")) - delay_seconds * 1_000_000))
+        judged = rows.filter(F.col("ts") <= mark)
+        hits = rage_clicks(judged, "session_id")
+        last = hits.groupBy("session_id").agg(F.max(F.struct("ts", "event_id")).alias("_last"))
+        recent = judged.filter(
+            F.unix_millis("ts") > F.unix_millis(mark) - RAGE_MILLIS).join(last, "session_id", "left")
+        open_ = rows.filter(mark.isNull() | (F.col("ts") > mark)).unionByName(
+            recent.filter(F.col("_last").isNull() | (F.struct("ts", "event_id") > F.col("_last")))
+            .drop("_last"))
+        marked = batch.sparkSession.range(1).select(
+            F.lit(None).cast("string").alias("session_id"), mark.alias("ts"),
+            F.lit(None).cast("long").alias("event_id"), F.lit("mark").alias("kind"))
+        return (hits.select("session_id", "ts", "event_id", F.lit("hit").alias("kind"))
+                .unionByName(open_.select("session_id", "ts", "event_id", F.lit("open").alias("kind")))
+                .unionByName(marked))
+
+    return _log(clicks, folder, part, trigger)
 
 
 def stream_identity(events: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
