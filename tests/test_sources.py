@@ -85,3 +85,15 @@ def test_enriched_payload_keeps_its_fields(spark):
         {"a": {"b": 1}, "_originalSessionId": 'x"y'}, {"_originalSessionId": "s"},
         {"_originalSessionId": "s"}, {"a": 1}, ""]
     assert not any(r.url_ok for r in out) and {r.path for r in out} == {None}
+
+
+def test_period_prunes_days(spark, sample_dir, tmp_path):
+    from visitlens.operators import profiles
+
+    ev = catalog.events(spark, sample_dir)
+    ev.withColumn("event_date", F.to_date("ts")).write.partitionBy("event_date").parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    out = profiles.visitor_behavior(stored, "2024-01-20", days=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "(event_date" in plan and ">= 2024-01-17" in plan.split("PartitionFilters:")[1]
+    assert sorted(out.collect()) == sorted(profiles.visitor_behavior(ev, "2024-01-20", days=3).collect())

@@ -46,6 +46,11 @@ def emails_in(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(every, normal_email)), is_email)
 
 
+def may_hold_email(text: Column) -> Column:
+    """False when no pass of :func:`emails_in` can find anything."""
+    return text.contains("@") | text.contains("%40") | text.contains("\\u0040")
+
+
 def sha256_of(email: Column) -> Column:
     return F.sha2(normal_email(email), 256)
 

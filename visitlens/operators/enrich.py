@@ -162,8 +162,11 @@ def scrub_form_fields(df: DataFrame, fields: str = "fields") -> DataFrame:
 
 
 def extract_emails(texts: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """Addresses in a text column: ``source, row_id, email``, one row each."""
-    return texts.filter(F.col(text).isNotNull()).select(
+    """Addresses in a text column: ``source, row_id, email``, one row each.
+
+    Every address has an ``@``, plain or escaped; other texts need no search.
+    """
+    return texts.filter(emails.may_hold_email(F.col(text))).select(
         F.lit(source).alias("source"), F.col(id_col).cast("string").alias("row_id"),
         F.explode(emails.emails_in(F.col(text))).alias("email"))
 

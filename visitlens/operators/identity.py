@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import emails
 from visitlens.functions.scalars import (
-    as_ts, email_domain, filled, first_filled, payload, payload_struct)
+    email_domain, filled, first_filled, payload, payload_struct)
+from visitlens.operators.periods import before, in_period
 from visitlens.operators.skew import HOT_ROWS, lookup
 from visitlens.session import enable_checkpoints
 
@@ -178,7 +179,7 @@ def assign_owner(events: DataFrame, leads: DataFrame, visitors: DataFrame,
 
 def leads_to_sync(leads: DataFrame, events: DataFrame, as_of, minutes: int = 10) -> DataFrame:
     """Leads with a tracking id that changed or had events lately."""
-    since = F.timestamp_micros(F.unix_micros(as_ts(as_of)) - minutes * 60_000_000)
+    since = before(as_of, minutes=minutes)
     tracked = leads.filter(F.col("tracking_id").isNotNull())
     recent = tracked.filter(F.col("updated_at") >= since)
     seen = tracked.join(active_lead_ids(events, since), "lead_id", "left_semi")
@@ -186,7 +187,7 @@ def leads_to_sync(leads: DataFrame, events: DataFrame, as_of, minutes: int = 10)
 
 
 def active_lead_ids(events: DataFrame, since: Column) -> DataFrame:
-    return (events.filter((F.col("ts") >= since) & F.col("lead_id").isNotNull())
+    return (in_period(events, since).filter(F.col("lead_id").isNotNull())
             .select("lead_id").distinct())
 
 
@@ -201,8 +202,7 @@ def sync_candidates(leads: DataFrame, events: DataFrame, as_of, days: int = 90)
 
     A recent change of behaviour is an event, so it is covered by "ever seen".
     """
-    since = F.timestamp_micros(F.unix_micros(as_ts(as_of)) - days * 86_400_000_000)
-    added = leads.filter(F.col("created_at") >= since)
+    added = leads.filter(F.col("created_at") >= before(as_of, days=days))
     ids = (events.filter(F.col("visitor_id").isNotNull())
            .select(F.col("visitor_id").alias("tracking_id")).distinct())
     visited = leads.join(ids, "tracking_id", "left_semi").select(*leads.columns)

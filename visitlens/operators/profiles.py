@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from visitlens.functions import emails, events as ev, scores
-from visitlens.functions.scalars import as_ts, email_domain, filled, payload_number
+from visitlens.functions.scalars import email_domain, filled, payload_number
 from visitlens.operators import enrich
+from visitlens.operators.periods import before, in_period
 
 CAMPAIGNS_SERVED = 5
 
@@ -20,9 +21,7 @@ def visitor_behavior(events: DataFrame, as_of, days: int = 90, key: str = "visit
     Spark groups by visitor and the distinct value first, so even a hot
     visitor's rows are spread over its sessions and times.
     """
-    as_of = as_ts(as_of)
-    since = F.timestamp_micros(F.unix_micros(as_of) - days * 86_400_000_000)
-    rows = events.filter((F.col("ts") >= since) & (F.col("ts") <= as_of) & F.col(key).isNotNull())
+    rows = in_period(events, before(as_of, days=days), as_of).filter(F.col(key).isNotNull())
     flags = ev.page_flags(F.col("type"), F.col("url"))
     slim = rows.select(key, "session_id", "ts", (F.col("type") == "page_view").alias("_view"),
                        *[flags[n].alias(n) for n in ("viewed_pricing", "requested_demo", "submitted_form")])
@@ -141,11 +140,7 @@ def lead_profiles(leads: DataFrame, activity: DataFrame, as_of) -> DataFrame:
     return intent_score(zeroed, as_of)
 
 
-def events_until(events: DataFrame, as_of) -> DataFrame:
-    return events.filter(F.col("ts") <= as_ts(as_of))
-
-
-def hot_lead_alerts(now: DataFrame, before: DataFrame, key: str = "lead_id") -> DataFrame:
+def hot_lead_alerts(now: DataFrame, earlier: DataFrame, key: str = "lead_id") -> DataFrame:
     """Leads hot or burning now that were not at the previous run."""
-    was = (before.filter(F.col("intent_score") >= scores.HOT_SCORE).select(key))
+    was = (earlier.filter(F.col("intent_score") >= scores.HOT_SCORE).select(key))
     return now.filter(F.col("intent_score") >= scores.HOT_SCORE).join(was, key, "left_anti")

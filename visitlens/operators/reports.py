@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions import scores
-from visitlens.functions.scalars import as_ts, payload_number
+from visitlens.functions.scalars import payload_number
+from visitlens.operators.periods import before, in_period
 from visitlens.operators.skew import lookup
 
 
@@ -87,8 +88,7 @@ def campaign_performance(members: DataFrame, clicks: DataFrame, profiles: DataFr
 
 def recent_events(events: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Events of the last hours, newest first."""
-    since = F.timestamp_micros(F.unix_micros(as_ts(as_of)) - hours * 3_600_000_000)
-    return (events.filter(F.col("ts") >= since)
+    return (in_period(events, before(as_of, hours=hours))
             .orderBy(F.desc("ts"), F.desc("event_id"))
             .select("event_id", "ts", "type", "visitor_id", "url", "country"))
 
@@ -119,6 +119,5 @@ def visitor_history(events: DataFrame, visitor_id: str, n: int = 10) -> DataFram
 
 
 def leads_added_recently(leads: DataFrame, as_of, hours: int = 24, n: int = 10) -> DataFrame:
-    since = F.timestamp_micros(F.unix_micros(as_ts(as_of)) - hours * 3_600_000_000)
-    return (leads.filter((F.col("created_at") >= since) & F.col("tracking_id").isNotNull())
+    return (leads.filter((F.col("created_at") >= before(as_of, hours=hours)) & F.col("tracking_id").isNotNull())
             .orderBy(F.desc("created_at"), "lead_id").limit(n))

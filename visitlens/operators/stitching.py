@@ -31,11 +31,12 @@ def stitch_identities(links: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: in
     known = links.filter(F.col("record").isNotNull() & F.col("kind").isNotNull()
                          & F.col("value").isNotNull())
     edges = known.select(key.alias("u"), record.alias("v")).distinct().checkpoint()
+    mark = _mark(edges)
     for _ in range(max_rounds):
-        after = _small_star(_large_star(edges, hot_rows), hot_rows).checkpoint()
-        if _same(edges, after):
+        edges = _small_star(_large_star(edges, hot_rows), hot_rows).checkpoint()
+        before, mark = mark, _mark(edges)
+        if before == mark:
             break
-        edges = after
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     groups = edges.filter(F.col("u").startswith("0")).select(
@@ -46,12 +47,9 @@ def stitch_identities(links: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: in
             .select("record", F.coalesce("group_id", "record").alias("group_id")))
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Equality of two edge sets by count and an order-free sum of hashes."""
-    def mark(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    return mark(a) == mark(b)
+def _mark(edges: DataFrame) -> tuple:
+    """Count and order-free hash sum; equal for equal edge sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:

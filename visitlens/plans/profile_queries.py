@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from visitlens.functions import scores
 from visitlens.functions.emails import contact_email
 from visitlens.operators import behavior, campaigns, enrich, identity, profiles, reports, sessions
+from visitlens.operators.periods import before, in_period
 from visitlens.plans.catalog import events, query, sql_hash32
 from visitlens.plans.flows import build_profiles
 from visitlens.sources import samples
@@ -136,7 +137,7 @@ def scored_sql(until: str = AS_OF, as_of: str = AS_OF) -> str:
 
 
 def scored_profiles(spark, folder, until: str = AS_OF, as_of: str = AS_OF):
-    seen = profiles.events_until(events(spark, folder), until)
+    seen = in_period(events(spark, folder), until=until)
     return profiles.lead_profiles(samples.leads(spark, folder), profiles.lead_activity(seen), as_of)
 
 
@@ -253,8 +254,7 @@ def intent_distribution(spark, folder):
 def active_lead_ids(spark, folder):
     owned = events(spark, folder).withColumn("lead_id", F.concat(
         F.lit("L"), F.substring("visitor_id", 2, 20)))
-    since = F.timestamp_micros(F.unix_micros(F.lit(AS_OF).cast("timestamp")) - 48 * 3_600_000_000)
-    return identity.active_lead_ids(owned, since)
+    return identity.active_lead_ids(owned, before(AS_OF, hours=48))
 
 
 @query("recent_events", f"""
@@ -322,8 +322,8 @@ HOT_SQL = f"""
 @query("hot_lead_alerts", HOT_SQL)
 def hot_lead_alerts(spark, folder):
     now = scored_profiles(spark, folder, "2024-01-04", "2024-01-04")
-    before = scored_profiles(spark, folder, "2024-01-03", "2024-01-03")
-    return profiles.hot_lead_alerts(now, before).select("lead_id", "email", "intent_score")
+    earlier = scored_profiles(spark, folder, "2024-01-03", "2024-01-03")
+    return profiles.hot_lead_alerts(now, earlier).select("lead_id", "email", "intent_score")
 
 
 @query("device_history", """
