@@ -35,19 +35,23 @@ def visitor_return_patterns(events: DataFrame, key: str = "visitor_id") -> DataF
 
 
 def content_depth(events: DataFrame, key: str = "session_id") -> DataFrame:
-    """Per session: pages, mean seconds per page, reading ratio, good exits."""
+    """Per session: pages, mean seconds per page, reading ratio, good exits.
+
+    The ratio is all reading time over all time on pages, so it does not depend
+    on the order in which rows are added up.
+    """
     data = F.col("data")
     exit_ = F.col("type") == "page_exit"
     on_page, reading, scanning = [payload_number(data, n)
                                   for n in ("totalTime", "readingTime", "scanningTime")]
     slim = events.filter(F.col(key).isNotNull() & F.col("type").isin("page_view", "page_exit")).select(
         key, exit_.alias("_exit"), F.when(exit_, on_page).alias("_total"),
-        F.when(exit_, F.when(on_page > 0, reading / on_page).otherwise(0.0)).alias("_ratio"),
+        F.when(exit_, reading).alias("_reading"),
         (exit_ & F.coalesce(reading > scanning, F.lit(False))).alias("_high"))
     out = slim.groupBy(key).agg(
         F.count_if(~F.col("_exit")).alias("pageviews"), F.count_if("_exit").alias("exits"),
         F.round(F.avg("_total"), 3).alias("mean_seconds_per_page"),
-        F.round(F.avg("_ratio"), 4).alias("mean_reading_ratio"),
+        F.round(F.sum("_reading") / F.nullif(F.sum("_total"), F.lit(0.0)), 4).alias("reading_ratio"),
         F.count_if("_high").alias("_n"))
     share = F.col("_n") / F.nullif(F.col("exits"), F.lit(0))
     return out.withColumn("high_quality_share", F.round(share, 4)).drop("_n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from visitlens.functions import emails
 from visitlens.operators import campaigns, enrich, identity, sessions, stitching, upserts
 from visitlens.operators.skew import lookup
 from visitlens.plans.catalog import events, query, raw_events
@@ -298,6 +299,19 @@ def update_email_status(spark, folder):
     return validated(spark, folder)
 
 
+# The verification round: results for the unverified leads only.
+@query("apply_email_validation", f"""
+    select lead_id, case when email_status = 'unverified' then {STATUS_SQL} else email_status end as email_status
+    from leads join validations v on lower(trim(v.email)) = {CONTACT}""")
+def apply_email_validation(spark, folder):
+    leads = samples.leads(spark, folder).withColumn("email", F.expr(CONTACT))
+    asked = leads.filter("email_status = 'unverified'").select(F.col("email").alias("_asked"))
+    results = samples.email_validations(spark, folder)
+    answered = results.join(asked, emails.normal_email(F.col("email")) == F.col("_asked"), "left_semi")
+    return upserts.update_email_status(leads, enrich.map_email_status(answered)).select(
+        "lead_id", "email_status")
+
+
 @query("upsert_web_visitors", f"""
     select coalesce(v.visitor_id, e.visitor_id) as visitor_id,
         case when v.visitor_id is null then e.d else v.device_fingerprint end as device_fingerprint,

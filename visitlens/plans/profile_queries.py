@@ -204,8 +204,8 @@ def visitor_return_patterns(spark, folder):
     select session_id, count(*) filter (type = 'page_view') as pageviews,
         count(*) filter (type = 'page_exit') as exits,
         round(avg(active_s + 30) filter (type = 'page_exit'), 3) as mean_seconds_per_page,
-        round(avg(cast(reading_s as double) / (active_s + 30)) filter (type = 'page_exit'), 4)
-            as mean_reading_ratio,
+        round(cast(sum(reading_s) filter (type = 'page_exit') as double)
+            / sum(active_s + 30) filter (type = 'page_exit'), 4) as reading_ratio,
         round(cast(count(*) filter (type = 'page_exit' and reading_s > scanning_s) as double)
             / nullif(count(*) filter (type = 'page_exit'), 0), 4) as high_quality_share
     from te where type in ('page_view', 'page_exit') group by session_id""")

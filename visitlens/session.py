@@ -28,13 +28,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) is a temporary folder made, once per session.
+    A cluster names it in ``spark.checkpoint.dir``. Only on a single machine
+    with that unset is a temporary folder made, once per session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("visitlens.scratch", None)
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or spark.conf.get("visitlens.scratch", None))
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="visitlens-")
         spark.conf.set("visitlens.scratch", folder)
     return folder
