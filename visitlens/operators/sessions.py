@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import urls
 from visitlens.functions.scores import engagement_points
-from visitlens.functions.scalars import filled, payload, payload_struct
+from visitlens.functions.scalars import filled, payload_struct
 from visitlens.operators.skew import (
     HOT_ROWS, Previous, RunningSum, along, heavy_keys, lookup)
 
@@ -26,13 +26,16 @@ def visitor_key(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Visitor id, else the session's first browser id (sent with few event types
     only), else the device fingerprint.
     """
-    browser, device = payload(F.col("data"), "browserId"), payload(F.col("data"), "deviceFingerprint")
-    per_session = (events.withColumn("_b", filled(browser))
-                   .filter(F.col("_b").isNotNull() & F.col("session_id").isNotNull())
-                   .groupBy("session_id").agg(F.min_by("_b", F.struct(*ORDER)).alias("_browser")))
-    out = lookup(events, per_session, "session_id", "event_id", hot_rows=hot_rows)
+    rows = events.withColumn("_p", payload_struct(
+        F.col("data"), "browserId string, deviceFingerprint string"))
+    browser = filled(F.col("_p.browserId"))
+    # No filter on the browser id: it would parse every payload a second time.
+    per_session = (rows.filter(F.col("session_id").isNotNull()).groupBy("session_id")
+                   .agg(F.min_by(browser, F.when(browser.isNotNull(), F.struct(*ORDER))).alias("_browser")))
+    out = lookup(rows, per_session, "session_id", "event_id", hot_rows=hot_rows)
     return (out.withColumn("visitor_key", F.coalesce(
-        filled(F.col("visitor_id")), F.col("_browser"), filled(device))).drop("_browser"))
+        filled(F.col("visitor_id")), F.col("_browser"), filled(F.col("_p.deviceFingerprint"))))
+        .drop("_browser", "_p"))
 
 
 def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, key: str = "visitor_id",
