@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,22 +26,26 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only on a single machine
-    with that unset is a temporary folder made, once per session.
+    In this order: ``spark.checkpoint.dir`` of the session, the checkpoint
+    folder already set on the context, a sub-folder of the warehouse. Each is a
+    store that the cluster shares; a machine's temporary folder is never used.
     """
     folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or spark.conf.get("visitlens.scratch", None))
+              or spark.sparkContext.getCheckpointDir())
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="visitlens-")
-        spark.conf.set("visitlens.scratch", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_visitlens"
     return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a table folder no other run uses."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` named, through Spark's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
