@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from visitlens.llm import exact_dedup, simhash
+from visitlens.llm import (
+    chat_quotes, class_lm, exact_dedup, factorisation, license_scan, packing, pieces, pii, quality_rules, simhash)
 from visitlens.llm.common import table
 from visitlens.session import configure, new_folder
 
@@ -45,6 +46,50 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"), words=3, max_bits=3)
 
 
+@query("op1_sentencepiece_nbest")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), n=4)
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "failed_bits")
+
+
+@query("op6_chat_quotes")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_quotes.conversations(table(spark, folder, "conversations"))
+
+
+@query("op7_class_lm")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, folder, "documents"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return factorisation.score(docs, factorisation.train(docs, table(spark, folder, "labels")))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
 QUERIES["pipeline"] = lambda spark, folder: corpus_pipeline.run(configure(spark), folder)
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
