@@ -56,7 +56,37 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", r"""
+    with d as (
+      select doc_id, coalesce(text, '') as text,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
+             list_filter(string_split(coalesce(text, ''), chr(10)),
+                         x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+      from documents),
+    starts as (select doc_id, words, unnest(range(1, len(words) - 1)) as i from d),
+    windows as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w from starts),
+    repeated as (select doc_id, i from windows qualify count(*) over (partition by doc_id, w) > 1),
+    places as (select doc_id, unnest([i, i + 1, i + 2]) as place from repeated),
+    covered as (select doc_id, count(distinct place) as n from places group by doc_id),
+    m as (
+      select doc_id, len(words)::bigint as n_words, length(list_aggregate(words, 'string_agg', ''))::bigint as chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+             (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines)::bigint as n_lines,
+             length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))::bigint as n_upper,
+             ((length(text) - length(replace(text, '!!', ''))) / 2)::bigint as n_exclaimed,
+             coalesce(n, 0)::bigint as n_repeat_words
+      from d left join covered using (doc_id)),
+    f as (
+      select *, coalesce(chars, 0) as word_chars,
+             (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint
+             + 4 * (10 * n_symbols > 3 * n_words)::bigint + 8 * (n_lines >= 4 and 2 * n_dup_lines > n_lines)::bigint
+             + 16 * (coalesce(chars, 0) < 2 * n_words or coalesce(chars, 0) > 20 * n_words)::bigint
+             + 32 * (n_upper > 50 and 2 * n_upper > coalesce(chars, 0))::bigint
+             + 64 * (10 * n_exclaimed > 3 * n_words)::bigint as failed_bits
+      from m)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits % 4 <> 0 as base_failed,
+           failed_bits = 0 as kept, failed_bits
+    from f""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
