@@ -53,7 +53,7 @@ def test_exchange_raises_the_class_information(spark):
     corpus = class_lm.Corpus(documents(spark, rows_), s)
 
     def information(words):
-        m = class_lm._transitions(corpus.contexts(words), s.classes)
+        m = corpus.pairs(words)
         p = m / m.sum()
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.nansum(p * np.log(p / np.outer(p.sum(1), p.sum(0))))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import mapped, staged, whole
+from visitlens.session import new_folder
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
@@ -40,8 +41,8 @@ class Settings:
 
     classes: int = 64
     rounds: int = 2
-    evidence: int = 8
-    block_tokens: int = 2_000_000
+    evidence: int = 20
+    block_tokens: int = 1_500_000
     add_transition: float = 0.1
     add_word: float = 0.5
 
@@ -76,11 +77,12 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
             out = np.array([h for _, h in texts], bool)
             taught = np.repeat(~out, lengths)
             counts = np.bincount(flat[taught], minlength=len(known))
-            yield _rows([(block, None, None, None,
-                          [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes())])
             words = list(known)
+            first = first_class(words, s.classes).astype(np.uint8).tobytes()
+            yield _rows([(block, None, None, None,
+                          [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes(), first)])
             for at in range(0, len(words), 50_000):
-                yield _rows([(block, w, i, int(counts[i]), None, None, None, None)
+                yield _rows([(block, w, i, int(counts[i]), None, None, None, None, None)
                              for i, w in enumerate(words[at:at + 50_000], at)])
             known, ids, texts = {END: 0}, [], []
 
@@ -105,10 +107,10 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 _SCHEMA = ("block bigint, word binary, local int, n bigint, doc_ids array<bigint>, held_out array<boolean>, "
-           "lengths array<bigint>, ids binary")
+           "lengths array<bigint>, ids binary, first binary")
 _ARROW = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64()),
                     ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
-                    ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+                    ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("first", pa.binary())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -147,91 +149,109 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: n
 
 
 class Corpus:
-    """The corpus in blocks, with its word counts, ready for rounds and scoring."""
+    """The corpus in blocks, with its word counts, ready for rounds and scoring.
+
+    ``words`` holds ``word, n, class`` of the words with evidence; all others stay
+    in the class of their ending, which a block works out by itself.
+    """
 
     def __init__(self, docs: DataFrame, settings: Settings):
         self.s, self.spark = settings, docs.sparkSession
-        both = staged(_blocks(docs, settings), "lm-blocks")
-        self.lists = both.filter("word is not null").select("block", "word", "local", "n")
-        self.table = "lm_texts_" + uuid.uuid4().hex[:12]
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # Written once more by block, so that joins on block never move it.
-        (both.filter("word is null").select("block", "doc_ids", "held_out", "lengths", "ids").write
-         .bucketBy(buckets, "block").format("parquet").saveAsTable(self.table))
-        self.texts = self.spark.table(self.table)
-        k = settings.classes
+        self.table = "lm_blocks_" + uuid.uuid4().hex[:12]
+        self.folder = new_folder(self.spark, "lm-blocks")
+        # Bucketed by block, so that joins on block never move the texts.
+        (_blocks(docs, settings).write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block")
+         .option("compression", "zstd").format("parquet").saveAsTable(self.table, path=self.folder))
+        rows = self.spark.table(self.table)
+        self.texts = rows.filter("word is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
+        lists = rows.filter("word is not null")
+        counts = staged(lists.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+        sizes = counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
+        self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
+        # The one join of all lists with all words. A word is in a block's list once, so none is hot.
+        strong = (F.col("n") >= settings.evidence) & (F.length("word") > 0)
+        self.known = staged(lists.select("block", "local", "word").join(counts, "word").select(
+            "block", "local", "n", F.when(strong, F.col("word")).alias("word")), "lm-known")
+        self.counts = counts
+        self.words = staged(self._first(counts.filter(strong)), "lm-words")
+
+    def _first(self, counts: DataFrame) -> DataFrame:
+        k = self.s.classes
 
         def classed(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in some:
                 got = first_class(b.column(0).to_pylist(), k).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], ["word", "n", "class"])
 
-        counts = self.lists.groupBy("word").agg(F.sum("n").alias("n"))
-        self.words = staged(mapped(counts, classed, "word binary, n bigint, class int"), "lm-words")
+        return mapped(counts.select("word", "n"), classed, "word binary, n bigint, class int")
 
-    def _joined(self, words: DataFrame) -> DataFrame:
-        """A block's texts next to its word list: counts and classes by local number."""
-        # A word is in a block's list once, so no word is hot here.
-        known = self.lists.select("block", "local", "word").join(words, "word")
-        listed = known.groupBy("block").agg(F.collect_list(F.struct("local", "n", "class")).alias("list"))
-        return self.texts.join(listed, "block")
+    def _moved(self, words: DataFrame, named: bool) -> DataFrame:
+        """Per block the local numbers and classes of its words with evidence, and with ``named`` the words."""
+        part = [F.col("local"), F.col("class"), *([F.col("word")] if named else [])]
+        return (self.known.filter("word is not null").select("block", "local", "word").join(words, "word")
+                .groupBy("block").agg(F.collect_list(F.struct(*part)).alias("moved")))
+
+    def pairs(self, words: DataFrame) -> np.ndarray:
+        """Counts of class pairs in training, summed before they are gathered (the square of the classes at most)."""
+        k = self.s.classes
+
+        def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k, np.int64)
+            for row in _single(some):
+                seq, lengths, out, classes, _ = _block(row)
+                seq = classes[seq[np.repeat(~out, lengths)]].astype(np.int64)
+                total += np.bincount(np.concatenate(([0], seq[:-1])) * k + seq, minlength=k * k) if len(seq) else 0
+            pair = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
+
+        joined = self.texts.join(self._moved(words, named=False), "block", "left")
+        rows = mapped(joined.select("ids", "lengths", "held_out", "first", "moved"), count, "pair bigint, n bigint")
+        out = np.zeros(k * k)
+        for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            out[r["pair"]] = r["n"]
+        return out.reshape(k, k)
 
     def contexts(self, words: DataFrame) -> DataFrame:
-        """Rows ``word, packed`` per block for words with evidence, and ``word`` null with class pair counts."""
-        k, evidence = self.s.classes, self.s.evidence
-        named = self.lists.select("block", "local", "word").join(words, "word")
-        listed = named.groupBy("block").agg(F.collect_list(F.struct("local", "n", "class", F.when(
-            F.col("n") >= evidence, F.col("word")).alias("word"))).alias("list"))
+        """Rows ``word, packed`` per block: numbers of class before or after (from ``classes`` up), and counts."""
+        k = self.s.classes
 
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in some:
-                for i in range(b.num_rows):
-                    yield from one(b.slice(i, 1))
-
-        def one(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            seq, lengths, out, local, n, cls, entry = _block(row)
-            size = len(local)
-            classes = np.zeros(size, np.int64)
-            classes[local] = cls
-            strong = np.zeros(size, bool)
-            strong[local] = n >= evidence
-            strong[0] = False
-            seq = seq[np.repeat(~out, lengths)]
-            before = np.concatenate(([0], seq[:-1]))
-            pairs = np.bincount(classes[before] * k + classes[seq], minlength=k * k)
-            keys = [seq[strong[seq]] * (2 * k) + classes[before[strong[seq]]],
-                    before[strong[before]] * (2 * k) + k + classes[seq[strong[before]]]]
-            key, times = np.unique(np.concatenate(keys), return_counts=True)
-            who, what = np.divmod(key, 2 * k)
-            cut = np.flatnonzero(np.diff(who, prepend=-1))
-            packed = np.stack([what, times], 1).astype("<u4")
-            ends = np.append(cut[1:], len(who))
-            words_of = entry.field("word")
-            at = np.zeros(size, np.int64)
-            at[local] = np.arange(size)
-            offsets = np.append(cut, len(who)).astype(np.int64) * 8
-            body = packed.tobytes()
-            yield _pairs(None, [pairs.astype("<i8").tobytes()])
-            for a in range(0, len(cut), 50_000):
-                z = slice(a, a + 50_000)
-                yield _pairs(words_of.take(pa.array(at[who[cut[z]]])),
-                             [body[p:q] for p, q in zip(offsets[:-1][z].tolist(), (ends[z] * 8).tolist(),
-                                                        strict=True)])
-
-        return mapped(self.texts.join(listed, "block").select("ids", "lengths", "held_out", "list"), count,
-                      "word binary, packed binary")
+            for row in _single(some):
+                seq, lengths, out, classes, entry = _block(row)
+                if entry is None or not len(entry):
+                    continue
+                seq = seq[np.repeat(~out, lengths)]
+                at = np.full(len(classes), -1, np.int32)
+                at[np.asarray(entry.field("local"))] = np.arange(len(entry), dtype=np.int32)
+                here = at[seq]
+                before = np.concatenate(([0], seq[:-1])) if len(seq) else seq
+                there = at[before]
+                key, times = np.unique(np.concatenate((
+                    here[here >= 0].astype(np.int64) * (2 * k) + classes[before[here >= 0]],
+                    there[there >= 0].astype(np.int64) * (2 * k) + k + classes[seq[there >= 0]])), return_counts=True)
+                who, what = np.divmod(key, 2 * k)
+                cut = np.flatnonzero(np.diff(who, prepend=-1))
+                body = np.stack([what, times], 1).astype("<u4").tobytes()
+                ends = np.append(cut[1:], len(who))
+                for a in range(0, len(cut), 20_000):
+                    z = slice(a, a + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [entry.field("word").take(pa.array(who[cut[z]])),
+                         pa.array([body[8 * p:8 * q] for p, q in zip(cut[z].tolist(), ends[z].tolist(), strict=True)],
+                                  pa.binary())], ["word", "packed"])
+
+        joined = self.texts.join(self._moved(words, named=True), "block")
+        return mapped(joined.select("ids", "lengths", "held_out", "first", "moved"), count, "word binary, packed binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
-        """``words`` with each word of enough evidence in its best class."""
-        k = self.s.classes
-        found = staged(self.contexts(words), "lm-contexts")
-        matrix = _transitions(found, k)
-        around = found.filter("word is not null").groupBy("word").agg(F.collect_list("packed").alias("packed"))
+        """``words`` with each word in its best class."""
+        k, matrix = self.s.classes, self.pairs(words)
+        around = self.contexts(words).groupBy("word").agg(F.collect_list("packed").alias("packed"))
 
         def move(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in some:
-                for at in range(0, b.num_rows, 5_000):
-                    part = b.slice(at, 5_000)
+                for at in range(0, b.num_rows, 2_000):
+                    part = b.slice(at, 2_000)
                     own = np.asarray(part.column(2)).astype(np.int64)
                     counts = np.zeros((len(own), 2 * k))
                     for i, lists in enumerate(part.column(3).to_pylist()):
@@ -239,83 +259,73 @@ class Corpus:
                             x = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2)
                             np.add.at(counts[i], x[:, 0], x[:, 1])
                     new = own.copy()
-                    some_ = counts.any(1) & (own > 0)
-                    if some_.any():
-                        new[some_] = best_classes(counts[some_, :k], counts[some_, k:], own[some_], matrix)
+                    seen = counts.any(1)
+                    if seen.any():
+                        new[seen] = best_classes(counts[seen, :k], counts[seen, k:], own[seen], matrix)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(new.astype(np.int32))],
                                                      ["word", "n", "class"])
 
         return staged(mapped(words.join(around, "word", "left").select("word", "n", "class", "packed"), move,
                              "word binary, n bigint, class int"), "lm-words")
 
+    def sizes(self, words: DataFrame) -> np.ndarray:
+        """Tokens and different words of each class in training; a row per class."""
+        weak = self.counts.filter((F.col("n") < self.s.evidence) | (F.length("word") == 0))
+        every = words.unionByName(self._first(weak)).filter("n > 0")
+        out = np.zeros((self.s.classes, 2))
+        for r in every.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            out[r["class"]] = r["n"], r["v"]
+        return out
+
     def score(self, words: DataFrame) -> DataFrame:
         """Scores of every text with the given classes."""
-        s, k = self.s, self.s.classes
-        # At most one row per class.
-        sizes = {r["class"]: (r["tokens"], r["types"]) for r in words.groupBy("class").agg(
-            F.sum("n").alias("tokens"), F.sum((F.col("n") > 0).cast("bigint")).alias("types")).collect()}
-        n_all, v_all = sum(t for t, _ in sizes.values()), sum(v for _, v in sizes.values())
-        in_class = np.array([sizes.get(c, (0, 0)) for c in range(k)], float).reshape(k, 2)
-        matrix = _transitions(staged(self.contexts(words).filter("word is null"), "lm-pairs"), k)
+        s, k, n_all, v_all = self.s, self.s.classes, self.tokens, self.types
+        matrix, in_class = self.pairs(words), self.sizes(words)
         step = np.log10(matrix + s.add_transition) - np.log10(matrix.sum(1, keepdims=True) + k * s.add_transition)
-        room = np.log10(np.maximum(in_class[:, 0] + s.add_word * (in_class[:, 1] + 1), 1e-9))
+        room = np.log10(in_class[:, 0] + s.add_word * (in_class[:, 1] + 1))
+        counted = self.known.groupBy("block").agg(F.collect_list(F.struct("local", "n")).alias("counted"))
 
         def score(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in some:
-                for i in range(b.num_rows):
-                    seq, lengths, out, local, n, cls, _ = _block(b.slice(i, 1))
-                    count, classes = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-                    count[local], classes[local] = n, cls
-                    base = np.log10((count + 1) / (n_all + v_all + 1))
-                    emit = np.log10(count + s.add_word) - room[classes]
-                    before = np.concatenate(([0], seq[:-1]))
-                    starts = np.cumsum(lengths) - lengths
-                    add = lambda x, starts=starts: np.add.reduceat(x, starts)
-                    model = step[classes[before], classes[seq]] + emit[seq]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(3).slice(i, 1).flatten(), pa.array(out), pa.array(lengths),
-                         pa.array(add((count[seq] > 0).astype(np.int64))),
-                         pa.array(np.full(len(lengths), n_all, np.int64)), pa.array(add(base[seq])),
-                         pa.array(add(model))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
-                                                 "base_score", "score"])
-
-        return mapped(self._joined(words).select("ids", "lengths", "held_out", "doc_ids", "list"), score,
+            for row in _single(some):
+                seq, lengths, out, classes, _ = _block(row)
+                entry = row.column(5).flatten()
+                count = np.zeros(len(classes), np.int64)
+                count[np.asarray(entry.field("local"))] = np.asarray(entry.field("n"))
+                base = np.log10((count + 1) / (n_all + v_all + 1))
+                emit = np.log10(count + s.add_word) - room[classes]
+                before = np.concatenate(([0], seq[:-1]))
+                starts = np.cumsum(lengths) - lengths
+                model = step[classes[before], classes[seq]] + emit[seq]
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(6).flatten(), pa.array(out), pa.array(lengths),
+                     pa.array(np.add.reduceat((count[seq] > 0).astype(np.int64), starts)),
+                     pa.array(np.full(len(lengths), n_all, np.int64)), pa.array(np.add.reduceat(base[seq], starts)),
+                     pa.array(np.add.reduceat(model, starts))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        joined = self.texts.join(counted, "block").join(self._moved(words, named=False), "block", "left")
+        return mapped(joined.select("ids", "lengths", "held_out", "first", "moved", "counted", "doc_ids"), score,
                       "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                       "base_score double, score double")
 
 
-def _pairs(words, packed: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.binary()) if words is None else words,
-                                       pa.array(packed, pa.binary())], ["word", "packed"])
+def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block at a time."""
+    for b in some:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1)
 
 
 def _block(row: pa.RecordBatch):
-    """One block: numbers of its tokens, lengths of its texts, their flags, and its list."""
-    at = row.schema.get_field_index
-    seq = np.frombuffer(row.column(at("ids"))[0].as_py(), np.int32).astype(np.int64)
-    lengths = np.asarray(row.column(at("lengths")).flatten())
-    out = np.asarray(row.column(at("held_out")).flatten().to_numpy(zero_copy_only=False), bool)
-    entry = row.column(at("list")).flatten()
-    local, n, cls = (np.asarray(entry.field(c)).astype(np.int64) for c in ("local", "n", "class"))
-    return seq, lengths, out, local, n, cls, entry
-
-
-def _transitions(contexts: DataFrame, k: int) -> np.ndarray:
-    """Counts of class pairs, summed before they are gathered (the square of the classes at most)."""
-    def add(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
-        for b in some:
-            for x in b.column(0):
-                total += np.frombuffer(x.as_py(), "<i8")
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
-
-    rows = mapped(contexts.filter("word is null").select("packed"), add, "pair bigint, n bigint").groupBy("pair").agg(
-        F.sum("n").alias("n")).collect()
-    out = np.zeros(k * k)
-    for r in rows:
-        out[r["pair"]] = r["n"]
-    return out.reshape(k, k)
+    """One block: numbers of its tokens, lengths of its texts, their flags, classes by number, words moved."""
+    seq = np.frombuffer(row.column(0)[0].as_py(), np.int32)
+    lengths = np.asarray(row.column(1).flatten())
+    out = np.asarray(row.column(2).flatten().to_numpy(zero_copy_only=False), bool)
+    classes = np.frombuffer(row.column(3)[0].as_py(), np.uint8).astype(np.int64)
+    entry = row.column(4).flatten() if row.column(4)[0].is_valid else None
+    if entry is not None:
+        classes[np.asarray(entry.field("local"))] = np.asarray(entry.field("class"))
+    return seq, lengths, out, classes, entry
 
 
 def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
