@@ -19,7 +19,6 @@ RAGE_MILLIS = 2000
 READING_PIXELS = 50
 SCANNING_PIXELS = 300
 
-LISTED_DEVICES = 100
 CHUNK = 10_000
 CHUNKS_PER_BLOCK = 1_000
 
@@ -76,31 +75,23 @@ def _devices(known: DataFrame, key: str, device: str, hot: Hot | None) -> DataFr
 
 def device_switches(events: DataFrame, key: str = "visitor_id",
                     device: str = "device_fingerprint", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """First event on each further device of a visitor.
+    """First event on each further device of a visitor, one row per device.
 
-    ``all_devices`` lists the devices so far while they are at most 100;
-    :func:`device_history` holds them all, as rows, for any number.
+    The devices before it are the rows of :func:`device_history` with a lower
+    ``device_no``; they stay rows, as their number has no bound.
     """
-    known = events.filter(F.col(key).isNotNull() & F.col(device).isNotNull())
-    hot = heavy_keys(known, [key], hot_rows)
-    out = along(_devices(known, key, device, hot), [key], ORDER,
-                {"_seen": Trailing(F.col(device), LISTED_DEVICES)}, hot)
-    listed = F.when(F.col("device_no") <= LISTED_DEVICES, F.concat("_seen", F.array(device)))
-    return (out.filter("device_no > 1")
-            .select(key, "event_id", "ts", (F.col("device_no") - 1).alias("previous_device_count"),
-                    F.col(device).alias("new_device"), listed.alias("all_devices")))
+    history = device_history(events, key, device, hot_rows)
+    return (history.filter("device_no > 1")
+            .select(key, "event_id", "ts", "device_no",
+                    (F.col("device_no") - 1).alias("previous_device_count"),
+                    F.col(device).alias("new_device")))
 
 
 def multi_device_visitors(history: DataFrame, key: str = "visitor_id",
                           device: str = "device_fingerprint") -> DataFrame:
-    """Visitors seen on several devices, with the first 100 of them."""
-    entry = F.when(F.col("device_no") <= LISTED_DEVICES,
-                   F.struct("device_no", F.col(device).alias("d")))
-    return (history.groupBy(key)
-            .agg(F.max("device_no").alias("device_count"),
-                 F.sort_array(F.collect_list(entry)).alias("_d"))
-            .filter("device_count > 1")
-            .select(key, "device_count", F.transform("_d", lambda e: e["d"]).alias("devices")))
+    """Every device of the visitors seen on several, one row per visitor and device."""
+    counts = history.groupBy(key).agg(F.max("device_no").alias("device_count")).filter("device_count > 1")
+    return history.join(counts, key).select(key, "device_count", "device_no", F.col(device).alias("device"))
 
 
 def rage_clicks(events: DataFrame, key: str = "session_id", hot_rows: int = HOT_ROWS) -> DataFrame:

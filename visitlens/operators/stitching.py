@@ -40,7 +40,7 @@ def stitch_identities(links: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: in
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     groups = edges.filter(F.col("u").startswith("0")).select(
-        F.substring("u", 2, 1 << 20).alias("record"), F.substring("v", 2, 1 << 20).alias("group_id"))
+        F.expr("substring(u, 2)").alias("record"), F.expr("substring(v, 2)").alias("group_id"))
     every = links.filter(F.col("record").isNotNull()).select(
         F.col("record").cast("string").alias("record")).distinct()
     return (every.join(groups, "record", "left")

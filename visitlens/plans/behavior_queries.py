@@ -112,16 +112,14 @@ def backtracking_visitors(spark, folder):
 
 
 @query("device_switches", f"""
-    select visitor_id, event_id, ts, row_number() over w - 1 as previous_device_count,
-        device_fingerprint as new_device,
-        string_agg(device_fingerprint, ',') over (w rows unbounded preceding) as all_devices
+    select visitor_id, event_id, ts, row_number() over w as device_no, row_number() over w - 1 as previous_device_count,
+        device_fingerprint as new_device
     from (select visitor_id, device_fingerprint, ts, event_id from te where visitor_id is not null
         qualify row_number() over (partition by visitor_id, device_fingerprint {ORDER}) = 1)
     window w as (partition by visitor_id {ORDER})
     qualify row_number() over w > 1""")
 def device_switches(spark, folder):
-    return behavior.device_switches(events(spark, folder)).withColumn(
-        "all_devices", F.array_join("all_devices", ","))
+    return behavior.device_switches(events(spark, folder))
 
 
 # Sample clicks are minutes apart; a click's time is compressed to make bursts.

@@ -337,13 +337,11 @@ def deterministic_tracking_id(spark, folder):
     return out.select(F.lower(F.trim("email")).alias("email"), "short_id")
 
 
-# Three hex digits instead of eight, so that the sample has collisions.
 @query("tracking_id_collisions", f"""
-    select substr(short_id, 1, 3) as short_id, count(distinct email) as emails
+    select short_id, count(distinct email) as emails
     from ({IDENTITY_SQL}) group by 1 having count(distinct email) > 1""")
 def tracking_id_collisions(spark, folder):
-    short = identities(spark, folder).withColumn("short_id", F.substring("short_id", 1, 3))
-    return campaigns.tracking_id_collisions(short)
+    return campaigns.tracking_id_collisions(identities(spark, folder))
 
 
 @query("tracking_urls", f"""

@@ -133,11 +133,9 @@ def leads_to_sync(spark, folder):
 
 @query("new_visitors", """
     select distinct visitor_id from te where visitor_id is not null
-        and visitor_id not in (select visitor_id from visitors where is_identified)""")
+        and visitor_id not in (select visitor_id from visitors)""")
 def new_visitors(spark, folder):
-    # Against the identified part of the snapshot; nearly every user is in the whole one.
-    return identity.new_visitors(events(spark, folder),
-                                 samples.web_visitors(spark, folder).filter("is_identified"))
+    return identity.new_visitors(events(spark, folder), samples.web_visitors(spark, folder))
 
 
 @query("sync_candidates", f"""
@@ -284,12 +282,12 @@ def email_click_attribution(spark, folder):
 
 VALIDATED_SQL = f"""
     select lead_id, case when v.email is null then email_status else {STATUS_SQL} end as email_status
-    from leads left join (select * from validations where status <> 'spamtrap') v
+    from leads left join validations v
         on lower(trim(v.email)) = {CONTACT}"""
 
 
 def validated(spark, folder):
-    results = enrich.map_email_status(samples.email_validations(spark, folder).filter("status <> 'spamtrap'"))
+    results = enrich.map_email_status(samples.email_validations(spark, folder))
     leads = samples.leads(spark, folder).withColumn("email", F.expr(CONTACT))
     return upserts.update_email_status(leads, results).select("lead_id", "email_status")
 

@@ -83,10 +83,9 @@ def lead_profile_build(spark, folder):
     return profile_table(spark, folder)
 
 
-# Two days only, so that every level occurs.
-@query("engagement_rule", f"select tracking_id, engagement_level from ({profiles_sql(2)})")
+@query("engagement_rule", f"select tracking_id, engagement_level from ({PROFILES_SQL})")
 def engagement_rule(spark, folder):
-    return profile_table(spark, folder, 2).select("tracking_id", "engagement_level")
+    return profile_table(spark, folder).select("tracking_id", "engagement_level")
 
 
 def activity_sql(until: str = AS_OF) -> str:
@@ -146,16 +145,14 @@ def lead_profiles(spark, folder):
     return scored_profiles(spark, folder)
 
 
-@query("intent_score", f"select lead_id, intent_score from ({scored_sql('2024-01-04', '2024-01-12')})")
+@query("intent_score", f"select lead_id, intent_score from ({scored_sql()})")
 def intent_score(spark, folder):
-    return scored_profiles(spark, folder, "2024-01-04", "2024-01-12").select("lead_id", "intent_score")
+    return scored_profiles(spark, folder).select("lead_id", "intent_score")
 
 
-@query("engagement_level",
-       f"select lead_id, engagement_level from ({scored_sql('2024-01-03', '2024-01-04')})")
+@query("engagement_level", f"select lead_id, engagement_level from ({scored_sql()})")
 def engagement_level(spark, folder):
-    return scored_profiles(spark, folder, "2024-01-03", "2024-01-04").select(
-        "lead_id", "engagement_level")
+    return scored_profiles(spark, folder).select("lead_id", "engagement_level")
 
 
 @query("visitor_totals", """
@@ -336,9 +333,10 @@ def device_history(spark, folder):
 
 
 @query("multi_device_visitors", """
-    select visitor_id, count(*) as device_count, string_agg(device_fingerprint, ',' order by f) as devices
-    from (select visitor_id, device_fingerprint, min(ts) as f from te where visitor_id is not null group by 1, 2)
-    group by visitor_id having count(*) > 1""")
+    select visitor_id, count(*) over (partition by visitor_id) as device_count,
+        row_number() over (partition by visitor_id order by f, e) as device_no, device_fingerprint as device
+    from (select visitor_id, device_fingerprint, min(ts) as f, arg_min(event_id, ts) as e from te
+        where visitor_id is not null group by 1, 2)
+    qualify count(*) over (partition by visitor_id) > 1""")
 def multi_device_visitors(spark, folder):
-    out = behavior.multi_device_visitors(behavior.device_history(events(spark, folder)))
-    return out.withColumn("devices", F.array_join("devices", ","))
+    return behavior.multi_device_visitors(behavior.device_history(events(spark, folder)))
