@@ -156,5 +156,10 @@ def judge(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """``docs`` without the rows that the policy rejects; columns unchanged, nothing is joined."""
-    return judge(docs, policy).filter("kept").select("row.*")
+    """``docs`` without the rows that the policy rejects; columns unchanged, nothing is joined.
+
+    Each row's entry is unfolded from an array of one, so that the verdict is not
+    pushed below the measurements, where each rule would repeat them.
+    """
+    entries = judge(docs, policy).select("row", F.explode(F.array(F.struct("kept"))).alias("entry"))
+    return entries.filter("entry.kept").select("row.*")
