@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from visitlens.llm import chat_quotes
@@ -45,3 +47,22 @@ def test_long_conversation_is_one_branch(spark):
     out = chat_quotes.conversations(df)
     assert out.agg(F.count("*"), F.max("branch"), F.sum("parent_turn")).first() == (
         n, 0, sum(3 * i for i in range(n - 1)))
+
+
+def test_branches_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat_quotes, "SPAN", 7)
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in range(6):
+        answered, branch = set(), {}
+        for turn in range(60):
+            previous = turn - 1 if turn else None
+            parent = rng.randrange(turn) if turn and rng.random() < 0.3 else previous
+            opens = parent is None or parent in answered
+            branch[turn] = turn if opens else branch[parent]
+            answered.add(parent)
+            rows.append((str(conv), turn, previous, parent))
+            want[str(conv), turn] = branch[turn]
+    df = spark.createDataFrame(rows, "conv string, turn bigint, previous bigint, parent bigint")
+    got = {(r["conv"], r["turn"]): r["branch"] for r in chat_quotes.branches(df).collect()}
+    assert got == want

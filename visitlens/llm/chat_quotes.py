@@ -72,24 +72,52 @@ def before(places: DataFrame) -> DataFrame:
         summary, ["conv", "span"]).select("conv", "turn", F.coalesce("lag", "carried").alias("previous"))
 
 
+def heads(steps: DataFrame) -> DataFrame:
+    """``conv, turn, up, head`` for ``conv, turn, up, step``: the last turn up to this one that is no step.
+
+    Cut into spans like :func:`before`. The first turn of a conversation is no step.
+    """
+    cut = (steps.withColumn("span", F.floor(F.col("turn") / SPAN))
+           .withColumn("here", F.when(~F.col("step"), F.col("turn"))))
+    summary = cut.groupBy("conv", "span").agg(F.max("here").alias("last")).withColumn(
+        "carried", F.max("last").over(Window.partitionBy("conv").orderBy("span")
+                                      .rowsBetween(Window.unboundedPreceding, -1))).drop("last")
+    so_far = Window.partitionBy("conv", "span").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("inside", F.max("here").over(so_far)).join(summary, ["conv", "span"]).select(
+        "conv", "turn", "up", F.coalesce("inside", "carried").alias("head"))
+
+
 def branches(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``conv, turn, branch``: the turn that opened the branch a message is on.
 
     The first answer to a message goes on in its branch, each other answer opens
-    one. Found by pointer doubling, so a branch of n messages takes log n rounds.
+    one. A run of messages that each go on from the turn before is one node, so
+    only answers to earlier turns are followed, by pointer doubling: n in a row
+    take log n rounds, and a node that has reached its branch leaves the rounds.
     """
     first = parents.filter("parent is not null").groupBy("conv", "parent").agg(F.min("turn").alias("turn"))
     goes_on = first.withColumnRenamed("parent", "up")
-    at = staged(parents.select("conv", "turn").join(goes_on, ["conv", "turn"], "left").select(
-        "conv", "turn", F.coalesce("up", "turn").alias("up")), "branches")
+    steps = parents.select("conv", "turn", "previous").join(goes_on, ["conv", "turn"], "left").select(
+        "conv", "turn", "up", F.coalesce(F.col("up") == F.col("previous"), F.lit(False)).alias("step"))
+    runs = staged(heads(steps), "branches")
+    nodes = runs.filter("turn = head").select("conv", "turn", "up")
+    # A node that goes on from an earlier turn points to that turn's own node.
+    led = nodes.filter("up is not null").join(
+        runs.select("conv", F.col("turn").alias("up"), F.col("head").alias("to")), ["conv", "up"]).select(
+        "conv", "turn", F.col("to").alias("up"), F.lit(True).alias("open"))
+    at = staged(led.unionByName(nodes.filter("up is null").select(
+        "conv", "turn", F.col("turn").alias("up"), F.lit(False).alias("open"))), "branches")
     for _ in range(max_rounds):
-        over = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"))
-        at = staged(at.join(over, ["conv", "up"]).select(
-            "conv", "turn", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), "branches")
-        if not at.filter("moved").limit(1).count():
+        if not at.filter("open").limit(1).count():
             break
-        at = at.drop("moved")
-    return at.select("conv", "turn", F.col("up").alias("branch"))
+        over = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"))
+        moved = at.filter("open").join(over, ["conv", "up"]).select(
+            "conv", "turn", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("open"))
+        at = staged(moved.unionByName(at.filter("not open")), "branches")
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    ends = at.select("conv", F.col("turn").alias("head"), F.col("up").alias("branch"))
+    return runs.select("conv", "turn", "head").join(ends, ["conv", "head"]).select("conv", "turn", "branch")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -108,7 +136,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     found = staged(lines(messages), "chat-lines")
     quotes = quoted(found)
     parents = staged(before(messages.select("conv", "turn").distinct()).join(quotes, ["conv", "turn"], "left").select(
-        "conv", "turn", F.coalesce("answers", "previous").alias("parent"),
+        "conv", "turn", "previous", F.coalesce("answers", "previous").alias("parent"),
         F.coalesce("n_quotes", F.lit(0).cast("bigint")).alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"),
         F.coalesce("max_level", F.lit(0)).alias("max_level")), "chat-parents")
