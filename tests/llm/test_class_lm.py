@@ -64,6 +64,24 @@ def test_exchange_raises_the_class_information(spark):
     assert words.count() == corpus.words.count()
 
 
+def test_exchange_does_not_depend_on_batches(spark):
+    """A word's rows may lie in several Arrow batches, and its blocks in several rows."""
+    s = class_lm.Settings(classes=6, rounds=1, evidence=2, block_tokens=400)
+
+    def moved():
+        corpus = class_lm.Corpus(documents(spark, table()), s)
+        return {(bytes(r["word"]), r["n"], r["class"], r["changed"])
+                for r in corpus.exchange(corpus.words).collect()}
+
+    plain, key = moved(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert moved() == plain and any(r[3] for r in plain)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_best_class_leaves_out_the_word_itself():
     matrix = np.array([[0, 5, 5], [5, 40, 0], [5, 0, 40]], float)
     left = np.array([[0.0, 9.0, 0.0], [0.0, 0.0, 9.0]])

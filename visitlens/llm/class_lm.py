@@ -8,8 +8,9 @@ word (its own share taken out of its own class), and moves it to the best.
 How it is laid out. Texts are cut into blocks of some million tokens. A block keeps its
 texts as numbers into its own word list, and the word lists of all blocks are
 joined with the counts and classes of the whole corpus. So a task holds the words of one block,
-never the vocabulary; the blocks' texts are written once, bucketed by
-block, and do not move again. Only the transition counts between classes, at
+never the vocabulary; texts and lists are written once, bucketed by
+block, and do not move again. A round moves the classes that changed and, once, what
+stands around the words with evidence. Only the transition counts between classes, at
 most the square of their number, are gathered.
 """
 
@@ -22,8 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import mapped, staged, whole
@@ -31,11 +33,15 @@ from visitlens.session import new_folder
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
+#: What ``Corpus.words`` holds; ``changed``: not in the class of its ending any more.
+WORDS = "word binary, n bigint, class int, changed boolean"
+#: The largest count that two bytes hold.
+MOST = 65535
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` bounds the transition table. Words seen less often than
+    """``classes`` (at most 128) bounds the transition table. Words seen less often than
     ``evidence`` times in training stay in the class that their ending gives, as
     so few neighbours say nothing. ``block_tokens`` bounds a task's memory."""
 
@@ -151,45 +157,64 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: n
 class Corpus:
     """The corpus in blocks, with its word counts, ready for rounds and scoring.
 
-    ``words`` holds ``word, n, class`` of the words with evidence; all others stay
-    in the class of their ending, which a block works out by itself.
+    ``words`` holds ``word, n, class, changed`` of the words with evidence; all others
+    stay in the class of their ending, which a block works out by itself. The
+    tables of texts, word lists and changed classes are all bucketed by block.
     """
 
     def __init__(self, docs: DataFrame, settings: Settings):
         self.s, self.spark = settings, docs.sparkSession
-        self.table = "lm_blocks_" + uuid.uuid4().hex[:12]
-        self.folder = new_folder(self.spark, "lm-blocks")
-        # Bucketed by block, so that joins on block never move the texts.
-        (_blocks(docs, settings).write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block")
-         .option("compression", "zstd").format("parquet").saveAsTable(self.table, path=self.folder))
-        rows = self.spark.table(self.table)
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = self._bucketed(_blocks(docs, settings), "lm-blocks")
         self.texts = rows.filter("word is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
-        lists = rows.filter("word is not null")
-        counts = staged(lists.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
-        sizes = counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
-        self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
-        # The one join of all lists with all words. A word is in a block's list once, so none is hot.
+        # The lists move once by word. A word is in a block's list once, so none is hot.
+        of_word = Window.partitionBy("word")
+        lists = rows.filter("word is not null").select(
+            "block", "local", "word", F.sum("n").over(of_word).alias("n"),
+            (F.min("block").over(of_word) == F.col("block")).alias("lead"))
         strong = (F.col("n") >= settings.evidence) & (F.length("word") > 0)
-        self.known = staged(lists.select("block", "local", "word").join(counts, "word").select(
-            "block", "local", "n", F.when(strong, F.col("word")).alias("word")), "lm-known")
-        self.counts = counts
-        self.words = staged(self._first(counts.filter(strong)), "lm-words")
+        self.places = staged(lists.select("block", "local", "n", "lead", strong.alias("strong"), F.when(
+            F.col("lead") | strong, F.col("word")).alias("word")), "lm-places")
+        # One row of each word of the corpus.
+        self.counts = self.places.filter("lead").select("word", "n", "strong")
+        sizes = self.counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
+        self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
+        entry = F.struct("local", "n", F.when(F.col("strong"), F.col("word")).alias("word"))
+        self.lists = self._bucketed(self.places.groupBy("block").agg(F.collect_list(entry).alias("entry")), "lm-lists")
+        self.words = self._first(self.counts.filter("strong"))
+        self._moved = (self.words, None)
+
+    def _bucketed(self, rows: DataFrame, label: str) -> DataFrame:
+        """The rows written once, bucketed by block, so that joins on block move nothing."""
+        name = label.replace("-", "_") + "_" + uuid.uuid4().hex[:12]
+        (rows.write.bucketBy(self.buckets, "block").option("compression", "zstd").format("parquet")
+         .saveAsTable(name, path=new_folder(self.spark, label)))
+        return self.spark.table(name)
 
     def _first(self, counts: DataFrame) -> DataFrame:
         k = self.s.classes
 
         def classed(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in some:
-                got = first_class(b.column(0).to_pylist(), k).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], ["word", "n", "class"])
-
-        return mapped(counts.select("word", "n"), classed, "word binary, n bigint, class int")
-
-    def _moved(self, words: DataFrame, named: bool) -> DataFrame:
-        """Per block the local numbers and classes of its words with evidence, and with ``named`` the words."""
-        part = [F.col("local"), F.col("class"), *([F.col("word")] if named else [])]
-        return (self.known.filter("word is not null").select("block", "local", "word").join(words, "word")
-                .groupBy("block").agg(F.collect_list(F.struct(*part)).alias("moved")))
+                got = pa.array(first_class(b.column(0).to_pylist(), k).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, got, pa.array(np.zeros(b.num_rows, bool))],
+                                                 ["word", "n", "class", "changed"])
+
+        return mapped(counts.select("word", "n"), classed, WORDS)
+
+    def _joined(self, words: DataFrame) -> DataFrame:
+        """Texts and lists of each block, with the numbers and classes of its words that left their first class."""
+        if self._moved[0] is not words:
+            moved = (self.places.filter("strong").select("block", "local", "word")
+                     .join(words.filter("changed").select("word", "class"), "word"))
+            one = F.shiftleft(F.col("local").cast("bigint"), 8) + F.col("class")
+            self._moved = (words, self._bucketed(moved.groupBy("block").agg(F.collect_list(one).alias("moved")),
+                                                 "lm-moved"))
+        both = self.texts.join(self.lists, "block")
+        moved = self._moved[1]
+        both = (both.withColumn("moved", F.lit(None).cast("array<bigint>")) if moved is None
+                else both.join(moved, "block", "left"))
+        return both.select("ids", "lengths", "held_out", "first", "moved", "entry", "doc_ids")
 
     def pairs(self, words: DataFrame) -> np.ndarray:
         """Counts of class pairs in training, summed before they are gathered (the square of the classes at most)."""
@@ -198,80 +223,111 @@ class Corpus:
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k * k, np.int64)
             for row in _single(some):
-                seq, lengths, out, classes, _ = _block(row)
+                seq, lengths, out, classes = _block(row)
                 seq = classes[seq[np.repeat(~out, lengths)]].astype(np.int64)
                 total += np.bincount(np.concatenate(([0], seq[:-1])) * k + seq, minlength=k * k) if len(seq) else 0
             pair = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
 
-        joined = self.texts.join(self._moved(words, named=False), "block", "left")
-        rows = mapped(joined.select("ids", "lengths", "held_out", "first", "moved"), count, "pair bigint, n bigint")
+        rows = mapped(self._joined(words).select("ids", "lengths", "held_out", "first", "moved"), count,
+                      "pair bigint, n bigint")
         out = np.zeros(k * k)
         for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
             out[r["pair"]] = r["n"]
         return out.reshape(k, k)
 
     def contexts(self, words: DataFrame) -> DataFrame:
-        """Rows ``word, packed`` per block: numbers of class before or after (from ``classes`` up), and counts."""
+        """Rows ``word, n, class, what, times`` per block, for words with evidence.
+
+        ``what`` has a byte per class before the word, or after it (from ``classes``
+        up), and ``times`` two bytes with its count; larger counts are told in parts.
+        """
         k = self.s.classes
 
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
-                seq, lengths, out, classes, entry = _block(row)
-                if entry is None or not len(entry):
-                    continue
+                seq, lengths, out, classes = _block(row)
+                entry = row.column(5).flatten()
+                local, n = np.asarray(entry.field("local")), np.asarray(entry.field("n"))
+                name = entry.field("word")
+                strong = np.flatnonzero(name.is_valid().to_numpy(zero_copy_only=False))
                 seq = seq[np.repeat(~out, lengths)]
                 at = np.full(len(classes), -1, np.int32)
-                at[np.asarray(entry.field("local"))] = np.arange(len(entry), dtype=np.int32)
+                at[local[strong]] = strong
                 here = at[seq]
                 before = np.concatenate(([0], seq[:-1])) if len(seq) else seq
                 there = at[before]
                 key, times = np.unique(np.concatenate((
                     here[here >= 0].astype(np.int64) * (2 * k) + classes[before[here >= 0]],
                     there[there >= 0].astype(np.int64) * (2 * k) + k + classes[seq[there >= 0]])), return_counts=True)
+                parts = (times - 1) // MOST + 1
+                last = np.cumsum(parts) - 1
+                key, rest = np.repeat(key, parts), times - (parts - 1) * MOST
+                times = np.full(len(key), MOST, np.int64)
+                times[last] = rest
                 who, what = np.divmod(key, 2 * k)
                 cut = np.flatnonzero(np.diff(who, prepend=-1))
-                body = np.stack([what, times], 1).astype("<u4").tobytes()
                 ends = np.append(cut[1:], len(who))
+                what, times = what.astype("<u1").tobytes(), times.astype("<u2").tobytes()
                 for a in range(0, len(cut), 20_000):
                     z = slice(a, a + 20_000)
+                    spans, which = list(zip(cut[z].tolist(), ends[z].tolist(), strict=True)), who[cut[z]]
                     yield pa.RecordBatch.from_arrays(
-                        [entry.field("word").take(pa.array(who[cut[z]])),
-                         pa.array([body[8 * p:8 * q] for p, q in zip(cut[z].tolist(), ends[z].tolist(), strict=True)],
-                                  pa.binary())], ["word", "packed"])
+                        [name.take(pa.array(which)), pa.array(n[which]),
+                         pa.array(classes[local[which]].astype(np.int32)),
+                         pa.array([what[p:q] for p, q in spans], pa.binary()),
+                         pa.array([times[2 * p:2 * q] for p, q in spans], pa.binary())],
+                        ["word", "n", "class", "what", "times"])
 
-        joined = self.texts.join(self._moved(words, named=True), "block")
-        return mapped(joined.select("ids", "lengths", "held_out", "first", "moved"), count, "word binary, packed binary")
+        return mapped(self._joined(words).drop("doc_ids"), count,
+                      "word binary, n bigint, class int, what binary, times binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
-        """``words`` with each word in its best class."""
+        """``words`` with each word in its best class.
+
+        A word's rows come one after the other and are added up as they come, so a word
+        of every block takes no more memory than any other.
+        """
         k, matrix = self.s.classes, self.pairs(words)
-        around = self.contexts(words).groupBy("word").agg(F.collect_list("packed").alias("packed"))
+
+        def moved(word: pa.Array, n: np.ndarray, own: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(own), 2_000):
+                z = slice(at, at + 2_000)
+                new = best_classes(counts[z, :k], counts[z, k:], own[z], matrix)
+                some = word.slice(at, 2_000)
+                yield pa.RecordBatch.from_arrays(
+                    [some, pa.array(n[z]), pa.array(new.astype(np.int32)),
+                     pa.array(new != first_class(some.to_pylist(), k))], ["word", "n", "class", "changed"])
 
         def move(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in some:
-                for at in range(0, b.num_rows, 2_000):
-                    part = b.slice(at, 2_000)
-                    own = np.asarray(part.column(2)).astype(np.int64)
-                    counts = np.zeros((len(own), 2 * k))
-                    for i, lists in enumerate(part.column(3).to_pylist()):
-                        if lists:
-                            x = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2)
-                            np.add.at(counts[i], x[:, 0], x[:, 1])
-                    new = own.copy()
-                    seen = counts.any(1)
-                    if seen.any():
-                        new[seen] = best_classes(counts[seen, :k], counts[seen, k:], own[seen], matrix)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(new.astype(np.int32))],
-                                                     ["word", "n", "class"])
-
-        return staged(mapped(words.join(around, "word", "left").select("word", "n", "class", "packed"), move,
-                             "word binary, n bigint, class int"), "lm-words")
+            held = None
+            for b in (b for b in some if b.num_rows):
+                word = b.column(0)
+                other = np.asarray(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(
+                    zero_copy_only=False), bool)
+                starts = np.append(0, np.flatnonzero(other) + 1)
+                group = np.cumsum(np.append(0, other.astype(np.int64)))
+                what = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u1")
+                times = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u2")
+                rows = np.repeat(group, np.asarray(pc.binary_length(b.column(3))))
+                counts = np.bincount(rows * (2 * k) + what, times, len(starts) * 2 * k).reshape(-1, 2 * k)
+                part = (word.take(pa.array(starts)), np.asarray(b.column(1))[starts],
+                        np.asarray(b.column(2)).astype(np.int64)[starts], counts)
+                if held is not None and held[0][0] == part[0][0]:
+                    counts[0] += held[3][0]
+                elif held is not None:
+                    yield from moved(*held)
+                yield from moved(*(x[:-1] for x in part))
+                held = tuple(x[-1:] for x in part)
+            if held is not None:
+                yield from moved(*held)
+
+        around = self.contexts(words).repartition("word").sortWithinPartitions("word")
+        return staged(mapped(around, move, WORDS), "lm-words")
 
     def sizes(self, words: DataFrame) -> np.ndarray:
         """Tokens and different words of each class in training; a row per class."""
-        weak = self.counts.filter((F.col("n") < self.s.evidence) | (F.length("word") == 0))
-        every = words.unionByName(self._first(weak)).filter("n > 0")
+        every = words.unionByName(self._first(self.counts.filter("not strong"))).filter("n > 0")
         out = np.zeros((self.s.classes, 2))
         for r in every.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
             out[r["class"]] = r["n"], r["v"]
@@ -283,11 +339,10 @@ class Corpus:
         matrix, in_class = self.pairs(words), self.sizes(words)
         step = np.log10(matrix + s.add_transition) - np.log10(matrix.sum(1, keepdims=True) + k * s.add_transition)
         room = np.log10(in_class[:, 0] + s.add_word * (in_class[:, 1] + 1))
-        counted = self.known.groupBy("block").agg(F.collect_list(F.struct("local", "n")).alias("counted"))
 
         def score(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
-                seq, lengths, out, classes, _ = _block(row)
+                seq, lengths, out, classes = _block(row)
                 entry = row.column(5).flatten()
                 count = np.zeros(len(classes), np.int64)
                 count[np.asarray(entry.field("local"))] = np.asarray(entry.field("n"))
@@ -303,8 +358,8 @@ class Corpus:
                      pa.array(np.add.reduceat(model, starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        joined = self.texts.join(counted, "block").join(self._moved(words, named=False), "block", "left")
-        return mapped(joined.select("ids", "lengths", "held_out", "first", "moved", "counted", "doc_ids"), score,
+        slim = F.transform("entry", lambda e: F.struct(e["local"].alias("local"), e["n"].alias("n")))
+        return mapped(self._joined(words).withColumn("entry", slim), score,
                       "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                       "base_score double, score double")
 
@@ -317,15 +372,15 @@ def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(row: pa.RecordBatch):
-    """One block: numbers of its tokens, lengths of its texts, their flags, classes by number, words moved."""
+    """One block: numbers of its tokens, lengths of its texts, their flags, classes by number."""
     seq = np.frombuffer(row.column(0)[0].as_py(), np.int32)
     lengths = np.asarray(row.column(1).flatten())
     out = np.asarray(row.column(2).flatten().to_numpy(zero_copy_only=False), bool)
     classes = np.frombuffer(row.column(3)[0].as_py(), np.uint8).astype(np.int64)
-    entry = row.column(4).flatten() if row.column(4)[0].is_valid else None
-    if entry is not None:
-        classes[np.asarray(entry.field("local"))] = np.asarray(entry.field("class"))
-    return seq, lengths, out, classes, entry
+    if row.column(4)[0].is_valid:
+        local, new = np.divmod(np.asarray(row.column(4).flatten()), 256)
+        classes[local] = new
+    return seq, lengths, out, classes
 
 
 def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
