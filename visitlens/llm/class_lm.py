@@ -88,8 +88,12 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
             yield _rows([(block, None, None, None,
                           [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes(), first)])
             for at in range(0, len(words), 50_000):
-                yield _rows([(block, w, i, int(counts[i]), None, None, None, None, None)
-                             for i, w in enumerate(words[at:at + 50_000], at)])
+                some = words[at:at + 50_000]
+                size = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, block, np.int64)), pa.array(some, pa.binary()),
+                     pa.array(np.arange(at, at + size, dtype=np.int32)), pa.array(counts[at:at + size]),
+                     *[pa.nulls(size, f.type) for f in list(_ARROW)[4:]]], schema=_ARROW)
             known, ids, texts = {END: 0}, [], []
 
         size = 0
@@ -179,8 +183,11 @@ class Corpus:
         self.counts = self.places.filter("lead").select("word", "n", "strong")
         sizes = self.counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
         self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
+        # A block's words have the numbers 0, 1, 2, .., so sorted lists need no numbers.
         entry = F.struct("local", "n", F.when(F.col("strong"), F.col("word")).alias("word"))
-        self.lists = self._bucketed(self.places.groupBy("block").agg(F.collect_list(entry).alias("entry")), "lm-lists")
+        lists = self.places.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        self.lists = self._bucketed(lists.select("block", F.col("e.n").alias("n"), F.col("e.word").alias("word")),
+                                    "lm-lists")
         self.words = self._first(self.counts.filter("strong"))
         self._moved = (self.words, None)
 
@@ -202,19 +209,18 @@ class Corpus:
 
         return mapped(counts.select("word", "n"), classed, WORDS)
 
-    def _joined(self, words: DataFrame) -> DataFrame:
-        """Texts and lists of each block, with the numbers and classes of its words that left their first class."""
+    def _joined(self, words: DataFrame, *more: str) -> DataFrame:
+        """Texts of each block, with the numbers and classes of its words that left their first class, and ``more``."""
         if self._moved[0] is not words:
             moved = (self.places.filter("strong").select("block", "local", "word")
                      .join(words.filter("changed").select("word", "class"), "word"))
             one = F.shiftleft(F.col("local").cast("bigint"), 8) + F.col("class")
             self._moved = (words, self._bucketed(moved.groupBy("block").agg(F.collect_list(one).alias("moved")),
                                                  "lm-moved"))
-        both = self.texts.join(self.lists, "block")
-        moved = self._moved[1]
+        both, moved = self.texts.join(self.lists, "block") if more else self.texts, self._moved[1]
         both = (both.withColumn("moved", F.lit(None).cast("array<bigint>")) if moved is None
                 else both.join(moved, "block", "left"))
-        return both.select("ids", "lengths", "held_out", "first", "moved", "entry", "doc_ids")
+        return both.select("ids", "lengths", "held_out", "first", "moved", *more)
 
     def pairs(self, words: DataFrame) -> np.ndarray:
         """Counts of class pairs in training, summed before they are gathered (the square of the classes at most)."""
@@ -229,8 +235,7 @@ class Corpus:
             pair = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
 
-        rows = mapped(self._joined(words).select("ids", "lengths", "held_out", "first", "moved"), count,
-                      "pair bigint, n bigint")
+        rows = mapped(self._joined(words), count, "pair bigint, n bigint")
         out = np.zeros(k * k)
         for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
             out[r["pair"]] = r["n"]
@@ -247,13 +252,10 @@ class Corpus:
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
                 seq, lengths, out, classes = _block(row)
-                entry = row.column(5).flatten()
-                local, n = np.asarray(entry.field("local")), np.asarray(entry.field("n"))
-                name = entry.field("word")
-                strong = np.flatnonzero(name.is_valid().to_numpy(zero_copy_only=False))
+                n, name = np.asarray(row.column(5).flatten()), row.column(6).flatten()
+                strong = name.is_valid().to_numpy(zero_copy_only=False)
                 seq = seq[np.repeat(~out, lengths)]
-                at = np.full(len(classes), -1, np.int32)
-                at[local[strong]] = strong
+                at = np.where(strong, np.arange(len(strong)), -1)
                 here = at[seq]
                 before = np.concatenate(([0], seq[:-1])) if len(seq) else seq
                 there = at[before]
@@ -268,18 +270,17 @@ class Corpus:
                 who, what = np.divmod(key, 2 * k)
                 cut = np.flatnonzero(np.diff(who, prepend=-1))
                 ends = np.append(cut[1:], len(who))
-                what, times = what.astype("<u1").tobytes(), times.astype("<u2").tobytes()
+                what, times = what.astype("<u1"), times.astype("<u2")
                 for a in range(0, len(cut), 20_000):
-                    z = slice(a, a + 20_000)
-                    spans, which = list(zip(cut[z].tolist(), ends[z].tolist(), strict=True)), who[cut[z]]
+                    starts, stop = cut[a:a + 20_000], ends[a:a + 20_000][-1]
+                    which, offsets = who[starts], np.append(starts, stop) - starts[0]
+                    z = slice(starts[0], stop)
                     yield pa.RecordBatch.from_arrays(
-                        [name.take(pa.array(which)), pa.array(n[which]),
-                         pa.array(classes[local[which]].astype(np.int32)),
-                         pa.array([what[p:q] for p, q in spans], pa.binary()),
-                         pa.array([times[2 * p:2 * q] for p, q in spans], pa.binary())],
+                        [name.take(pa.array(which)), pa.array(n[which]), pa.array(classes[which].astype(np.int32)),
+                         _binaries(what[z], offsets), _binaries(times[z], offsets)],
                         ["word", "n", "class", "what", "times"])
 
-        return mapped(self._joined(words).drop("doc_ids"), count,
+        return mapped(self._joined(words, "n", "word"), count,
                       "word binary, n bigint, class int, what binary, times binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
@@ -307,8 +308,7 @@ class Corpus:
                     zero_copy_only=False), bool)
                 starts = np.append(0, np.flatnonzero(other) + 1)
                 group = np.cumsum(np.append(0, other.astype(np.int64)))
-                what = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u1")
-                times = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u2")
+                what, times = _flat(b.column(3), "<u1"), _flat(b.column(4), "<u2")
                 rows = np.repeat(group, np.asarray(pc.binary_length(b.column(3))))
                 counts = np.bincount(rows * (2 * k) + what, times, len(starts) * 2 * k).reshape(-1, 2 * k)
                 part = (word.take(pa.array(starts)), np.asarray(b.column(1))[starts],
@@ -343,9 +343,7 @@ class Corpus:
         def score(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
                 seq, lengths, out, classes = _block(row)
-                entry = row.column(5).flatten()
-                count = np.zeros(len(classes), np.int64)
-                count[np.asarray(entry.field("local"))] = np.asarray(entry.field("n"))
+                count = np.asarray(row.column(5).flatten())
                 base = np.log10((count + 1) / (n_all + v_all + 1))
                 emit = np.log10(count + s.add_word) - room[classes]
                 before = np.concatenate(([0], seq[:-1]))
@@ -358,8 +356,7 @@ class Corpus:
                      pa.array(np.add.reduceat(model, starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        slim = F.transform("entry", lambda e: F.struct(e["local"].alias("local"), e["n"].alias("n")))
-        return mapped(self._joined(words).withColumn("entry", slim), score,
+        return mapped(self._joined(words, "n", "doc_ids"), score,
                       "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                       "base_score double, score double")
 
@@ -371,6 +368,19 @@ def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, 1)
 
 
+def _binaries(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Values of ``flat``, cut at ``offsets``, as an array of bytes."""
+    ends = (offsets * flat.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
+
+
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All values of an array of bytes, end to end."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(data)[ends[0]:ends[-1]], kind) if data is not None else np.zeros(0, kind)
+
+
 def _block(row: pa.RecordBatch):
     """One block: numbers of its tokens, lengths of its texts, their flags, classes by number."""
     seq = np.frombuffer(row.column(0)[0].as_py(), np.int32)
