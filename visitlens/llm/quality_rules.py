@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import whole
+from visitlens.llm.common import staged, whole
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 3
@@ -149,10 +149,24 @@ def ablations(entries: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULE
     return out
 
 
+def stored_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger without the rows it was measured on, written once; policies and ablations read it."""
+    return staged(ledger(docs, rules).drop("row"), "quality-ledger")
+
+
+def apply_policy(entries: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger entries with ``base_failed``, the verdict ``kept`` and the ``policy_version`` it comes from.
+
+    The base rules always reject.
+    """
+    return entries.select(
+        *entries.columns, (~passes(BASE, rules)).alias("base_failed"),
+        (passes(BASE, rules) & passes(policy, rules)).alias("kept"), F.lit(policy.version).alias("policy_version"))
+
+
 def judge(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The ledger with ``base_failed`` and the policy's verdict ``kept``; the base rules always reject."""
-    return (ledger(docs).withColumn("base_failed", ~passes(BASE))
-            .withColumn("kept", passes(BASE) & passes(policy)))
+    """``apply_policy`` over the stored ledger of ``docs``."""
+    return apply_policy(stored_ledger(docs), policy)
 
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
@@ -161,5 +175,5 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     Each row's entry is unfolded from an array of one, so that the verdict is not
     pushed below the measurements, where each rule would repeat them.
     """
-    entries = judge(docs, policy).select("row", F.explode(F.array(F.struct("kept"))).alias("entry"))
+    entries = apply_policy(ledger(docs), policy).select("row", F.explode(F.array(F.struct("kept"))).alias("entry"))
     return entries.filter("entry.kept").select("row.*")

@@ -59,9 +59,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_rules", r"""
     with d as (
       select doc_id, coalesce(text, '') as text,
-             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
              list_filter(string_split(coalesce(text, ''), chr(10)),
-                         x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+                         lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
       from documents),
     starts as (select doc_id, words, unnest(range(1, len(words) - 1)) as i from d),
     windows as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w from starts),
@@ -85,12 +85,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
              + 64 * (10 * n_exclaimed > 3 * n_words)::bigint as failed_bits
       from m)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits % 4 <> 0 as base_failed,
-           failed_bits = 0 as kept, failed_bits
+           failed_bits = 0 as kept, failed_bits, '1' as policy_version
     from f""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "failed_bits")
+        "failed_bits", "policy_version")
 
 
 @query("op6_chat_quotes")
