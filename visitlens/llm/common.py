@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlens.session import new_folder
 
@@ -42,6 +43,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches, as one row may hold a very long text."""
+def mapped(df: DataFrame, batches: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow``; callers take a batch apart by bytes or rows, as one row may hold a very long text."""
     return df.mapInArrow(batches, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from visitlens.llm import (
-    chat_quotes, class_lm, exact_dedup, factorisation, license_scan, packing, pieces, pii, quality_rules, simhash)
+    chat_quotes, class_lm, decontamination, exact_dedup, factorisation, license_scan, packing, pieces, pii, quality_rules, simhash)
 from visitlens.llm.common import table
 from visitlens.session import configure, new_folder
 
@@ -120,6 +120,31 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(docs, pii.train(docs))
 
 
+@query("op12_decontamination", f"""
+    with d as (select row_number() over () as row, doc_id, list_filter(
+                 string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+               from documents),
+    b as (select distinct coalesce(item_id::varchar, '') as item_id, list_filter(
+            string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
+          from benchmark),
+    items as (select *, least(10, len(words)) as k from b where len(words) > 0),
+    places as (select item_id, words, k, unnest(range(1, len(words) - k + 2)) as i from items),
+    windows as (select distinct item_id, k, array_to_string(words[i:i + k - 1], ' ') as w from places),
+    starts as (select row, words, k, unnest(range(1, len(words) - k + 2)) as i
+               from d, (select distinct k from items) where len(words) >= k),
+    hits as (select row, i, s.k as k, item_id from starts s
+             join windows w on w.k = s.k and w.w = array_to_string(s.words[i:i + s.k - 1], ' ')),
+    hit_words as (select row, count(distinct place) as n
+                  from (select row, unnest(range(i, i + k)) as place from hits) group by row),
+    hit_items as (select row, count(distinct item_id) as n,
+                         string_agg(distinct item_id, ',' order by item_id) as ids from hits group by row)
+    select doc_id, len(words)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit,
+           coalesce(t.n, 0)::bigint as n_items, sha256(coalesce(t.ids, '')) as items_sha256, h.n is not null as contaminated
+    from d left join hit_words h using (row) left join hit_items t using (row)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES["pipeline"] = lambda spark, folder: corpus_pipeline.run(configure(spark), folder)
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
