@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from visitlens.llm import (
-    chat_quotes, class_lm, decontamination, exact_dedup, factorisation, license_scan, packing, pieces, pii, quality_rules, simhash)
+    alignment, chat_quotes, chat_repair, class_lm, decontamination, exact_dedup, factorisation, license_scan, packing,
+    pieces, pii, quality_rules, simhash)
 from visitlens.llm.common import table
 from visitlens.session import configure, new_folder
 
@@ -120,6 +121,16 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(docs, pii.train(docs))
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"))
+
+
+@query("op13_chat_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damage(table(spark, folder, "conversations")))
+
+
 @query("op12_decontamination", f"""
     with d as (select row_number() over () as row, doc_id, list_filter(
                  string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words
