@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import emails
 from visitlens.functions.scalars import (
-    email_domain, filled, first_filled, payload, payload_struct)
+    bound, email_domain, filled, first_filled, payload, payload_struct)
 from visitlens.operators.periods import before, in_period
 from visitlens.operators.skew import HOT_ROWS, lookup
 from visitlens.session import enable_checkpoints
@@ -57,6 +57,36 @@ def batch_identity_signal(events: DataFrame) -> DataFrame:
                 F.concat(F.lit("visitor-"), F.col("batch_id")))))
 
 
+def envelope_signals(envelopes: DataFrame) -> DataFrame:
+    """:func:`batch_identity_signal` of batches that still are one row each, with the batch's session.
+
+    ``envelopes`` has ``batch_id`` and ``events``, the array in sending order. Nothing is
+    exploded or shuffled. A batch without events says nothing and is left out.
+    """
+    def address_of(e: Column) -> Column:
+        p = F.from_json(e["data"], SIGNAL_FIELDS)
+        return bound(p, lambda p: F.when(p["email"].contains("@"), F.struct(
+            p["email"].alias("email"), first_filled(p["emailHash"], p["sha256"]).alias("sha256"),
+            p["sha1"].alias("sha1"), p["md5"].alias("md5"))).when(
+            (e["type"] == "browser_emails_scanned") & F.get(p["emails"], 0)["email"].contains("@"),
+            bound(F.get(p["emails"], 0), lambda scan: F.struct(
+                scan["email"].alias("email"), first_filled(scan["sha256"], scan["hash"]).alias("sha256"),
+                scan["sha1"].alias("sha1"), scan["md5"].alias("md5")))))
+
+    found = F.get(F.filter(F.transform("events", address_of), lambda a: a.isNotNull()), 0)
+    rows = envelopes.filter(F.size("events") > 0).select(
+        "batch_id", F.get("events", 0).alias("_f"), found.alias("_a"),
+        F.timestamp_millis(F.array_min(F.transform("events", lambda e: e["timestamp"]))).alias("ts"))
+    rows = rows.withColumn("_p", F.from_json("_f.data", SIGNAL_FIELDS)).select(
+        "batch_id", "ts", filled(F.col("_f.visitorId")).alias("visitor_id"),
+        filled(F.col("_p.tracking_id")).alias("tracking_id"),
+        F.col("_p.deviceFingerprint").alias("device_fingerprint"),
+        filled(F.col("_p.browserId")).alias("browser_id"), F.col("_p.firstName").alias("first_name"),
+        F.col("_p.lastName").alias("last_name"), F.col("_f.sessionId").alias("batch_session_id"), "_a.*")
+    return rows.withColumn("visitor_id", F.coalesce(
+        "visitor_id", "browser_id", "device_fingerprint", F.concat(F.lit("visitor-"), F.col("batch_id"))))
+
+
 def lead_emails(leads: DataFrame) -> DataFrame:
     """``email, lead_id`` over work and personal addresses, lowest id each."""
     return (leads.select("lead_id", F.explode(F.array("work_email", "personal_email")).alias("email"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlens.operators import enrich, profiles
-from visitlens.plans.catalog import events, query
-from visitlens.plans.event_queries import IDENTITY_SQL, campaign_leads, identities
-from visitlens.plans.identity_queries import OWNED_SQL, owned_events
+from visitlens.plans.catalog import events, query, sql_hash32
+from visitlens.plans import flows
+from visitlens.plans.event_queries import CATEGORY_SQL, IDENTITY_SQL, campaign_leads, identities
+from visitlens.plans.identity_queries import OWNED_SQL, OWNERS_SQL, owned_events
 from visitlens.plans.profile_queries import (
     HOT_SQL, PROFILES_SQL, profile_table, scored_profiles)
 from visitlens.session import new_folder
 from visitlens.sources import readers, samples, writers
+from visitlens.sources.event_store import EventStore
 
 AS_OF = samples.AS_OF
 
@@ -34,6 +36,46 @@ def read_event_batches(spark, folder):
     return good
 
 
+# The batches the reader accepts, with times as a body carries them.
+RECEIVED = f"""good as (select * replace (date_trunc('milliseconds', ts) as ts),
+        date_trunc('milliseconds', max(ts) over (partition by batch_id)) + interval 1 second as sent_at,
+        cast(row_number() over (partition by batch_id order by pos) - 1 as integer) as place
+    from te where not ({BROKEN}))"""
+GOOD_OWNERS = OWNERS_SQL.replace("from te ", "from good ")
+INGESTED_SQL = f"""
+    with {RECEIVED}, o as ({GOOD_OWNERS}),
+    r as (select distinct batch_id as b, {', '.join(f'{e} as {n}' for n, e in samples.REQUEST.items())} from te0)
+    select t.batch_id, place as pos, ts, sent_at, sent_at + interval 50 millisecond as received_at, type,
+        {CATEGORY_SQL.replace("type", "t.type")} as category,
+        first_value(session_id) over (partition by t.batch_id order by place) as session_id, o.lead_id, o.web_visitor_id,
+        visitor_id, url, path, true as url_ok, referrer,
+        left(data, length(data) - 1) || ',"_originalSessionId":"' || session_id || '"}}' as data,
+        {sql_hash32("'10.' || cast(user_id % 25 as varchar)")} as company_identifier,
+        case when k % 3 = 1 then 'last' end as utm_source, cast(null as varchar) as utm_medium,
+        case when k % 3 = 2 then 'c' || cast(k % 5 as varchar) end as utm_campaign, cast(null as varchar) as utm_term,
+        cast(null as varchar) as utm_content, cast(null as varchar) as gclid, cast(null as varchar) as fbclid,
+        cast(null as varchar) as campaign_id, cast(null as varchar) as message_id,
+        case when k % 3 = 1 then '{{"utm_medium":"","utm_source":"last"}}'
+            when k % 3 = 2 then '{{"q":"a b","utm_campaign":"c' || cast(k % 5 as varchar) || '"}}' end as url_parms,
+        cast(ts as date) as event_date, {', '.join(f'r.{n}' for n in samples.REQUEST)}
+    from good t join o on o.batch_id = t.batch_id join r on r.b = t.batch_id"""
+
+
+# Every envelope comes twice in the first commit, and a third of the users send theirs again later.
+@query("ingest_batches", INGESTED_SQL)
+def ingest_batches(spark, folder):
+    received = samples.request_envelopes(spark, folder)
+    later = received.filter(F.regexp_extract("batch_id", "b([0-9]+)-", 1).cast("long") % 3 == 0)
+    store = EventStore(spark, new_folder(spark, "event-store"))
+    leads, visitors = samples.leads(spark, folder), samples.web_visitors(spark, folder)
+    flows.ingest_batches(received.unionByName(received), leads, visitors, store, "first")
+    flows.ingest_batches(later, leads, visitors, store, "again")
+    # The order of a map's keys is not fixed; the text is compared in one order.
+    params = F.from_json("url_parms", "map<string,string>")
+    ordered = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+    return store.read().withColumn("url_parms", ordered).drop("event_id", "commit")
+
+
 @query("rejected_event_batches", f"select distinct batch_id from te where {BROKEN}")
 def rejected_event_batches(spark, folder):
     _, bad = readers.parse_event_batches(samples.event_envelopes(spark, folder))

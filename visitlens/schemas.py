@@ -19,6 +19,24 @@ EVENT_BATCH = T.StructType([
     T.StructField("meta", T.StructType([T.StructField("sentAt", T.LongType())])),
 ])
 
+# What the web server knows of a request, stored beside each of its events.
+REQUEST = T.StructType(
+    [T.StructField(name, T.StringType()) for name in (
+        "ip_address", "country", "city", "region", "continent", "postal_code", "metro_code", "latitude",
+        "longitude", "timezone", "colo")]
+    + [T.StructField("asn", T.LongType())]
+    + [T.StructField(name, T.StringType()) for name in (
+        "organization_identifier", "user_agent", "default_language", "referer_header", "device_type")]
+    + [T.StructField("is_eu_country", T.BooleanType())]
+    + [T.StructField(name, T.StringType()) for name in ("tls_version", "tls_cipher", "http_protocol", "origin")])
+
+ENVELOPE = T.StructType([
+    T.StructField("batch_id", T.StringType()),
+    T.StructField("body", T.StringType()),
+    T.StructField("request", REQUEST),
+    T.StructField("received_at", T.LongType()),
+])
+
 IDENTITY = T.StructType([
     T.StructField("shortId", T.StringType()),
     T.StructField("visitorId", T.StringType()),
@@ -33,7 +51,7 @@ IDENTITY = T.StructType([
     T.StructField("expiresAt", T.LongType()),
 ])
 
-# Lead attributes a patch may overwrite.
+# Lead attributes a patch may overwrite.
 LEAD_PATCH_FIELDS = [
     "first_name", "last_name", "phone", "linkedin_url", "job_title",
     "job_seniority", "job_department", "company_name", "company_website",

@@ -19,6 +19,49 @@ LEAD_HEADERS = {
 }
 
 
+def parsed_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per accepted envelope, rejected ones), the last received of each batch.
+
+    ``envelopes``: ``batch_id, body, request, received_at``. Accepted rows have ``events``,
+    an array in sending order, beside ``request`` (see :data:`schemas.REQUEST`) and ``sent_at``.
+    Copies are combined before the shuffle. A body whose ``events`` is no array is rejected.
+    """
+    place = F.struct("received_at", F.xxhash64("body"))
+    one = (envelopes.groupBy("batch_id")
+           .agg(F.max_by(F.struct("body", "request"), place).alias("_e"), F.max("received_at").alias("received_at"))
+           .select("batch_id", "received_at", "_e.*"))
+    parsed = one.withColumn("_b", F.from_json("body", schemas.EVENT_BATCH))
+    good = parsed.filter(F.col("_b.events").isNotNull()).select(
+        "batch_id", "received_at", "request", F.timestamp_millis("_b.meta.sentAt").alias("sent_at"),
+        F.col("_b.events").alias("events"))
+    return good, parsed.filter(F.col("_b.events").isNull()).select(*envelopes.columns)
+
+
+def unfolded_envelopes(envelopes: DataFrame) -> DataFrame:
+    """One row per event of accepted envelopes: event fields, the request's fields, and a stable id.
+
+    The id is a hash of batch and position, so a batch that is read again gives the same ids.
+    """
+    rows = envelopes.select(*[c for c in envelopes.columns if c not in ("events", "request")], "request",
+                            F.posexplode("events").alias("pos", "_e"))
+    return rows.select(
+        F.xxhash64("batch_id", "pos").alias("event_id"),
+        *[c for c in rows.columns if c not in ("request", "_e")], F.col("_e.type").alias("raw_type"),
+        F.timestamp_millis("_e.timestamp").alias("ts"), F.col("_e.sessionId").alias("session_id"),
+        F.col("_e.visitorId").alias("visitor_id"), F.col("_e.url").alias("url"),
+        F.col("_e.referrer").alias("referrer"), F.col("_e.data").alias("data"), "request.*")
+
+
+def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
+    """Envelopes from JSON lines of ``batch_id, body, request, received_at`` (milliseconds).
+
+    A line without a batch id is named by the hash of its body.
+    """
+    rows = spark.read.schema(schemas.ENVELOPE).json(path)
+    return rows.select(F.coalesce("batch_id", F.sha2("body", 256)).alias("batch_id"), "body", "request",
+                       F.timestamp_millis("received_at").alias("received_at"))
+
+
 def parse_event_batches(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split request bodies into (one row per event, rejected bodies).
 

@@ -73,6 +73,32 @@ EVENTS: dict[str, str] = {
         when 2 then 'Mozilla/5.0 (X11; Linux) Firefox/121.0' else null end""",
 }
 
+# What the web server adds to a batch; a batch is one user's.
+REQUEST: dict[str, str] = {
+    "ip_address": EVENTS["ip_address"],
+    "country": f"case when user_id % 9 <> 0 then 'C' || {_s('user_id % 7')} end",
+    "city": f"case when user_id % 5 <> 0 then 'City ' || {_s('user_id % 50')} end",
+    "region": f"'Region ' || {_s('user_id % 12')}",
+    "continent": "case when user_id % 7 < 4 then 'EU' else 'NA' end",
+    "postal_code": f"lpad({_s('user_id % 100000')}, 5, '0')",
+    "metro_code": f"case when user_id % 7 >= 4 then {_s('500 + user_id % 90')} end",
+    "latitude": f"{_s('user_id % 90')} || '.25'",
+    "longitude": f"'-' || {_s('user_id % 180')} || '.5'",
+    "timezone": "case user_id % 3 when 0 then 'Europe/Paris' when 1 then 'America/New_York' end",
+    "colo": f"'P' || {_s('user_id % 20')}",
+    "asn": "cast(64500 + user_id % 30 as bigint)",
+    "organization_identifier": f"'Net ' || {_s('user_id % 30')}",
+    "user_agent": EVENTS["user_agent"],
+    "default_language": "case when user_id % 2 = 0 then 'en-US,en;q=0.9' else 'fr' end",
+    "referer_header": f"'{SITE}/'",
+    "device_type": "case user_id % 4 when 0 then 'desktop' when 1 then 'mobile' when 2 then '' end",
+    "is_eu_country": "user_id % 7 < 4",
+    "tls_version": "'TLSv1.3'",
+    "tls_cipher": "case when user_id % 2 = 0 then 'AEAD-AES128-GCM-SHA256' else 'AEAD-AES256-GCM-SHA384' end",
+    "http_protocol": "case when user_id % 6 = 5 then 'HTTP/3' else 'HTTP/2' end",
+    "origin": f"'{SITE}'",
+}
+
 # Payload text of an event, built from the columns above, for check queries.
 DATA = f"""'{{"depth":' || {_s('depth')} || ',"scrollTop":' || {_s('scroll_px')}
     || ',"activeTime":' || {_s('active_s')} || ',"readingTime":' || {_s('reading_s')}
@@ -193,6 +219,16 @@ def event_envelopes(spark: SparkSession, folder: str) -> DataFrame:
                 .alias("body")))
 
 
+def request_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies with what the web server knows of each request."""
+    user = F.regexp_extract("batch_id", "b([0-9]+)-", 1).cast("long")
+    request = F.struct(*[F.expr(e).alias(n) for n, e in REQUEST.items()])
+    sent = F.get_json_object("body", "$.meta.sentAt").cast("long")
+    return event_envelopes(spark, folder).withColumn("user_id", user).select(
+        "batch_id", "body", request.alias("request"),
+        F.timestamp_millis(F.coalesce(sent, F.lit(0)) + 50).alias("received_at"))
+
+
 def leads(spark: SparkSession, folder: str) -> DataFrame:
     return _select(raw(spark, folder, "customer"), LEADS)
 
