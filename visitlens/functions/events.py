@@ -29,6 +29,7 @@ CHANNELS = [
     ("instagram.", "social_instagram", False),
 ]
 
+# Fixed value: the form of a UUID.
 UUID_PATTERN = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -91,6 +92,7 @@ def local_time(ts: Column, zone: Column) -> dict[str, Column]:
 
 def page_flags(event_type: Column, url: Column) -> dict[str, Column]:
     """Intent marks of one event."""
+    # The page addresses that say intent.
     return {
         "viewed_pricing": F.coalesce(url.contains("/pricing"), F.lit(False)),
         "requested_demo": F.coalesce(url.contains("/demo"), F.lit(False)),
@@ -122,3 +124,39 @@ def fingerprint(user_agent: Column, language: Column, width: Column, height: Col
         "|", text(user_agent), text(language),
         F.concat(text(width), F.lit("x"), text(height)), text(color_depth),
         text(tz_offset), text(session_storage), text(local_storage), text(platform)))
+
+
+# Marks in a user agent and what each stands for, in rule order: later marks are
+# also carried by agents that an earlier one names.
+BROWSER_MARKS = [("Edg/", "Edge"), ("OPR/", "Opera"), ("SamsungBrowser/", "Samsung Internet"), ("CriOS/", "Chrome"),
+                 ("FxiOS/", "Firefox"), ("Firefox/", "Firefox"), ("Chrome/", "Chrome"), ("Safari/", "Safari")]
+SYSTEM_MARKS = [("Windows", "Windows"), ("iPhone", "iOS"), ("iPad", "iOS"), ("iPod", "iOS"), ("Android", "Android"),
+                ("CrOS", "ChromeOS"), ("Mac OS X", "macOS"), ("Macintosh", "macOS"), ("Linux", "Linux")]
+BOT_MARKS = ["bot", "crawl", "spider"]
+TABLET_MARKS = ["iPad", "Tablet", "Kindle"]
+MOBILE_MARKS = ["Mobi", "iPhone", "iPod"]
+
+
+def agent_fields(user_agent: Column) -> dict[str, Column]:
+    """Browser, operating system and device of a user agent; null without one.
+
+    An Android agent that doesn't call itself mobile is a tablet's.
+    """
+    def by_rule(marks: list[tuple[str, str]]) -> Column:
+        out = F.when(filled(user_agent).isNull(), F.lit(None).cast("string"))
+        for mark, name in marks:
+            out = out.when(user_agent.contains(mark), F.lit(name))
+        return out.otherwise(F.lit("Other"))
+
+    def any_of(text: Column, marks: list[str]) -> Column:
+        test = text.contains(marks[0])
+        for mark in marks[1:]:
+            test = test | text.contains(mark)
+        return test
+
+    mobile = any_of(user_agent, MOBILE_MARKS)
+    device = (F.when(filled(user_agent).isNull(), F.lit(None).cast("string"))
+              .when(any_of(F.lower(user_agent), BOT_MARKS), "bot")
+              .when(any_of(user_agent, TABLET_MARKS) | (user_agent.contains("Android") & ~mobile), "tablet")
+              .when(mobile, "mobile").otherwise("desktop"))
+    return {"browser": by_rule(BROWSER_MARKS), "operating_system": by_rule(SYSTEM_MARKS), "device": device}

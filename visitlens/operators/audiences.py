@@ -74,26 +74,42 @@ def audience_assignment(profiles: DataFrame, audiences: dict[str, str], key: str
     return profiles.select(key, F.explode(F.array_compact(F.array(*tests))).alias("audience"))
 
 
-# Variables handed on; text ones when filled, others when known.
-TEXT_VARIABLES = [
-    "first_name", "last_name", "person_name", "email", "phone", "linkedin", "company",
-    "company_name", "company_description", "company_size", "revenue", "industry",
-    "company_website", "domain", "job_title", "seniority", "department", "campaign_id",
-    "campaign_name", "engagement_level",
-]
-OTHER_VARIABLES = [
-    "intent_score", "total_visits", "total_pageviews", "is_first_visit", "viewed_pricing",
-    "submitted_form",
-]
-
-
-def export_variables(profiles: DataFrame, key: str) -> DataFrame:
-    """Profile as a map of its known variables."""
+# Variables handed on, with the profile column of each; text ones when filled, others when known.
+TEXT_VARIABLES = {
+    "first_name": "first_name", "last_name": "last_name", "person_name": "person_name", "email": "email",
+    "phone": "phone", "linkedin": "linkedin_url", "company": "company_name", "company_name": "company_name",
+    "company_description": "company_description", "company_size": "company_headcount",
+    "revenue": "company_revenue", "industry": "company_industry", "company_website": "company_website",
+    "company_linkedin": "company_linkedin", "domain": "domain", "job_title": "job_title",
+    "seniority": "job_seniority", "department": "job_department", "campaign_id": "campaign_id",
+    "campaign_name": "campaign_name", "engagement_level": "engagement_level", "visitor_id": "visitor_id",
+}
+OTHER_VARIABLES = {
+    "intent_score": "intent_score", "total_visits": "total_sessions", "total_pageviews": "total_pageviews",
+    "is_first_visit": "is_first_visit", "viewed_pricing": "viewed_pricing", "submitted_form": "submitted_form",
+}
+
+
+def export_variables(profiles: DataFrame, key: str, absent: tuple[str, ...] = ()) -> DataFrame:
+    """Profile as a map of its known variables.
+
+    A table must have every column a variable comes from, or name it in ``absent``. Campaign id and name
+    come from the latest of ``campaigns`` (JSON) where the table has that instead.
+    """
     types = {f.name: f.dataType for f in profiles.schema.fields}
+    latest = ["campaign_id", "campaign_name"] if "campaigns" in types else []
+    missing = {c for c in {**TEXT_VARIABLES, **OTHER_VARIABLES}.values()
+               if c not in types and c not in latest and c not in absent}
+    if missing:
+        raise ValueError(f"profiles lack {sorted(missing)}")
     pairs: list[Column] = []
-    for name in TEXT_VARIABLES + OTHER_VARIABLES:
-        if name in types:
-            value = _shown(F.col(name), types[name])
-            pairs += [F.lit(name), filled(value) if name in TEXT_VARIABLES else value]
+    for name, column in {**TEXT_VARIABLES, **OTHER_VARIABLES}.items():
+        if column in types:
+            value = _shown(F.col(column), types[column])
+        elif column in latest:
+            value = F.get_json_object("campaigns", f"$[0].{column}")
+        else:
+            continue
+        pairs += [F.lit(name), filled(value) if name in TEXT_VARIABLES else value]
     return profiles.select(key, F.map_filter(
         F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("variables"))

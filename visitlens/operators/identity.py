@@ -9,6 +9,7 @@ from visitlens.functions import emails
 from visitlens.functions.scalars import (
     bound, email_domain, filled, first_filled, payload, payload_struct)
 from visitlens.operators.periods import before, in_period
+from visitlens.operators.profiles import SERVED
 from visitlens.operators.skew import HOT_ROWS, lookup
 from visitlens.session import enable_checkpoints
 
@@ -363,7 +364,7 @@ def resolve_profile(ids: DataFrame, identities: DataFrame, personal: DataFrame,
 
 
 LEAD_PROFILE = ["first_name", "last_name", "person_name", "email", "company_name", "domain",
-                "job_title", "company_industry"]
+                "company_industry", "company_revenue", *SERVED]
 
 
 def _lead_struct() -> Column:
@@ -374,4 +375,4 @@ def _lead_struct() -> Column:
         F.when(both, F.concat_ws(" ", "first_name", "last_name")).alias("person_name"),
         contact.alias("email"), "company_name",
         F.coalesce(filled(F.col("company_website")), filled(email_domain(contact))).alias("domain"),
-        filled(F.col("job_title")).alias("job_title"), "company_industry")
+        "company_industry", "company_revenue", *[filled(F.col(c)).alias(c) for c in SERVED])

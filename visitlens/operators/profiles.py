@@ -13,6 +13,10 @@ from visitlens.operators.periods import before, in_period
 
 CAMPAIGNS_SERVED = 5
 
+#: Lead attributes served as they are, empty text as absent.
+SERVED = ["phone", "linkedin_url", "company_website", "company_description", "company_headcount",
+          "company_linkedin", "job_title", "job_seniority", "job_department"]
+
 
 def visitor_behavior(events: DataFrame, as_of, days: int = 90, key: str = "visitor_id") -> DataFrame:
     """Per visitor over the last ``days``: sessions, page views, visits, flags.
@@ -69,7 +73,7 @@ def lead_profile_build(leads: DataFrame, behavior: DataFrame, campaigns: DataFra
     return out.select(
         "tracking_id", "lead_id", "first_name", "last_name", "person_name", contact.alias("email"),
         F.coalesce(filled(F.col("company_website")), filled(email_domain(contact))).alias("domain"),
-        "company_name", "company_industry", "company_revenue", filled(F.col("job_title")).alias("job_title"),
+        "company_name", "company_industry", "company_revenue", *[filled(F.col(c)).alias(c) for c in SERVED],
         sessions.alias("total_sessions"), F.coalesce("total_pageviews", zero).alias("total_pageviews"),
         "last_visit", "first_visit", pricing.alias("viewed_pricing"),
         F.coalesce("requested_demo", no).alias("requested_demo"),
@@ -81,12 +85,8 @@ def lead_profile_build(leads: DataFrame, behavior: DataFrame, campaigns: DataFra
         scores.engagement_rule(sessions, pricing, visited).alias("engagement_level"))
 
 
-def lead_activity(events: DataFrame, key: str = "visitor_id") -> DataFrame:
-    """Behaviour counters per lead or visitor, over all events given.
-
-    Scroll marks count once per session, so sessions are summed up first; both
-    steps combine rows before they shuffle.
-    """
+def activity_state(events: DataFrame, key: str = "visitor_id") -> DataFrame:
+    """Behaviour counters per visitor and session; mergeable by :func:`merge_activity_states`."""
     flags = ev.page_flags(F.col("type"), F.col("url"))
     view = F.col("type") == "page_view"
     data = F.col("data")
@@ -97,16 +97,28 @@ def lead_activity(events: DataFrame, key: str = "visitor_id") -> DataFrame:
         (view & flags["viewed_product"]).alias("_product"),
         F.when(F.col("type") == "scroll_depth", payload_number(data, "depth")).alias("_depth"),
         F.when(F.col("type") == "page_exit", payload_number(data, "activeTime")).alias("_active"))
-    per_session = slim.groupBy(key, "session_id").agg(
+    return slim.groupBy(key, "session_id").agg(
         F.count_if("_view").alias("pageviews"), F.max("ts").alias("last_visit"),
         F.coalesce(F.sum("_active"), F.lit(0.0)).alias("active"),
-        F.max("_depth").alias("_depth"),
+        F.max("_depth").alias("depth"),
         F.count_if("_pricing").alias("pricing"), F.count_if("_case").alias("cases"),
         F.count_if("_product").alias("products"),
         F.count_if(F.col("type") == "form_submit").alias("forms"),
         F.count_if(F.col("type") == "video_complete").alias("videos"))
-    marks = sum((F.when(F.col("_depth") >= m, 1).otherwise(0) for m in (25, 50, 75, 90, 100)), F.lit(0))
-    return (per_session.withColumn("_marks", marks).groupBy(key).agg(
+
+
+def merge_activity_states(states: DataFrame, key: str = "visitor_id") -> DataFrame:
+    """One row per visitor and session out of the states of any batches."""
+    sums = ["pageviews", "active", "pricing", "cases", "products", "forms", "videos"]
+    return states.groupBy(key, "session_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.max("last_visit").alias("last_visit"), F.max("depth").alias("depth")
+    ).select(*states.columns)
+
+
+def activity_of(states: DataFrame, key: str = "visitor_id") -> DataFrame:
+    """Counters per visitor from states that are one row per session; scroll marks count once per session."""
+    marks = sum((F.when(F.col("depth") >= m, 1).otherwise(0) for m in (25, 50, 75, 90, 100)), F.lit(0))
+    return (states.withColumn("_marks", marks).groupBy(key).agg(
         F.count("session_id").alias("total_sessions"),
         F.sum("pageviews").alias("total_pageviews"),
         F.sum("active").cast("long").alias("total_active_time"),
@@ -117,6 +129,14 @@ def lead_activity(events: DataFrame, key: str = "visitor_id") -> DataFrame:
         F.sum("videos").alias("video_completions")))
 
 
+def lead_activity(events: DataFrame, key: str = "visitor_id") -> DataFrame:
+    """Behaviour counters per lead or visitor, over all events given.
+
+    Sessions are summed up first; both steps combine rows before they shuffle.
+    """
+    return activity_of(activity_state(events, key), key)
+
+
 def intent_score(activity: DataFrame, as_of) -> DataFrame:
     """Add ``intent_score`` and ``engagement_level`` to lead activity."""
     score = scores.intent_score(

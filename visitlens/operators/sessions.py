@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.functions import urls
+from visitlens.functions import events as ev, urls
 from visitlens.functions.scores import engagement_points
-from visitlens.functions.scalars import filled, payload_struct
+from visitlens.functions.scalars import filled, payload, payload_struct
 from visitlens.operators.skew import (
-    HOT_ROWS, Previous, RunningSum, along, heavy_keys, lookup)
+    HOT_ROWS, Previous, RunningMax, RunningSum, along, heavy_keys, lookup)
 
 GAP_SECONDS = 30 * 60
 ORDER = ["ts", "event_id"]
@@ -53,55 +53,110 @@ def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, key: str = "vi
     return along(out, [key], ORDER, {"session_number": RunningSum(starts)}, hot).drop("_before")
 
 
-def browser_family(user_agent: Column) -> Column:
-    """Browser name. Later marks are also claimed by other browsers."""
-    # Mark in the user agent, browser.
-    marks = [("Edg/", "Edge"), ("OPR/", "Opera"), ("Firefox/", "Firefox"),
-             ("Chrome/", "Chrome"), ("Safari/", "Safari")]
-    out = F.when(filled(user_agent).isNull(), F.lit(None).cast("string"))
-    for mark, name in marks:
-        out = out.when(user_agent.contains(mark), F.lit(name))
-    return out.otherwise(F.lit("Other"))
+def _first_filled(name: str) -> Column:
+    """Time, id and value of the first event that has a value."""
+    value = filled(F.col(name).cast("string"))
+    return F.min(F.when(value.isNotNull(), F.struct("ts", "event_id", value.alias("value"))))
 
 
-def session_rollup(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per session from its events (``type`` normalised).
+#: What is said of a session's place and device by its first event that says it.
+FIRST_OF_SESSION = ("country", "city", "region", "user_agent", "device_type", "platform")
 
-    A click on a video emits ``video_watched`` at once and again after ten
-    seconds, so videos are counted by id. Active time adds up the page exits,
-    each of which covers one page load.
+
+def session_state(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Mergeable state of each session: sums, extremes, firsts and lasts with their time, a set of videos.
+
+    States of parts of a session, put together by :func:`merge_session_states`, give the state of
+    the whole. Columns of :data:`FIRST_OF_SESSION` that the table lacks count as null; the
+    platform is also looked for in the payload.
     """
     def of_type(name: str) -> Column:
         return F.count_if(F.col("type") == name)
 
-    place = F.struct(*ORDER)
+    have = [c for c in FIRST_OF_SESSION if c in events.columns]
     slim = events.select(
-        *keys, "ts", "event_id", "type", "url", "country", "user_agent",
+        *keys, "ts", "event_id", "type", "url", *have,
         payload_struct(F.col("data"), "depth double, maxScrollDepth double, activeTime double,"
-                       " videoId string, src string").alias("_p")).select(
+                       " videoId string, src string, platform string").alias("_p")).select(
         "*", F.greatest("_p.depth", "_p.maxScrollDepth").alias("_depth"),
         F.when(F.col("type") == "page_exit", F.col("_p.activeTime")).alias("_active"),
         F.when(F.col("type") == "video_watched", F.coalesce(
             filled(F.col("_p.videoId")), filled(F.col("_p.src")))).alias("_video"))
-    out = slim.groupBy(*keys).agg(
+    if "platform" not in have:
+        slim = slim.withColumn("platform", F.col("_p.platform"))
+    slim = slim.withColumns({c: F.lit(None).cast("string") for c in FIRST_OF_SESSION if c not in slim.columns})
+    page = F.struct("ts", "event_id", "url")
+    return slim.groupBy(*keys).agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
-        F.min_by("url", place).alias("first_page"), F.max_by("url", place).alias("last_page"),
+        F.min(page).alias("first"), F.max(page).alias("last"),
         of_type("page_view").alias("pageviews"), of_type("click").alias("clicks"),
-        F.coalesce(F.max("_depth"), F.lit(0)).cast("int").alias("max_scroll_depth"),
-        of_type("form_start").alias("forms_started"),
-        of_type("form_submit").alias("forms_submitted"),
-        F.count_distinct("_video").alias("videos_watched"),
-        F.coalesce(F.sum("_active"), F.lit(0)).cast("long").alias("active_time"),
-        F.min_by("country", F.when(F.col("country").isNotNull(), place)).alias("country"),
-        F.min_by("user_agent", F.when(F.col("user_agent").isNotNull(), place)).alias("_agent"),
+        F.max("_depth").alias("max_depth"), of_type("form_start").alias("forms_started"),
+        of_type("form_submit").alias("forms_submitted"), F.collect_set("_video").alias("videos"),
+        F.sum("_active").alias("active"), *[_first_filled(c).alias(f"first_{c}") for c in FIRST_OF_SESSION],
         F.count(F.lit(1)).alias("events"))
+
+
+def merge_session_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """One state per session out of the states of its parts."""
+    return states.groupBy(*keys).agg(
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum("pageviews").alias("pageviews"), F.sum("clicks").alias("clicks"),
+        F.max("max_depth").alias("max_depth"), F.sum("forms_started").alias("forms_started"),
+        F.sum("forms_submitted").alias("forms_submitted"),
+        F.array_distinct(F.flatten(F.collect_list("videos"))).alias("videos"), F.sum("active").alias("active"),
+        *[F.min(f"first_{c}").alias(f"first_{c}") for c in FIRST_OF_SESSION], F.sum("events").alias("events"))
+
+
+def finished_sessions(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Session rows as served, from their states.
+
+    Device and system come from what the request or the browser says, else from the user agent.
+    """
+    def said(name: str) -> Column:
+        return F.col(f"first_{name}.value")
+
+    agent = ev.agent_fields(said("user_agent"))
+    out = states.select(
+        *keys, "start_time", "end_time", F.col("first.url").alias("first_page"), F.col("last.url").alias("last_page"),
+        "pageviews", "clicks", F.coalesce("max_depth", F.lit(0)).cast("int").alias("max_scroll_depth"),
+        "forms_started", "forms_submitted", F.size("videos").cast("long").alias("videos_watched"),
+        F.coalesce("active", F.lit(0)).cast("long").alias("active_time"), said("country").alias("country"),
+        said("city").alias("city"), said("region").alias("region"), "events",
+        F.coalesce(said("device_type"), agent["device"]).alias("device"),
+        F.coalesce(said("platform"), agent["operating_system"]).alias("operating_system"),
+        agent["browser"].alias("browser"),
+        seconds_between(F.col("start_time"), F.col("end_time")).alias("duration"))
     milestones = sum((F.when(F.col("max_scroll_depth") >= m, 1).otherwise(0)
                       for m in (25, 50, 75, 90, 100)), F.lit(0))
-    return (out.withColumn("duration", seconds_between(F.col("start_time"), F.col("end_time")))
-            .withColumn("browser", browser_family(F.col("_agent")))
-            .withColumn("engagement_score", F.round(4 * engagement_points(
-                F.col("pageviews"), F.col("active_time"), milestones), 2))
-            .drop("_agent"))
+    return out.withColumn("engagement_score", F.round(4 * engagement_points(
+        F.col("pageviews"), F.col("active_time"), milestones), 2))
+
+
+def session_rollup(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per session from its events (``type`` normalised).
+
+    A click on a video emits ``video_watched`` at once and again after ten
+    seconds, so videos are counted by id. Active time adds up the page exits,
+    each of which covers one page load.
+    """
+    return finished_sessions(session_state(events, keys), keys)
+
+
+def joined_session_states(states: DataFrame, key: str = "visitor_id", gap_seconds: int = GAP_SECONDS,
+                          hot_rows: int = HOT_ROWS) -> DataFrame:
+    """States of whole sessions out of those that any batches cut at the same gap.
+
+    Two parts belong to one session when at most the gap lies between them, or they overlap.
+    """
+    hot = heavy_keys(states, [key], hot_rows)
+    order = ["start_time", "_id"]
+    rows = states.withColumn("_id", F.col("first.event_id"))
+    rows = along(rows, [key], order, {"_until": RunningMax(F.col("end_time"), before=True)}, hot)
+    idle = F.unix_micros("start_time") - F.unix_micros("_until")
+    starts = F.when(idle <= F.lit(gap_seconds * 1_000_000), 0).otherwise(1)
+    rows = along(rows, [key], order, {"_number": RunningSum(starts)}, hot)
+    return merge_session_states(rows, [key, "_number"]).drop("_number")
 
 
 def visitor_totals(events: DataFrame, key: str = "visitor_id",
@@ -115,14 +170,20 @@ def visitor_totals(events: DataFrame, key: str = "visitor_id",
 
 
 def first_touch(events: DataFrame, key: str = "visitor_id") -> DataFrame:
-    """First page, referrer, place and campaign of each visitor."""
+    """First page, referrer, place and campaign of each visitor.
+
+    The time zone is the browser's, from the payload, else that of the request. Columns of the place that the
+    table lacks are null.
+    """
+    place = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c)
+             for c in ("country", "city", "region", "timezone")]
     first = (events.filter(F.col(key).isNotNull()).groupBy(key)
-             .agg(F.min_by(F.struct("ts", "url", "referrer", "country"),
-                           F.struct(*ORDER)).alias("_f")))
+             .agg(F.min_by(F.struct("ts", "url", "referrer", *place, "data"), F.struct(*ORDER)).alias("_f")))
     # Only the winning row's address is parsed.
     return first.select(key, "_f.*").withColumn("_params", urls.url_params(F.col("url"))).select(
         key, F.col("ts").alias("first_seen_at"), F.col("url").alias("first_page"),
-        filled(F.col("referrer")).alias("first_referrer"), filled(F.col("country")).alias("country"),
+        filled(F.col("referrer")).alias("first_referrer"), *[filled(F.col(c)).alias(c) for c in ("country", "city", "region")],
+        F.coalesce(filled(payload(F.col("data"), "timezone")), filled(F.col("timezone"))).alias("timezone"),
         *[urls.param(F.col("_params"), n).alias(n) for n in urls.STORED_CAMPAIGN_PARAMS])
 
 

@@ -43,7 +43,11 @@ ROLLUP_SQL = f"""
         arg_min(country, (ts, event_id)) filter (country is not null) as country,
         count(*) as events,
         cast(floor(epoch(max(ts) - min(ts))) as bigint) as duration,
+        arg_min(city, (ts, event_id)) filter (city <> '') as city,
+        arg_min(region, (ts, event_id)) filter (region is not null) as region,
         case min(user_id) % 4 when 0 then 'Chrome' when 1 then 'Safari' when 2 then 'Firefox' end as browser,
+        case min(user_id) % 4 when 0 then 'Windows' when 1 then 'macOS' when 2 then 'Linux' end as operating_system,
+        case when min(user_id) % 8 = 0 then 'mobile' when min(user_id) % 4 <> 3 then 'desktop' end as device,
         round(4 * least(25.0, count(*) filter (type = 'page_view') * 1.5::double
             + coalesce(sum(active_s) filter (type = 'page_exit'), 0) / 60.0::double + {MARKS})::double, 2)
             as engagement_score

@@ -385,22 +385,27 @@ def audience_assignment(spark, folder):
     return audiences.audience_assignment(profile_table(spark, folder), AUDIENCES, "tracking_id")
 
 
-@query("export_variables", f"""
-    with p as ({PROFILES_SQL})
-    select tracking_id, 'first_name' as name, first_name as value from p where first_name is not null
-    union all select tracking_id, 'last_name', last_name from p where last_name is not null
-    union all select tracking_id, 'person_name', person_name from p where person_name is not null
-    union all select tracking_id, 'email', email from p
-    union all select tracking_id, 'company_name', company_name from p
-    union all select tracking_id, 'domain', domain from p
-    union all select tracking_id, 'job_title', job_title from p where job_title is not null
-    union all select tracking_id, 'engagement_level', engagement_level from p
-    union all select tracking_id, 'total_pageviews', cast(total_pageviews as varchar) from p
-    union all select tracking_id, 'is_first_visit', cast(not has_visited as varchar) from p
-    union all select tracking_id, 'viewed_pricing', cast(viewed_pricing as varchar) from p
-    union all select tracking_id, 'submitted_form', cast(submitted_form as varchar) from p""")
+_TEXT = ["first_name", "last_name", "person_name", "email", "phone", "company_name", "company_description",
+         "company_website", "company_linkedin", "domain", "job_title", "engagement_level"]
+_TEXT_FROM = {"company": "company_name", "linkedin": "linkedin_url", "company_size": "company_headcount",
+              "revenue": "company_revenue", "industry": "company_industry", "seniority": "job_seniority",
+              "department": "job_department", "visitor_id": "tracking_id", "campaign_id": "campaigns[0].campaign_id",
+              "campaign_name": "campaigns[0].campaign_name"}
+_OTHER_FROM = {"intent_score": "intent_score", "total_visits": "total_sessions", "total_pageviews": "total_pageviews",
+               "is_first_visit": "is_first_visit", "viewed_pricing": "viewed_pricing", "submitted_form": "submitted_form"}
+VARIABLES_SQL = f"""
+    with p as (select * replace (from_json(campaigns, '[{{"campaign_id":"VARCHAR","campaign_name":"VARCHAR"}}]') as campaigns),
+            cast(null as double) as intent_score from ({PROFILES_SQL})),
+    v as ({' union all '.join(
+        f"select tracking_id, '{n}' as name, cast({c} as varchar) as value from p"
+        for n, c in {**dict(zip(_TEXT, _TEXT, strict=True)), **_TEXT_FROM, **_OTHER_FROM}.items()).replace("campaigns[0]", "campaigns[1]")})
+    select * from v where value is not null"""
+
+
+@query("export_variables", VARIABLES_SQL)
 def export_variables(spark, folder):
-    out = audiences.export_variables(profile_table(spark, folder), "tracking_id")
+    profiles = profile_table(spark, folder).withColumn("visitor_id", F.col("tracking_id"))
+    out = audiences.export_variables(profiles, "tracking_id", absent=("intent_score",))
     return out.select("tracking_id", F.explode("variables").alias("name", "value"))
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlens.functions import emails
-from visitlens.operators import campaigns, enrich, identity, sessions, stitching, upserts
-from visitlens.operators.skew import lookup
+from visitlens.operators import campaigns, enrich, identity, profiles, stitching, upserts
+from visitlens.operators.periods import in_period
+from visitlens.plans.behavior_queries import ROLLUP_SQL
 from visitlens.plans.catalog import events, query, raw_events
 from visitlens.plans.event_queries import STATUS_SQL
-from visitlens.plans.profile_queries import CLICKS_SQL, CONTACT, PROFILES_SQL, profile_table
-from visitlens.session import enable_checkpoints
+from visitlens.plans.profile_queries import CLICKS_SQL, CONTACT, PROFILES_SQL, profile_table, scored_sql
+from visitlens.session import enable_checkpoints, new_folder
 from visitlens.sources import samples, writers
+from visitlens.sources.session_table import SessionTable, activity_log
 
 AS_OF = samples.AS_OF
 
@@ -146,48 +148,63 @@ def sync_candidates(spark, folder):
                                     days=5).select("lead_id")
 
 
-# The identity snapshot holds every seventh lead, the personal one every fifth.
-CASCADE_IDS = "select distinct visitor_id from te where visitor_id is not null union select 'x' || cast(c_custkey as varchar) from customer where c_custkey % 40 = 0"
+# The identity snapshot holds the leads of a campaign, the personal one those that were seen.
+CASCADE_IDS = """select distinct visitor_id from te where visitor_id is not null
+    union select tracking_id from leads where tracking_id <> ''
+    union select 'x' || cast(c_custkey as varchar) from customer"""
+_LEAD_SQL = {
+    "first_name": "nullif({0}.first_name, '')", "last_name": "{0}.last_name",
+    "person_name": "case when nullif({0}.first_name, '') is not null and {0}.last_name is not null"
+                   " then {0}.first_name || ' ' || {0}.last_name end",
+    "email": "coalesce(nullif({0}.work_email, ''), {0}.personal_email)", "company_name": "{0}.company_name",
+    "domain": "coalesce({0}.company_website, split_part(coalesce(nullif({0}.work_email, ''), {0}.personal_email), '@', 2))",
+    "company_industry": "{0}.company_industry", "company_revenue": "{0}.company_revenue",
+    **{c: "nullif({0}." + c + ", '')" for c in profiles.SERVED}}
+
+
+def _cascade_field(name: str) -> str:
+    return (f"case when source in ('identity', 'personalization') then p.{name} when source = 'lead' then "
+            f"{_LEAD_SQL[name].format('l')} when source = 'visitor_lead' then {_LEAD_SQL[name].format('vl')} end as {name}")
+
+
 CASCADE_SQL = f"""
     with p as ({PROFILES_SQL}), ids as ({CASCADE_IDS}), r as (
     select i.visitor_id,
-        case when i.visitor_id in (select tracking_id from p where cast(substr(lead_id, 2) as bigint) % 7 = 0) then 'identity'
-            when i.visitor_id in (select tracking_id from p where cast(substr(lead_id, 2) as bigint) % 5 = 0) then 'personalization'
+        case when p.is_in_campaign then 'identity' when p.has_visited then 'personalization'
             when l.lead_id is not null then 'lead'
             when v.is_identified and vl.lead_id is not null then 'visitor_lead'
             when v.is_identified then 'lead_missing'
             when v.visitor_id is not null then 'anonymous' else 'unknown' end as source,
         l, vl, p, v
     from ids i left join leads l on l.tracking_id = i.visitor_id
-        and cast(substr(l.lead_id, 2) as bigint) % 4 <> 0
     left join visitors v on v.visitor_id = i.visitor_id left join leads vl on vl.lead_id = v.lead_id
     left join p on p.tracking_id = i.visitor_id)
     select visitor_id, source, source in ('identity', 'personalization', 'lead', 'visitor_lead') as personalized,
-        case when source in ('identity', 'personalization') then p.email
-            when source = 'lead' then coalesce(nullif(l.work_email, ''), l.personal_email)
-            when source = 'visitor_lead' then coalesce(nullif(vl.work_email, ''), vl.personal_email) end as email,
+        {', '.join(map(_cascade_field, _LEAD_SQL))},
+        case when source in ('lead', 'visitor_lead') then 0.0::double end as intent_score,
         case when source in ('identity', 'personalization') then p.engagement_level
             when source in ('lead', 'visitor_lead') then 'new' end as engagement_level,
+        case when source in ('identity', 'personalization') then p.is_first_visit
+            when source = 'lead' then true end as is_first_visit,
         case when source in ('identity', 'personalization') then p.total_sessions
-            when source = 'lead' then 0 when source = 'visitor_lead' then v.total_sessions end as total_sessions
+            when source = 'lead' then 0 when source = 'visitor_lead' then v.total_sessions end as total_sessions,
+        case when source in ('identity', 'personalization') then p.total_pageviews
+            when source = 'lead' then 0 when source = 'visitor_lead' then cast(v.total_pageviews as bigint) end
+            as total_pageviews
     from r"""
 
 
 @query("resolve_profile", CASCADE_SQL)
 def resolve_profile(spark, folder):
     p = profile_table(spark, folder)
-    n = F.substring("lead_id", 2, 20).cast("long")
-    ids_snapshot = writers.profile_snapshot(p.filter(n % 7 == 0), "tracking_id", AS_OF)
-    personal = writers.profile_snapshot(p.filter(n % 5 == 0), "tracking_id", AS_OF)
-    strangers = (samples.raw(spark, folder, "customer").filter("c_custkey % 40 = 0")
+    ids_snapshot = writers.profile_snapshot(p.filter("is_in_campaign"), "tracking_id", AS_OF)
+    personal = writers.profile_snapshot(p.filter("has_visited"), "tracking_id", AS_OF)
+    strangers = (samples.raw(spark, folder, "customer")
                  .select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("visitor_id")))
-    wanted = events(spark, folder).select("visitor_id").unionByName(strangers)
-    # Leads whose tracking id was withdrawn can be reached through the visitor only.
-    leads = samples.leads(spark, folder).withColumn(
-        "tracking_id", F.when(n % 4 != 0, F.col("tracking_id")))
-    return identity.resolve_profile(wanted, ids_snapshot, personal, leads,
-                                    samples.web_visitors(spark, folder)).select(
-        "visitor_id", "source", "personalized", "email", "engagement_level", "total_sessions")
+    leads = samples.leads(spark, folder)
+    tracked = leads.filter("tracking_id <> ''").select(F.col("tracking_id").alias("visitor_id"))
+    wanted = events(spark, folder).select("visitor_id").unionByName(strangers).unionByName(tracked)
+    return identity.resolve_profile(wanted, ids_snapshot, personal, leads, samples.web_visitors(spark, folder))
 
 
 # Each user's visitor row carries one of the three hashes of a lead's address.
@@ -390,30 +407,30 @@ def assign_tracking_ids(spark, folder):
     return upserts.assign_tracking_ids(samples.leads(spark, folder)).select("lead_id", "tracking_id")
 
 
-MERGED_SQL = """
-    select visitor_id, count(*) filter (type = 'page_view') as total_pageviews,
-        count(*) filter (type = 'click') as total_clicks, count(distinct session_id) as total_sessions,
-        max(ts) as last_seen_at
-    from te where visitor_id is not null group by visitor_id"""
+# The month in three batches; sessions of this gap cross both borders.
+BATCHES = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01")]
 
 
-def _totals_merge(spark, folder, key: str):
-    ev = events(spark, folder).filter(F.col(key).isNotNull())
-    cut = F.lit(samples.CUT).cast("timestamp")
-    old = sessions.visitor_totals(ev.filter(F.col("ts") < cut), key)
-    touched = ev.filter(F.col("ts") >= cut).select(key).distinct()
-    fresh = sessions.visitor_totals(lookup(ev, touched, key, "event_id", how="left_semi"), key)
-    return upserts.merge_touched(old, fresh, [key])
+def _batches(spark, folder):
+    ev = events(spark, folder)
+    for since, until in BATCHES:
+        yield ev.filter((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp")))
 
 
-@query("merge_profiles", MERGED_SQL)
-def merge_profiles(spark, folder):
-    return _totals_merge(spark, folder, "visitor_id")
+@query("merge_sessions", ROLLUP_SQL)
+def merge_sessions(spark, folder):
+    table = SessionTable(spark, new_folder(spark, "session-table"), gap_seconds=6 * 3600)
+    for n, batch in enumerate(_batches(spark, folder)):
+        table.merge(batch, f"batch-{n}")
+    return table.read()
 
 
-@query("merge_sessions", MERGED_SQL.replace("visitor_id", "session_id"))
-def merge_sessions(spark, folder):
-    return _totals_merge(spark, folder, "session_id")
+@query("merge_profiles", f"select * exclude (age) from ({scored_sql()})")
+def merge_profiles(spark, folder):
+    log = activity_log(spark, new_folder(spark, "activity"), buckets=4, fold_every=2)
+    for n, batch in enumerate(_batches(spark, folder)):
+        log.add(profiles.activity_state(in_period(batch, until=AS_OF)), n)
+    return profiles.lead_profiles(samples.leads(spark, folder), profiles.activity_of(log.read()), AS_OF)
 
 
 @query("delete_lead", f"""

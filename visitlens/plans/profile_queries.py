@@ -40,6 +40,11 @@ RULE_SQL = """case when coalesce(total_sessions, 0) >= 3 and coalesce(viewed_pri
     when b.visitor_id is not null then 'cold' else 'new' end"""
 
 
+SERVED_SQL = """phone, linkedin_url, company_website, company_description, company_headcount,
+        nullif(company_linkedin, '') as company_linkedin, nullif(job_title, '') as job_title,
+        nullif(job_seniority, '') as job_seniority, job_department"""
+
+
 def profiles_sql(days: int) -> str:
     return f"""
     select l.tracking_id, l.lead_id,
@@ -47,7 +52,7 @@ def profiles_sql(days: int) -> str:
         coalesce(last_name, substr(person_name, strpos(person_name, ' ') + 1)) as last_name,
         person_name, {CONTACT} as email,
         coalesce(company_website, split_part({CONTACT}, '@', 2)) as domain,
-        company_name, company_industry, company_revenue, nullif(job_title, '') as job_title,
+        company_name, company_industry, company_revenue, {SERVED_SQL},
         coalesce(total_sessions, 0) as total_sessions, coalesce(total_pageviews, 0) as total_pageviews,
         last_visit, first_visit, coalesce(viewed_pricing, false) as viewed_pricing,
         coalesce(requested_demo, false) as requested_demo,
@@ -166,14 +171,15 @@ def visitor_totals(spark, folder):
 
 @query("first_touch", """
     select visitor_id, ts as first_seen_at, url as first_page, referrer as first_referrer, country,
+        nullif(city, '') as city, region, timezone,
         case when k % 3 = 1 then 'last' end as utm_source,
         case when k % 3 = 2 then 'c' || cast(k % 5 as varchar) end as utm_campaign
     from te where visitor_id is not null
     qualify row_number() over (partition by visitor_id order by ts, event_id) = 1""")
 def first_touch(spark, folder):
     return sessions.first_touch(events(spark, folder)).select(
-        "visitor_id", "first_seen_at", "first_page", "first_referrer", "country", "utm_source",
-        "utm_campaign")
+        "visitor_id", "first_seen_at", "first_page", "first_referrer", "country", "city", "region", "timezone",
+        "utm_source", "utm_campaign")
 
 
 @query("company_activity", f"""

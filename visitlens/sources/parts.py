@@ -71,6 +71,42 @@ class PartTable:
         df.write.partitionBy(*partition_by).mode("overwrite").parquet(path)
         return path
 
+    def values(self, kind: str, name: str, column: str) -> list[str]:
+        """Values of the column that a part is partitioned by."""
+        folders = self._fs.listStatus(self._path(self.folder(kind, name)))
+        names = [s.getPath().getName() for s in folders if s.isDirectory()]
+        return sorted(n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}="))
+
+    def replace(self, df: DataFrame, kind: str, name: str, column: str, values: list[str],
+                add: list[Part] = (), without: str | None = None) -> int:
+        """Publish ``df`` as what the table holds for some values of ``column``.
+
+        Other values stay in the parts that hold them, which are not touched. ``add``: further parts of
+        this version; ``without``: a kind of which the new version has no parts.
+        """
+        version = self.version()
+        self.write(df, kind, f"part={name}", (column,))
+        written = self.values(kind, f"part={name}", column)
+        gone, out = {*map(str, values), *written}, []
+        for p in self.parts(version=version):
+            if p.kind == kind:
+                left = [v for v in p.facts["values"] if v not in gone]
+                out += [Part(kind, p.name, {**p.facts, "values": left})] if left else []
+            elif p.kind != without:
+                out.append(p)
+        if written:
+            out.append(Part(kind, f"part={name}", {"values": written}))
+        return self.publish(out + list(add), version)
+
+    def live(self, kind: str, schema, column: str, keep=None, version: int | None = None) -> DataFrame:
+        """What the table holds by :meth:`replace`; ``keep(value)`` says which values are read at all."""
+        paths = [f"{self.folder(kind, p.name)}/{column}={v}" for p in self.parts(kind, version)
+                 for v in p.facts["values"] if keep is None or keep(v)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read.schema(schema).option("basePath", self.folder(kind)).parquet(*paths)
+                .drop("part"))
+
     def read(self, parts: list[Part], schema) -> DataFrame:
         """The rows of some parts of one kind; without parts, none.
 

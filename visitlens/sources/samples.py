@@ -68,6 +68,10 @@ EVENTS: dict[str, str] = {
     "position_s": "k",
     "duration_s": "10 + (user_id % 9) * 10",
     "country": f"case when k % 9 <> 0 then 'C' || {_s('user_id % 7')} end",
+    "city": f"case when k % 7 <> 0 then 'City ' || {_s('user_id % 50')} else '' end",
+    "region": f"case when k % 5 <> 0 then 'Region ' || {_s('user_id % 12')} end",
+    "timezone": "case user_id % 3 when 0 then 'Europe/Paris' when 1 then 'America/New_York' end",
+    "device_type": "case user_id % 8 when 0 then 'mobile' when 1 then '' end",
     "user_agent": """case user_id % 4 when 0 then 'Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36'
         when 1 then 'Mozilla/5.0 (Macintosh) Version/17.0 Safari/605.1'
         when 2 then 'Mozilla/5.0 (X11; Linux) Firefox/121.0' else null end""",
@@ -128,6 +132,13 @@ LEADS: dict[str, str] = {
     "company_name": f"'Company ' || {_s('c_nationkey')}",
     "company_website": f"""case when c_custkey % 6 = 0 then
         'corp' || {_s('c_nationkey')} || '.com' end""",
+    "phone": f"'+1 555 ' || lpad({_s('c_custkey % 10000')}, 4, '0')",
+    "linkedin_url": f"case when c_custkey % 3 = 0 then 'https://linkedin.com/in/' || {_s('c_custkey')} end",
+    "company_linkedin": f"case when c_custkey % 8 <> 0 then 'https://linkedin.com/company/' || {_s('c_nationkey')} else '' end",
+    "company_description": "case when c_custkey % 11 <> 0 then 'Works in ' || c_mktsegment end",
+    "company_headcount": f"case when c_custkey % 13 <> 0 then {_s('1 + c_custkey % 900')} end",
+    "job_seniority": "case c_custkey % 3 when 0 then 'Senior' when 1 then '' end",
+    "job_department": "case when c_custkey % 4 = 1 then 'Sales' end",
     "company_industry": "c_mktsegment",
     "company_revenue": f"{_s('cast(floor(c_acctbal) as bigint)')}",
     "job_title": "case when c_custkey % 2 = 0 then 'Manager' else '' end",
@@ -163,7 +174,7 @@ VISITORS: dict[str, str] = {
     "last_seen_at": "cast(max(ts) as timestamp)",
     "is_identified": "user_id % 3 = 0",
     "lead_id": f"""case when user_id % 3 = 0 then
-        'L' || {_s('case when user_id % 30 = 0 then -1 else user_id end')} end""",
+        'L' || {_s('case when user_id % 6 = 0 then -1 else user_id end')} end""",
     "identified_at": "cast(case when user_id % 3 = 0 then max(ts) end as timestamp)",
     "total_sessions": "count(distinct cast(ts as date))",
     "total_pageviews": "sum(case when event_type = 'view' then 1 else 0 end)",
@@ -191,7 +202,7 @@ def tracking_events(spark: SparkSession, folder: str) -> DataFrame:
     data = F.to_json(F.struct(*[F.expr(e).alias(n) for n, e in fields.items()]))
     return wide.withColumn("data", data).select(
         "event_id", "ts", "batch_id", "pos", "visitor_id", "session_id", "raw_type", "url",
-        "referrer", "ip_address", "country", "user_agent", "data")
+        "referrer", "ip_address", "country", "city", "region", "timezone", "device_type", "user_agent", "data")
 
 
 def event_envelopes(spark: SparkSession, folder: str) -> DataFrame:
