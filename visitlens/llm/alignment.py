@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,13 +45,13 @@ PART = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 
 @dataclass(frozen=True)
 class Settings:
-    """Files of the two vocabularies; ``most_hot`` bounds the list of frequent pairs; ``most_parts``
-    and ``longest_part`` bound what a worker remembers."""
+    """Files of the two vocabularies; ``most_hot`` bounds the list of frequent pairs; twice ``most_parts``
+    parts of up to ``longest_part`` letters are what a worker remembers."""
 
     a: str = "byte_bpe_50k.json"
     b: str = "piece_bpe_32k.model"
     most_hot: int = 100_000
-    most_parts: int = 200_000
+    most_parts: int = 150_000
     longest_part: int = 200
 
 
@@ -61,17 +62,9 @@ def letters_of_bytes() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(other)}}
 
 
-@dataclass
-class Part:
-    """Alignment of a stretch of text: both sides' numbers of tokens, groups as text, the A ids of regular
-    groups, and the pairs of the others as ``a << 32 | b``."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    regular: bytes
-    pairs: bytes
+#: Alignment of a stretch of text: both sides' numbers of tokens, number of groups, groups as text (``;`` behind
+#: each), the A ids of regular groups (unsigned 32-bit), the pairs of the others (64-bit ``a << 32 | b``).
+Part = tuple[int, int, int, str, bytes, bytes]
 
 
 class Aligner:
@@ -98,7 +91,15 @@ class Aligner:
         of = {x: i for kind in (False, True) for i, x in enumerate(self.bytes_b) if plain[i] is kind}
         self.same = np.array([of.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
         self.cut = not any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if plain[i])
-        self.parts: dict[str, Part | None] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        shown = [str(i).encode() for i in range(most)]
+        self.n_digits = np.array([len(x) for x in shown], np.int64)
+        width = int(self.n_digits[-1]) + 1
+        self.digits = np.frombuffer(b"".join(x.ljust(width) for x in shown), np.uint8).reshape(most, width)
+        # What the last parts were, and what those before them were.
+        self.young: dict[str, Part | None] = {}
+        self.old: dict[str, Part | None] = {}
 
     def ids_of_a(self, text: str) -> list[int]:
         return self.a.encode_ordinary(text)
@@ -134,35 +135,93 @@ class Aligner:
                     groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
                     pairs.append(a << 32 | b)
                 from_a, from_b = i, j
-        return Part(len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(regular, "<u4").tobytes(),
-                    np.array(pairs, "<i8").tobytes())
+        return (len(ids_a), len(ids_b), len(groups), "".join([g + ";" for g in groups]),
+                np.array(regular, "<u4").tobytes(), np.array(pairs, "<i8").tobytes())
 
     def cut_up(self, text: str) -> list[str]:
         """Parts of a text, with the space that both tokenizers put in front of it."""
         return PART.findall(" " + text) if self.cut else [" " + text]
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self.parts) + len(parts) > self.settings.most_parts:
-            self.parts.clear()
-        new = list(parts)
-        self.parts.update(zip(new, self._solved(new), strict=True))
+    def solved(self, parts: list[str]) -> list[Part | None]:
+        """Alignments of some parts. Parts that are not about white space are put behind one another and
+        tokenised as one text, as neither side crosses from one to the next."""
+        together = [p for p in parts if self.cut and not p[-1].isspace()]
+        out = {}
+        for at in range(0, len(together), 20_000):
+            some = together[at:at + 20_000]
+            out.update(zip(some, self._solved_together(some) or map(self._solved_alone, some), strict=True))
+        return [out[p] if p in out else self._solved_alone(p) for p in parts]
+
+    def _solved_alone(self, part: str) -> Part | None:
+        return self.align(part, self.ids_of_a(part), self.ids_of_b([part[1:]])[0])
+
+    def _solved_together(self, parts: list[str]) -> list[Part] | None:
+        """Alignments of parts in a row; None if a side doesn't give all of their bytes back."""
+        text = "".join(parts)
+        raw, ends = text.encode(), np.cumsum([len(p.encode()) for p in parts])
+        # B's merging takes longer per letter in long texts.
+        few = ["".join(parts[i:i + 200])[1:] for i in range(0, len(parts), 200)]
+        a = np.array(self.ids_of_a(text), np.int64)
+        b = np.fromiter(chain.from_iterable(self.ids_of_b(few)), np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at = np.zeros((2, len(raw) + 1), bool)
+        if (b"".join([self.bytes_a[i] for i in a.tolist()]) != raw or not self.size_a[a].all()
+                or b"".join([self.bytes_b[i] for i in b.tolist()]) != raw or not self.size_b[b].all()):
+            return None
+        at[0, ends_a] = at[1, ends_b] = True
+        if not at[:, ends].all():
+            return None
+        last_a, last_b = at[1, ends_a], at[0, ends_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        upto_a, upto_b = np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right")
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        to_a, to_b = a[last_a], b[last_b]
+        regular = (in_a == 1) & (in_b == 1) & (self.same[to_a] == to_b)
+        part = np.repeat(np.arange(len(parts)), n_a)[last_a]
+        # Groups in writing order: A's tokens of a group, then B's.
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+        ids, behind = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        behind[place_a], behind[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        n = self.n_digits[ids]
+        letters = self.digits[ids]
+        letters[np.arange(len(ids)), n] = behind
+        text = letters[np.arange(letters.shape[1]) <= n[:, None]].tobytes().decode()
+        cut = [0, *np.cumsum(n + 1)[np.cumsum(n_a + n_b) - 1].tolist()]
+        keys = (to_a << 32 | to_b)[~regular].astype("<i8").tobytes()
+        known = to_a[regular].astype("<u4").tobytes()
+        r = [0, *(4 * np.cumsum(np.bincount(part[regular], minlength=len(parts)))).tolist()]
+        k = [0, *(8 * np.cumsum(np.bincount(part[~regular], minlength=len(parts)))).tolist()]
+        groups = np.bincount(part, minlength=len(parts)).tolist()
+        return [(na, nb, g, text[t:u], known[v:w], keys[x:y]) for na, nb, g, t, u, v, w, x, y in
+                zip(n_a.tolist(), n_b.tolist(), groups, cut, cut[1:], r, r[1:], k, k[1:], strict=False)]
 
-    def _solved(self, parts: list[str]) -> list[Part | None]:
-        return [self.align(p, self.ids_of_a(p), ids) for p, ids in
-                zip(parts, self.ids_of_b([p[1:] for p in parts]), strict=True)]
+    def learn(self, parts: set[str]) -> None:
+        """Have the parts at hand; the least lately used half goes when there are too many."""
+        if len(self.young) > self.settings.most_parts:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for p in parts:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        if new:
+            self.young.update(zip(new, self.solved(new), strict=True))
 
     def texts(self, texts: list[str]) -> list[list[Part]]:
         """Aligned parts per text; none for texts without tokens."""
         cut = [self.cut_up(t) if t else [] for t in texts]
-        longest = self.settings.longest_part
-        new = {p for parts in cut for p in parts if len(p) <= longest}.difference(self.parts)
-        if new:
-            if len(self.parts) + len(new) > self.settings.most_parts:
-                new = {p for parts in cut for p in parts if len(p) <= longest}
-            self.learn(new)
+        parts_of_all = set(chain.from_iterable(cut))
+        long = {p for p in parts_of_all if len(p) > self.settings.longest_part}
+        self.learn(parts_of_all - long)
         out = []
         for text, parts in zip(texts, cut, strict=True):
-            got = [self.parts[p] if len(p) <= longest else self._solved([p])[0] for p in parts]
+            got = (list(map(self.young.__getitem__, parts)) if long.isdisjoint(parts) else
+                   [self.solved([p])[0] if p in long else self.young[p] for p in parts])
             if None in got:
                 # What fails in a part may be made good elsewhere; only the whole text decides.
                 one = self.align(" " + text, self.ids_of_a(" " + text), self.ids_of_b([text])[0])
@@ -198,11 +257,12 @@ def aligned(docs: DataFrame, settings: Settings = Settings(), keep_groups: bool
                 part = b.slice(at, 128)
                 out = []
                 for got in of.texts(part.column(1).to_pylist()):
-                    groups = ";".join([p.groups for p in got])
-                    pairs, times = np.unique(np.frombuffer(b"".join([p.pairs for p in got]), "<i8"), return_counts=True)
-                    out.append((sum([p.n_a for p in got]), sum([p.n_b for p in got]), sum([p.n_groups for p in got]),
+                    n_a, n_b, n_groups, groups, regular, pairs = zip(*got, strict=True) if got else [()] * 6
+                    groups = "".join(groups)[:-1]
+                    pairs, times = np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_counts=True)
+                    out.append((sum(n_a), sum(n_b), sum(n_groups),
                                 hashlib.sha256(groups.encode()).hexdigest() if got else "",
-                                b"".join([p.regular for p in got]), pairs, times, groups if keep_groups else None))
+                                b"".join(regular), pairs, times, groups if keep_groups else None))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(out))), part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]),
