@@ -55,7 +55,7 @@ def test_rerun_of_a_batch_counts_once(spark, tmp_path):
     # Fresh progress repeats every batch, as a restart after a failure may.
     (tmp_path / "totals" / "progress").rename(tmp_path / "old-progress")
     jobs.stream_visitor_totals(stream, out).awaitTermination()
-    got = jobs.visitor_totals_of(spark.read.parquet(f"{out}/out")).first()
+    got = jobs.visitor_totals_of(jobs.visitor_sessions_log(spark, out).read()).first()
     assert (got.total_pageviews, got.total_clicks, got.total_sessions) == (1, 2, 2)
 
 
@@ -73,6 +73,26 @@ def test_identity_change_is_reported_once(spark, tmp_path):
     assert got == {"v": 3, "w": 2}
 
 
+def test_identity_stream_equals_batch_over_many_batches(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *"abcdefgh"]), i, rng.choice(["{}", '{"email":"a@b.co"}', '{"tracking_id":"t"}', None]))
+            for i in range(120)]
+    frames = [spark.createDataFrame(rows[i:i + 10], "visitor_id string, event_id long, data string").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1000) - F.col("event_id") % 10 + F.lit(i * 20))) for i in range(0, 120, 10)]
+    out = str(tmp_path / "identity")
+    query = jobs.stream_identity(feed(spark, tmp_path, frames), out)
+    query.awaitTermination()
+    want = {}
+    for i in range(0, 120, 10):
+        for visitor, n, data in sorted((r for r in rows[i:i + 10] if r[0] and r[2] not in (None, "{}")),
+                                       key=lambda r: (-(r[1] % 10), r[1])):
+            if visitor not in want:
+                want[visitor] = n
+    assert {r.visitor_id: r.event_id for r in spark.read.parquet(f"{out}/out").collect()} == want
+    # A batch reads its own file and nothing of the output.
+    assert {p["numInputRows"] for p in query.recentProgress if p["numInputRows"]} == {10}
+
+
 def test_hot_lead_alert_and_cooling(spark, tmp_path):
     def frame(day, **score):
         return spark.createDataFrame([(k, v) for k, v in score.items()], "lead_id string, intent_score double"
@@ -81,5 +101,31 @@ def test_hot_lead_alert_and_cooling(spark, tmp_path):
     frames = [frame(1, a=70.0, b=10.0), frame(2, a=90.0, b=65.0), frame(3, a=20.0), frame(4, a=60.0, b=61.0)]
     out = str(tmp_path / "hot")
     jobs.stream_hot_leads(feed(spark, tmp_path, frames), out).awaitTermination()
-    got = sorted((r.lead_id, r.as_of.day) for r in spark.read.parquet(f"{out}/out").filter("alert").collect())
-    assert got == [("a", 1), ("a", 4), ("b", 2)]
+    alerts = jobs.lead_scores_log(spark, out).outcomes(jobs.HOT)
+    assert sorted((r.lead_id, r.as_of.day) for r in alerts.collect()) == [("a", 1), ("a", 4), ("b", 2)]
+
+
+def test_a_batch_reads_as_much_after_many_batches(spark, tmp_path, monkeypatch):
+    """Files of the log that a batch opens: the buckets of its keys and the unfolded tail."""
+    read = []
+    of = jobs.KeyedLog.read_for
+
+    def counted(self, keys, schema):
+        out = of(self, keys, schema)
+        read.append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(jobs.KeyedLog, "read_for", counted)
+    frames = [spark.createDataFrame([(f"L{i % 7}", float(10 * (i % 9)))], "lead_id string, intent_score double")
+              .withColumn("as_of", F.timestamp_seconds(F.lit(i * 1000))) for i in range(24)]
+    out = str(tmp_path / "hot")
+    jobs.stream_hot_leads(feed(spark, tmp_path, frames), out, buckets=4, fold_every=3).awaitTermination()
+    assert len(read) == 24 and max(read[12:]) <= max(read[3:9]) <= 1 + 2 + 2
+    last = {}
+    want = []
+    for i in range(24):
+        lead, score = f"L{i % 7}", 10 * (i % 9)
+        if score >= 60 > last.get(lead, 0):
+            want.append((lead, i * 1000))
+        last[lead] = score
+    alerts = jobs.lead_scores_log(spark, out).outcomes(jobs.HOT).collect()
+    assert sorted((r.lead_id, int(r.as_of.timestamp())) for r in alerts) == sorted(want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlens import schemas
-from visitlens.functions import urls
+from visitlens.functions import emails, urls
 from visitlens.functions.scalars import filled, payload
 from visitlens.operators import audiences, campaigns, enrich
 from visitlens.plans.catalog import events, query, raw_events, sql_hash32
@@ -337,11 +337,21 @@ def deterministic_tracking_id(spark, folder):
     return out.select(F.lower(F.trim("email")).alias("email"), "short_id")
 
 
+# All ids share one space of eight digits, so every lead is given its id in each of a season's campaigns.
+CAMPAIGNS_OF_SEASON = 200
+
+
 @query("tracking_id_collisions", f"""
-    select short_id, count(distinct email) as emails
-    from ({IDENTITY_SQL}) group by 1 having count(distinct email) > 1""")
+    select short_id, count(distinct email) as emails from (
+        select email, substr(sha256(email || '-c' || cast(n as varchar)), 1, 8) as short_id
+        from (select distinct coalesce(nullif(work_email, ''), personal_email) as email,
+            unnest(range({CAMPAIGNS_OF_SEASON})) as n from leads))
+    group by short_id having count(distinct email) > 1""")
 def tracking_id_collisions(spark, folder):
-    return campaigns.tracking_id_collisions(identities(spark, folder))
+    season = F.explode(F.sequence(F.lit(0), F.lit(CAMPAIGNS_OF_SEASON - 1)))
+    ids = campaign_leads(spark, folder).select("email", season.alias("n")).select(
+        "email", emails.tracking_id_for(F.col("email"), F.concat(F.lit("c"), F.col("n").cast("string"))).alias("short_id"))
+    return campaigns.tracking_id_collisions(ids)
 
 
 @query("tracking_urls", f"""

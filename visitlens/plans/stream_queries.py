@@ -88,7 +88,7 @@ def stream_sessions(spark, folder):
 def stream_visitor_totals(spark, folder):
     out = new_folder(spark, "stream-totals")
     finished(jobs.stream_visitor_totals(as_stream(spark, events(spark, folder)), out))
-    return jobs.visitor_totals_of(spark.read.parquet(f"{out}/out"))
+    return jobs.visitor_totals_of(jobs.visitor_sessions_log(spark, out).read())
 
 
 @query("stream_recent_leads", """
@@ -144,18 +144,17 @@ def stream_rage_clicks(spark, folder):
 def stream_identity(spark, folder):
     out = new_folder(spark, "stream-identity")
     finished(jobs.stream_identity(as_stream(spark, events(spark, folder)), out))
-    return spark.read.parquet(f"{out}/out").drop("batch")
+    return spark.read.parquet(f"{out}/out")
 
 
 HOT_RUNS = ["2024-01-03", "2024-01-04", "2024-01-12"]
 
 
 @query("stream_hot_leads", f"""
-    with r as ({' union all '.join(
-        f"select {i} as n, lead_id, timestamp '{d}' as as_of, intent_score from ({scored_sql(d, d)})"
-        for i, d in enumerate(HOT_RUNS))})
-    select a.lead_id, a.as_of, a.intent_score from r a left join r b on b.lead_id = a.lead_id and b.n = a.n - 1
-    where a.intent_score >= 60 and coalesce(b.intent_score, 0) < 60""")
+    select lead_id, as_of, intent_score from (
+        select *, lag(intent_score, 1, 0) over (partition by lead_id order by as_of) as before from ({' union all '.join(
+        f"select lead_id, timestamp '{d}' as as_of, intent_score from ({scored_sql(d, d)})" for d in HOT_RUNS)}))
+    where intent_score >= 60 and before < 60""")
 def stream_hot_leads(spark, folder):
     runs = None
     for day in HOT_RUNS:
@@ -164,7 +163,7 @@ def stream_hot_leads(spark, folder):
         runs = run if runs is None else runs.unionByName(run)
     out = new_folder(spark, "stream-hot")
     finished(jobs.stream_hot_leads(as_stream(spark, runs, "as_of", 24 * 3600), out))
-    return spark.read.parquet(f"{out}/out").filter("alert").select("lead_id", "as_of", "intent_score")
+    return jobs.lead_scores_log(spark, out).outcomes(jobs.HOT).drop("batch")
 
 
 @query("late_events", """

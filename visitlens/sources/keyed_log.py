@@ -37,9 +37,10 @@ class KeyedLog:
         return any(p.kind == "upto" and int(p.name) >= number for p in self.table.parts())
 
     def add(self, rows: DataFrame, number: int, outcome: DataFrame | None = None) -> bool:
-        """Add batch ``number``, and publish ``outcome`` with it; False if it was added before.
+        """Add batch ``number``, and ``outcome`` with it; False if it was added before.
 
-        Numbers rise from batch to batch. ``outcome`` is read by :meth:`outcomes`.
+        Numbers rise from batch to batch. Outcomes of batches that were added are read by :meth:`outcomes`;
+        a batch that is lost on the way and done again writes over its own.
         """
         if self.holds(number):
             return False
@@ -49,8 +50,7 @@ class KeyedLog:
         self.table.write(rows, "tail", name)
         added = [Part("tail", name, {"schema": rows.schema.json()}), Part("upto", str(number))]
         if outcome is not None:
-            self.table.write(outcome, "outcome", name)
-            added.append(Part("outcome", name, {"schema": outcome.schema.json()}))
+            outcome.write.mode("overwrite").parquet(f"{self.table.root}/outcome/{name}")
         self.table.publish(listed + added, version)
         if sum(p.kind == "tail" for p in listed) + 1 >= self.fold_every:
             self.fold()
@@ -95,8 +95,13 @@ class KeyedLog:
         rows, _ = self._rows(version, touched)
         return self.merge(rows.join(wanted, self.keys, "left_semi"))
 
-    def outcomes(self, schema) -> DataFrame:
-        return self.table.read(self.table.parts("outcome"), schema)
+    def outcomes(self, schema: T.StructType) -> DataFrame:
+        """Outcomes of all batches that were added, with ``batch``."""
+        upto = max((int(p.name) for p in self.table.parts("upto")), default=-1)
+        stored = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+        if upto < 0:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(f"{self.table.root}/outcome").filter(F.col("batch") <= upto)
 
     def fold(self) -> None:
         """Merge the tail into the snapshot."""

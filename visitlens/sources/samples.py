@@ -165,7 +165,7 @@ VALIDATIONS: dict[str, str] = {
 }
 
 # Visitor snapshot as it stood before the cut; one row per user seen by then.
-CUT = "2024-01-16 00:00:00"
+CUT = "2024-01-02 00:00:00"
 VISITORS: dict[str, str] = {
     "visitor_id": f"'v' || {_s('user_id')}",
     "device_fingerprint": f"'d' || {_s('user_id * 3')}",

@@ -4,25 +4,28 @@ Every job takes a streaming DataFrame and a folder for its output and
 checkpoint, both on storage all executors share, and returns the started query.
 ``trigger`` is ``availableNow`` by default: process what is there, then stop.
 
-Jobs that keep running results do so as a log: batch ``n`` writes its own
-sub-folder, replacing what an earlier try of the same batch left. Reading the
-log adds the parts up. A batch that is run again after a failure so never
-counts twice, and no stored table is rewritten.
+Jobs that keep running results by key do so in a :class:`KeyedLog`: a batch is a small part
+of its own, parts are folded into a bucketed snapshot every few batches, and a batch reads
+the buckets of its own keys and what isn't folded yet, in the first week as after a
+year. A batch that is run again after a failure counts once. Who was identified before is
+kept in the state store, one value per visitor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from visitlens.functions import scores
 from visitlens.functions.scalars import filled, payload
 from visitlens.operators import enrich
 from visitlens.operators.behavior import RAGE_MILLIS, rage_clicks
+from visitlens.sources.keyed_log import KeyedLog
 
 NOW = {"availableNow": True}
 
@@ -41,8 +44,16 @@ def _log(df: DataFrame, folder: str, part: Callable[[DataFrame, int], DataFrame]
          trigger: dict | None) -> StreamingQuery:
     """Write ``part(batch, n)`` to ``out/batch=n``, replacing an earlier try."""
     def run(batch: DataFrame, n: int) -> None:
-        part(batch, n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        batch.persist()
+        try:
+            part(batch, n).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        finally:
+            batch.unpersist()
 
+    return _each(df, folder, run, trigger)
+
+
+def _each(df: DataFrame, folder: str, run: Callable[[DataFrame, int], None], trigger: dict | None) -> StreamingQuery:
     return (df.writeStream.foreachBatch(run)
             .option("checkpointLocation", f"{folder}/progress")
             .trigger(**(trigger or NOW)).start())
@@ -93,20 +104,27 @@ def stream_sessions(events: DataFrame, folder: str, gap: str = "30 minutes", del
     return _append(out, folder, trigger)
 
 
-def stream_visitor_totals(events: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep visitor totals; read them with :func:`visitor_totals_of`.
+def visitor_sessions_log(spark: SparkSession, folder: str, **settings) -> KeyedLog:
+    """Totals by visitor and session; by session, as one seen in two batches still is one."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("visitor_id", "session_id").agg(
+            F.sum("pageviews").alias("pageviews"), F.sum("clicks").alias("clicks"),
+            F.max("last_seen_at").alias("last_seen_at"))
 
-    The log is by visitor and session: counts add up over batches, and a
-    session seen in two batches still counts as one.
-    """
-    def part(batch: DataFrame, n: int) -> DataFrame:
-        return (batch.filter(F.col("visitor_id").isNotNull())
-                .groupBy("visitor_id", "session_id")
-                .agg(F.count_if(F.col("type") == "page_view").alias("pageviews"),
-                     F.count_if(F.col("type") == "click").alias("clicks"),
-                     F.max("ts").alias("last_seen_at")))
+    return KeyedLog(spark, f"{folder}/log", ["visitor_id"], merge, **settings)
+
+
+def stream_visitor_totals(events: DataFrame, folder: str, trigger: dict | None = None, **settings) -> StreamingQuery:
+    """Keep visitor totals; read them with ``visitor_totals_of(visitor_sessions_log(spark, folder).read())``."""
+    def run(batch: DataFrame, n: int) -> None:
+        visitor_sessions_log(batch.sparkSession, folder, **settings).add(
+            batch.filter(F.col("visitor_id").isNotNull())
+            .groupBy("visitor_id", "session_id")
+            .agg(F.count_if(F.col("type") == "page_view").alias("pageviews"),
+                 F.count_if(F.col("type") == "click").alias("clicks"),
+                 F.max("ts").alias("last_seen_at")), n)
 
-    return _log(events, folder, part, trigger)
+    return _each(events, folder, run, trigger)
 
 
 def visitor_totals_of(log: DataFrame) -> DataFrame:
@@ -171,52 +189,107 @@ def stream_rage_clicks(events: DataFrame, folder: str, key: str = "session_id",
     return _log(clicks, folder, part, trigger)
 
 
-def stream_identity(events: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+SIGNAL = T.StructType([
+    T.StructField("visitor_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("event_id", T.LongType()), T.StructField("tracking_id", T.StringType()),
+    T.StructField("email_sha256", T.StringType())])
+
+
+class FirstSignal(StatefulProcessor):
+    """Passes the first signal of a visitor and remembers that there was one."""
+
+    def __init__(self, ttl_millis: int | None):
+        self.ttl_millis = ttl_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "event_id long", self.ttl_millis)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        first = None
+        for some in rows:
+            least = some.sort_values(["ts", "event_id"], kind="stable").head(1)
+            if first is None or tuple(least[["ts", "event_id"]].iloc[0]) < tuple(first[["ts", "event_id"]].iloc[0]):
+                first = least
+        self.seen.update((int(first["event_id"].iloc[0]),))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_each(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First signal per visitor of each batch of rows, so that a hot visitor is a row per some thousand."""
+    for rows in some:
+        yield rows.sort_values(["ts", "event_id"], kind="stable").drop_duplicates("visitor_id")
+
+
+def stream_identity(events: DataFrame, folder: str, trigger: dict | None = None,
+                    ttl_days: int | None = None) -> StreamingQuery:
     """One row when a visitor turns from anonymous to identified.
 
-    The first signal of a visitor in a batch is found by a combined aggregate,
-    so a hot visitor is one row per task; visitors already in the log are left
-    out.
+    Who was reported is one value per visitor in the state store, checkpointed by the stream, so a
+    batch reads nothing of earlier ones. With ``ttl_days`` a visitor is forgotten after that
+    time and reported again.
     """
+    spark = events.sparkSession
     data = F.col("data")
     tracking = filled(payload(data, "tracking_id"))
     address = F.when(payload(data, "email").contains("@"), payload(data, "email"))
     signals = events.select(
-        "visitor_id", "ts", "event_id", tracking.alias("tracking_id"),
+        "visitor_id", "ts", F.col("event_id").cast("long").alias("event_id"), tracking.alias("tracking_id"),
         F.sha2(F.lower(F.trim(address)), 256).alias("email_sha256")).filter(
         F.col("visitor_id").isNotNull()
         & (F.col("tracking_id").isNotNull() | F.col("email_sha256").isNotNull()))
+    ttl = ttl_days * 86_400_000 if ttl_days else None
+    changes = (signals.mapInPandas(_first_of_each, SIGNAL).groupBy("visitor_id")
+               .transformWithStateInPandas(FirstSignal(ttl), SIGNAL, "Append", "ProcessingTime" if ttl else "None"))
+    # A running query keeps the settings it was started with.
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _append(changes, folder, trigger)
+    finally:
+        spark.conf.set(store, before)
 
-    def part(batch: DataFrame, n: int) -> DataFrame:
-        first = (batch.groupBy("visitor_id")
-                 .agg(F.min(F.struct("ts", "event_id", "tracking_id", "email_sha256")).alias("_s"))
-                 .select("visitor_id", "_s.*"))
-        return first.join(_earlier(batch, folder, n, first.schema).select("visitor_id"),
-                          "visitor_id", "left_anti")
 
-    return _log(signals, folder, part, trigger)
+HOT = T.StructType([
+    T.StructField("lead_id", T.StringType()), T.StructField("as_of", T.TimestampType()),
+    T.StructField("intent_score", T.DoubleType())])
 
 
-def stream_hot_leads(profile_updates: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+def lead_scores_log(spark: SparkSession, folder: str, **settings) -> KeyedLog:
+    """Latest score of each lead; the outcomes are the alerts."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("lead_id").agg(F.max(F.struct("as_of", "intent_score")).alias("_p"))
+                .select("lead_id", "_p.as_of", "_p.intent_score"))
+
+    return KeyedLog(spark, f"{folder}/log", ["lead_id"], merge, **settings)
+
+
+def stream_hot_leads(profile_updates: DataFrame, folder: str, trigger: dict | None = None,
+                     **settings) -> StreamingQuery:
     """Alert when a lead becomes hot; ``lead_id, as_of, intent_score`` comes in.
 
-    The log keeps each batch's latest score per lead and whether it raised an
-    alert; read alerts with ``alert = true``.
+    Read alerts with ``lead_scores_log(spark, folder).outcomes(HOT)``.
     """
-    def part(batch: DataFrame, n: int) -> DataFrame:
-        latest = (batch.groupBy("lead_id")
-                  .agg(F.max(F.struct("as_of", "intent_score")).alias("_p"))
-                  .select("lead_id", "_p.as_of", "_p.intent_score"))
-        schema = T.StructType(latest.schema.fields + [T.StructField("alert", T.BooleanType())])
-        before = (_earlier(batch, folder, n, schema)
-                  .join(latest.select("lead_id"), "lead_id", "left_semi")
-                  .groupBy("lead_id").agg(F.max_by("intent_score", "as_of").alias("_before")))
-        hot = F.col("intent_score") >= scores.HOT_SCORE
-        was = F.coalesce(F.col("_before") >= scores.HOT_SCORE, F.lit(False))
-        return (latest.join(before, "lead_id", "left").withColumn("alert", hot & ~was)
-                .drop("_before"))
-
-    return _log(profile_updates, folder, part, trigger)
+    def run(batch: DataFrame, n: int) -> None:
+        log = lead_scores_log(batch.sparkSession, folder, **settings)
+        if log.holds(n):
+            return
+        latest = log.merge(batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HOT])).persist()
+        try:
+            before = log.read_for(latest, HOT).select("lead_id", F.col("intent_score").alias("_before"))
+            hot = F.col("intent_score") >= scores.HOT_SCORE
+            was = F.coalesce(F.col("_before") >= scores.HOT_SCORE, F.lit(False))
+            alerts = latest.join(before, "lead_id", "left").filter(hot & ~was).drop("_before")
+            log.add(latest, n, alerts)
+        finally:
+            latest.unpersist()
+
+    return _each(profile_updates, folder, run, trigger)
 
 
 def late_events(events: DataFrame, folder: str, bound_seconds: int = 3600,
