@@ -1,5 +1,7 @@
 import itertools
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -8,9 +10,46 @@ from tests.llm.samples import clashing, documents, prose, rows
 from visitlens.llm import pieces
 
 
+PATH = public_tokenizers.path(pieces.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    return pieces.train(documents(spark))
+
+
 @pytest.fixture(scope="module")
-def lattice():
-    return pieces.Lattice(public_tokenizers.path(pieces.VOCABULARY))
+def lattice(counts):
+    return pieces.Lattice(PATH, counts)
+
+
+def test_counts_are_those_of_whole_texts(spark, model, counts):
+    want = Counter(i for r in rows() if r[1] for i in model.encode(r[1].replace("▁", " ")))
+    assert {i: n for i, n in enumerate(counts.tolist()) if n} == want
+    assert not pieces.train(documents(spark, [])).any()
+    assert (pieces.train(documents(spark), most_words=10) == counts).all()
+
+
+def test_scores_are_log_probabilities(lattice, counts):
+    scores = np.array([s for s, _ in lattice.scores.values()])
+    assert abs(np.exp(scores).sum() - 1) < 1e-5
+    ids = [i for _, i in lattice.scores.values()]
+    assert (np.diff(scores[np.argsort(counts[ids], kind="stable")]) >= 0).all()
+
+
+def test_share_of_words_segmented_as_by_the_library(spark, sample_dir, model):
+    """Merging is greedy and the lattice is not, so not all words agree; most do."""
+    docs = spark.read.parquet(f"{sample_dir}/documents.parquet")
+    lattice = pieces.Lattice(PATH, pieces.train(docs))
+    words = Counter(w for r in docs.collect() for w in pieces.words_of(r["text"]) if w.strip("▁"))
+    known = lattice.learn([list(words)])
+    same = sum(n for w, n in words.items() if known[w][0] == np.array(model.encode(w[1:]), "<u4").tobytes())
+    assert same / sum(words.values()) > 0.8
 
 
 def every_path(lattice, word):
@@ -24,7 +63,7 @@ def every_path(lattice, word):
     return sorted((s for s, _ in back(len(word))), reverse=True)
 
 
-WORDS = ["▁", "▁a", "▁the", "▁thing", "▁é日", "▁a.\nb", "▁re-do", "▁\x00", "▁Zürich", "▁çon", "▁x1,2"]
+WORDS = ["▁", "▁▁▁", "▁▁b", "▁a", "▁the", "▁thing", "▁é日", "▁a.\nb", "▁re-do", "▁\x00", "▁Zürich", "▁çon", "▁x1,2"]
 
 
 def test_search_and_sweep_against_all_paths(lattice):
@@ -34,12 +73,12 @@ def test_search_and_sweep_against_all_paths(lattice):
         assert [s for s, _ in lattice.n_best(word, 7)] == every[:7]
         assert score == every[0]
         assert loss == (every[0] - every[1] if len(every) > 1 else float("inf"))
-        assert lattice.decode(ids) == word[1:]
+        assert lattice.decode(ids) == word[1:].replace("▁", " ")
 
 
 def test_n_best_of_a_text_against_all_sums(lattice):
-    text = "the thing is so"
-    every = [every_path(lattice, "▁" + w) for w in text.split(" ")]
+    text = "the  thing is so"
+    every = [every_path(lattice, w) for w in ("▁the", "▁▁thing", "▁is", "▁so")]
     sums = sorted((sum(c) for c in itertools.product(*every)), reverse=True)
     (_, scores, changes), = lattice.encode([text], 9)
     assert scores == sums[:9] and changes[0] == [] and len(changes) == 9
@@ -50,20 +89,19 @@ def test_ties_do_not_widen_the_search(lattice):
     assert len(found) == 3 and found[0][0] >= found[1][0] >= found[2][0]
 
 
-def test_memory_bound_changes_nothing():
-    path = public_tokenizers.path(pieces.VOCABULARY)
+def test_memory_bound_changes_nothing(counts):
     texts = [prose(i, 200) for i in range(6)]
-    assert pieces.Lattice(path, most_words=5).encode(texts, 3) == pieces.Lattice(path).encode(texts, 3)
+    few, many = pieces.Lattice(PATH, counts, most_words=5), pieces.Lattice(PATH, counts)
+    assert [few.encode([t], 3) for t in texts] == [many.encode([t], 3) for t in texts]
 
 
-def test_round_trip_and_library(spark, lattice):
-    got = {r["doc_id"]: r for r in pieces.digests(clashing(documents(spark))).collect()}
+def test_round_trip_and_library(spark, lattice, counts, model):
+    got = {r["doc_id"]: r for r in pieces.digests(clashing(documents(spark)), counts).collect()}
     assert len(got) == len({r[0] for r in rows()}) and all(r["round_trip"] for r in got.values())
-    encoded = pieces.encode(documents(spark), n=3)
+    encoded = pieces.encode(documents(spark), counts, n=3)
     back = {(r["doc_id"], r["text"]) for r in pieces.decode(encoded).collect()}
     assert back == {(r[0], (r[1] or "").replace("▁", " ")) for r in rows()}
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.VOCABULARY))
     text = prose(1, 50)
     (ids, _, _), = lattice.encode([text])
     assert model.decode([int.from_bytes(ids[i:i + 4], "little") for i in range(0, len(ids), 4)]) == text
-    assert pieces.digests(documents(spark, [])).count() == 0
+    assert pieces.digests(documents(spark, []), counts).count() == 0

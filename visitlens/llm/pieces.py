@@ -1,7 +1,12 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-The pieces of a vocabulary and their scores span a lattice over the text. A
-forward pass gives the best score of a path from the start to every node. The
+The pieces of a vocabulary and their log probabilities span a lattice over the text. The
+vocabulary is one of merges, whose own scores are ranks and say nothing about how likely a piece is;
+so the probabilities are learned from the documents (:func:`train`): the pieces of the library's own
+segmentation are counted over all of them. Texts are taken as they are; this vocabulary's model
+normalises nothing but spaces, which become its space mark.
+
+A forward pass gives the best score of a path from the start to every node. The
 N-best search walks backward from the end: a partial path's own score plus the
 forward score of the node it has reached is exactly the best total it can still get,
 so an A-star search with that heuristic yields whole paths best first.
@@ -17,9 +22,11 @@ This is exact.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,25 +42,40 @@ SPACE = "▁"
 #: Below this a score means "never by merging"; such pieces are left out of the lattice.
 LEAST_SCORE = -1e8
 UNKNOWN_PENALTY = 10.0
+#: Added to each piece's count, so that a piece never seen has a small probability.
+ADD = 0.5
+GRID = 2.0 ** 24
+#: A text with a space in front falls into these: no piece goes from another letter on to a space.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Lattice:
-    """Pieces of one vocabulary, and the segmentations of texts into them."""
+    """Pieces of one vocabulary with their log probabilities, and the segmentations of texts into them.
+
+    ``counts``: how often each id was seen. Up to twice ``most_words`` solved words are remembered.
+    """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, counts: np.ndarray, most_words: int = 200_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-        plain = [i for i in range(model.vocab_size()) if not (
-            model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        least = min(model.get_score(i) for i in plain if model.get_score(i) > LEAST_SCORE)
         # A letter that is never made by merging still stands for itself.
-        self.scores = {self.pieces[i]: (max(model.get_score(i), least), i) for i in plain
-                       if model.get_score(i) > LEAST_SCORE or len(self.pieces[i]) == 1}
+        used = [i for i in range(model.vocab_size()) if not (
+            model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+            and (model.get_score(i) > LEAST_SCORE or len(self.pieces[i]) == 1)]
+        seen = np.asarray(counts, np.float64)[used] + ADD
+        # Whole multiples of a small power of two, so that sums are exact in any order.
+        scores = np.round((np.log(seen) - np.log(seen.sum())) * GRID) / GRID
+        self.scores = {self.pieces[i]: (score, i) for i, score in zip(used, scores.tolist(), strict=True)}
+        if any(SPACE in p.lstrip(SPACE) for p in self.scores):
+            raise ValueError(f"{path}: pieces go on behind a space")
+        least = min(score for score, _ in self.scores.values())
         self.longest = max(map(len, self.scores))
         self.unknown = least - UNKNOWN_PENALTY
+        self.decoded = bytes_of_ids(model)
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
         self.most_words = most_words
         self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.old: dict[str, tuple[bytes, float, float]] = {}
         self.tops: dict[str, list[float]] = {}
         self._build()
 
@@ -75,12 +97,6 @@ class Lattice:
         for score, i in self.scores.values():
             self.score_of[i] = score
 
-    @cached_property
-    def decoded(self) -> list[bytes]:
-        """Bytes of each id."""
-        of_byte = {i: bytes([b]) for b, i in self.bytes.items()}
-        return [of_byte.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
-
     def _ids(self, piece: str) -> list[int]:
         return [self.scores[piece][1]] if piece in self.scores else [self.bytes[b] for b in piece.encode()]
 
@@ -213,11 +229,16 @@ class Lattice:
         return best, through
 
     def learn(self, texts: list[list[str]]) -> dict[str, tuple[bytes, float, float]]:
-        """Solutions of every word of some texts; words seen before are remembered up to a bound."""
-        missing = list({w for words in texts for w in words}.difference(self.known))
-        if len(self.known) + len(missing) > self.most_words:
-            self.known.clear()
-            missing = list({w for words in texts for w in words})
+        """Solutions of every word of some texts; words lately seen are remembered."""
+        if len(self.known) > self.most_words:
+            self.known, self.old = {}, self.known
+        known, old, missing = self.known, self.old, []
+        for w in set(chain.from_iterable(texts)):
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    missing.append(w)
         missing.sort(key=len)
         at = 0
         while at < len(missing):
@@ -235,7 +256,7 @@ class Lattice:
 
         A space becomes the space mark and one more is put in front; no text, no pieces.
         """
-        cut = [[SPACE + w for w in t.replace(SPACE, " ").split(" ")] if t else [] for t in texts]
+        cut = [words_of(t) for t in texts]
         known = self.learn(cut)
         out = []
         for words in cut:
@@ -261,8 +282,23 @@ class Lattice:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; inverse of ``encode`` for every text without the space mark."""
-        text = b"".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
+        return joined(self.decoded, ids)
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text, each with the space marks in front of it."""
+    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def bytes_of_ids(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
+    pieces = map(model.id_to_piece, range(model.vocab_size()))
+    return [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode()
+            for i, p in enumerate(pieces)]
+
+
+def joined(table: list[bytes], ids: bytes) -> str:
+    text = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
 
 def _best_sums(parts: list[tuple[str, list[float]]], n: int) -> tuple[list[float], list[list[tuple[str, int]]]]:
@@ -284,20 +320,63 @@ def _best_sums(parts: list[tuple[str, list[float]]], n: int) -> tuple[list[float
     return [x for x, _ in out], [c for _, c in out]
 
 
-_LATTICES: dict[str, Lattice] = {}
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, most_words: int = 200_000) -> np.ndarray:
+    """How often each id of the vocabulary is in the library's own segmentation of all texts.
+
+    No piece goes on behind a space, so words are counted first and each different one of
+    a stretch is segmented once. A task sends a row per id, and the result has the
+    vocabulary's length. Null and empty texts count nothing; an empty table gives zeros.
+    """
+    size = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary)).vocab_size()
+
+    def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
+        total, words, mark = np.zeros(size, np.int64), Counter(), model.encode("x")
+
+        def add() -> None:
+            # The library puts a space in front by itself, but not where nothing follows.
+            filled = [w for w in words if w.strip(SPACE)]
+            ids = model.encode([w[1:] for w in filled], num_threads=1)
+            spaces = [w for w in words if not w.strip(SPACE)]
+            ids += [x[len(mark):] for x in model.encode(["x" + w for w in spaces], num_threads=1)]
+            words_ = [*filled, *spaces]
+            n = np.fromiter(map(words.__getitem__, words_), np.int64, len(words_))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            total[:] += np.bincount(flat, np.repeat(n, list(map(len, ids))), size).astype(np.int64)
+            words.clear()
+
+        for b in some:
+            for text in b.column(0):
+                words.update(words_of(text.as_py()))
+                if len(words) > most_words:
+                    add()
+        add()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    rows = mapped(docs.select(whole().alias("text")), batches, "id bigint, n bigint")
+    got = rows.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+_LATTICES: dict[tuple[str, int], Lattice] = {}
 
 
-def lattice(path: str) -> Lattice:
-    """One lattice per worker process."""
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
-    return _LATTICES[path]
+def lattice(path: str, counts: np.ndarray) -> Lattice:
+    """One lattice per worker process, for the counts asked for last."""
+    key = path, zlib.crc32(counts.tobytes())
+    if key not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[key] = Lattice(path, counts)
+    return _LATTICES[key]
 
 
-def encode(docs: DataFrame, n: int = 4, vocabulary: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, counts: np.ndarray, n: int = 4, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs``' ``doc_id`` with ``ids`` (little-endian unsigned 32-bit), ``scores`` of the n best
     segmentations, best first, and ``changes``: per segmentation the parts that differ from the best
-    and the rank of what they take.
+    and the rank of what they take. ``counts`` come from :func:`train`.
 
     A null or empty text has no pieces and one segmentation of score 0. Ties keep a
     fixed order. Repeated rows give repeated results, an empty table none. Only
@@ -305,7 +384,7 @@ def encode(docs: DataFrame, n: int = 4, vocabulary: str = VOCABULARY) -> DataFra
     """
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lattice(public_tokenizers.path(vocabulary))
+        of = lattice(public_tokenizers.path(vocabulary), counts)
         for b in some:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -326,18 +405,18 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give an empty text."""
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lattice(public_tokenizers.path(vocabulary))
+        table = bytes_of_ids(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary)))
         for b in some:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([of.decode(x.as_py() or b"") for x in part.column(1)], pa.string())],
+                    [part.column(0), pa.array([joined(table, x.as_py() or b"") for x in part.column(1)], pa.string())],
                     ["doc_id", "text"])
 
     return mapped(encoded.select("doc_id", "ids"), batches, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, n: int = 4, vocabulary: str = VOCABULARY) -> DataFrame:
+def digests(docs: DataFrame, counts: np.ndarray, n: int = 4, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, best_score, nbest_scores, round_trip`` of each row.
 
     ``round_trip``: decoding the ids gives the text back (a space mark in a
@@ -345,7 +424,7 @@ def digests(docs: DataFrame, n: int = 4, vocabulary: str = VOCABULARY) -> DataFr
     """
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lattice(public_tokenizers.path(vocabulary))
+        of = lattice(public_tokenizers.path(vocabulary), counts)
         for b in (whole_batch.slice(at, 256) for whole_batch in some for at in range(0, whole_batch.num_rows, 256)):
             texts = b.column(1).to_pylist()
             rows = [(len(ids) // 4, zlib.crc32(ids), scores[0], scores, of.decode(ids) == t.replace(SPACE, " "))
