@@ -154,11 +154,35 @@ def test_along_keeps_null_values(spark):
     order = ["ts", "event_id"]
     hot = skew.heavy_keys(df, ["visitor_id"], 1)
     plain = skew.along(df, ["visitor_id"], order, steps)
-    for seconds in (1800, 7200, 40_000):
-        cut = skew.along(df, ["visitor_id"], order, steps, hot, seconds)
+    for slices in (2, 5, 100):
+        cut = skew.along(df, ["visitor_id"], order, steps, skew.Hot(hot.keys, hot.count, slices))
         assert rows(cut.select(*plain.columns)) == rows(plain)
 
 
+def test_a_burst_at_one_time_runs_in_many_slices(spark):
+    """One visitor with two thirds of all rows, half of them in the same second."""
+    df = events(spark, [("v", "s", 5_000 if i % 2 else 40 * i, "click", str(i)) for i in range(400)]
+                + [(f"w{i}", "s", i, "click", None) for i in range(200)])
+    order, hot = ["ts", "event_id"], skew.heavy_keys(df, ["visitor_id"], 50)
+    assert (hot.count, hot.slices) == (1, 10)
+    cut = skew._sliced(df, ["visitor_id"], order, hot)
+    sizes = [r["count"] for r in cut.filter("_n is not null").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 10 and max(sizes) <= 60
+    by_slice = [r[0] for r in cut.filter("_n is not null").orderBy(*order).select("_slice").collect()]
+    assert by_slice == sorted(by_slice)
+    steps = {"before": skew.Previous(F.col("data")), "sum": skew.RunningSum(F.lit(1)), "top": skew.RunningMax(F.col("event_id"))}
+    plain = skew.along(df, ["visitor_id"], order, steps)
+    assert rows(skew.along(df, ["visitor_id"], order, steps, hot).select(*plain.columns)) == rows(plain)
+
+
+def test_places_among_many_cuts(spark):
+    cuts = [10 * i for i in range(100)]
+    df = spark.createDataFrame([(v,) for v in range(-5, 1005, 7)], "v long").select(
+        "v", F.array(*map(F.lit, cuts)).alias("cuts"), F.array(*map(F.lit, cuts[::skew.STEP])).alias("coarse"))
+    for r in df.select("v", skew._places(F.col("cuts"), F.col("coarse"), F.col("v")).alias("n")).collect():
+        assert r.n == sum(c <= r.v for c in cuts)
+
+
 def test_lookup_spreads_hot_and_null_keys(spark):
     facts = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").when(
         F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"))

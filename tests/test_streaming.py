@@ -129,3 +129,26 @@ def test_a_batch_reads_as_much_after_many_batches(spark, tmp_path, monkeypatch):
         last[lead] = score
     alerts = jobs.lead_scores_log(spark, out).outcomes(jobs.HOT).collect()
     assert sorted((r.lead_id, int(r.as_of.timestamp())) for r in alerts) == sorted(want)
+
+
+def test_lateness_adds_up_to_all_rows(spark, tmp_path):
+    """On time, late and dropped are all rows, whatever the disorder, and sketches say how late."""
+    rng = random.Random(11)
+    rows = sorted(((rng.choice(["a", "b", None]), t := rng.randrange(20_000), t + rng.choice([0, 5, 50, 3000]))
+                   for _ in range(600)), key=lambda r: r[2])
+    frames = [spark.createDataFrame(rows[i:i + 60], "source string, t long, sent long").select(
+        "source", F.timestamp_seconds("t").alias("ts"), F.timestamp_seconds("sent").alias("sent_at")) for i in range(0, 600, 60)]
+    out = str(tmp_path / "late")
+    jobs.stream_lateness(feed(spark, tmp_path, frames), out, F.col("source"), 40, 2000, fold_every=3).awaitTermination()
+    want, newest = {}, None
+    for i in range(0, 600, 60):
+        for source, t, sent in rows[i:i + 60]:
+            kind = "dropped" if newest is not None and t < newest - 2000 else "late" if sent - t > 40 else "on_time"
+            want.setdefault(source, {"on_time": 0, "late": 0, "dropped": 0})[kind] += 1
+        newest = max([newest or 0, *(t for _, t, _ in rows[i:i + 60])])
+    log = jobs.lateness_log(spark, out).read()
+    got = {r["source"]: {k: r[k] for k in ("on_time", "late", "dropped")} for r in log.collect()}
+    assert got == want and sum(r["rows"] for r in log.collect()) == 600
+    assert any(w["dropped"] for w in want.values())
+    for share, least, most in ((0.2, 0, 0), (0.4, 5, 5), (0.99, 3000, 3000)):
+        assert all(least <= r.delay_seconds <= most for r in jobs.watermark_delay(log, share).collect())

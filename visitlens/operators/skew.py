@@ -18,17 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from visitlens.session import new_folder
+
 HOT_ROWS = 2_000_000
-SLICE_SECONDS = 3600
-NULL_SALTS = 512
 BROADCAST_KEYS = 100_000
+#: Slices a hot key is cut into at most, and cuts looked through at once.
+MOST_SLICES, STEP = 1024, 32
 
 
 @dataclass
 class Hot:
-    """Hot keys with their row counts ``_n``, and how many keys there are."""
+    """Hot keys with their row counts ``_n``, how many keys there are, and slices to cut the largest into."""
     keys: DataFrame
     count: int
+    slices: int
 
 
 def heavy_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Hot | None:
@@ -37,8 +40,10 @@ def heavy_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Hot
     There are at most ``rows / hot_rows`` of them: 100,000 for 2e11 events.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    found = counted.agg(F.count_if(F.col("_n") >= hot_rows)).first()[0]
-    return Hot(counted.filter(F.col("_n") >= hot_rows), found) if found else None
+    found, most = counted.agg(F.count_if(F.col("_n") >= hot_rows), F.max("_n")).first()
+    if not found:
+        return None
+    return Hot(counted.filter(F.col("_n") >= hot_rows), found, min(MOST_SLICES, most // hot_rows + 2))
 
 
 def _mark_hot(df: DataFrame, keys: list[str], hot: Hot) -> DataFrame:
@@ -57,6 +62,64 @@ def _mark_hot(df: DataFrame, keys: list[str], hot: Hot) -> DataFrame:
     return df.join(renamed, match, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
+def _places(cuts: Column, coarse: Column, value: Column) -> Column:
+    """How many of some sorted cuts are at most a value; ``coarse`` holds every ``STEP``-th cut."""
+    block = F.greatest(F.size(F.filter(coarse, lambda c: c <= value)) - 1, F.lit(0)) * STEP
+    return block + F.size(F.filter(F.slice(cuts, block + 1, STEP), lambda c: c <= value))
+
+
+def _sliced(df: DataFrame, keys: list[str], order: list[str], hot: Hot) -> DataFrame:
+    """Add ``_n`` (null but for hot keys) and ``_slice``, which rises along a key's rows.
+
+    Cuts are quantiles of a hot key's times, so slices are alike in rows, not in hours. A time
+    that takes up more than a slice is cut further by quantiles of ``order[1]``. The cuts
+    are written, as a quantile sketch may come out otherwise when it is computed again.
+    """
+    spark = df.sparkSession
+
+    def kept(rows: DataFrame, label: str) -> DataFrame:
+        path = new_folder(spark, label)
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def matching(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+        out = None
+        for k in names:
+            same = left[k].eqNullSafe(right[f"_cut_{k}"])
+            out = same if out is None else out & same
+        return out
+
+    def every_step(name: str) -> Column:
+        return F.filter(F.transform(name, lambda c, i: F.when(i % STEP == 0, c)), lambda c: c.isNotNull())
+
+    fractions = [i / hot.slices for i in range(1, hot.slices)]
+    marked = _mark_hot(df, keys, hot).withColumn("_at", F.unix_micros(order[0]))
+    own = marked.filter(F.col("_n").isNotNull()).select(*keys, "_at", F.col(order[1]).cast("long").alias("_tie"))
+    quantiles = own.groupBy(*keys).agg(F.percentile_approx("_at", fractions, 20 * hot.slices).alias("_q"))
+    quantiles = quantiles.select(*[F.col(k).alias(f"_cut_{k}") for k in keys],
+                                 F.array_sort(F.array_distinct("_q")).alias("_cuts"), F.array_distinct(F.filter(
+                                     "_q", lambda c, i: F.get("_q", i + 1).eqNullSafe(c))).alias("_full"))
+    cuts = kept(quantiles.withColumn("_coarse", every_step("_cuts")), "slice-cuts")
+    full = cuts.select(*[c for c in cuts.columns if c.startswith("_cut_")], F.explode("_full").alias("_cut__at"))
+    ties = own.join(F.broadcast(full) if hot.count * hot.slices <= BROADCAST_KEYS else full,
+                    matching(own, full, [*keys, "_at"]))
+    ties = ties.groupBy(*[c for c in full.columns]).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx("_tie", fractions, 20 * hot.slices))).alias("_ties"))
+    ties = kept(ties.withColumn("_coarse_ties", every_step("_ties")), "slice-ties")
+    if hot.count * hot.slices <= BROADCAST_KEYS:
+        cuts, ties = F.broadcast(cuts), F.broadcast(ties)
+    out = marked.join(cuts, matching(marked, cuts, keys), "left").drop(*[f"_cut_{k}" for k in keys])
+    out = out.join(ties, matching(out, ties, [*keys, "_at"]), "left").drop(*[f"_cut_{k}" for k in [*keys, "_at"]])
+    part = _places(F.col("_cuts"), F.col("_coarse"), F.col("_at"))
+    tie = _places(F.col("_ties"), F.col("_coarse_ties"), F.col(order[1]).cast("long"))
+    # Rows behind a time that is cut further come after all of its parts.
+    within = F.when(F.col("_ties").isNotNull(), tie).when(
+        F.array_contains("_full", F.get("_cuts", F.col("_part") - 1)), MOST_SLICES).otherwise(0)
+    out = out.withColumn("_part", part).withColumn("_slice", F.when(
+        F.col("_n").isNotNull(), F.col("_part") * (MOST_SLICES + 1) + within).otherwise(0).cast("long"))
+    return out.drop("_at", "_cuts", "_full", "_coarse", "_ties", "_coarse_ties", "_part")
+
+
 @dataclass
 class Previous:
     """Value of the row before this one."""
@@ -90,22 +153,17 @@ class Trailing:
 
 
 def along(df: DataFrame, keys: list[str], order: list[str], steps: dict[str, object],
-          hot: Hot | None = None, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+          hot: Hot | None = None) -> DataFrame:
     """Add columns computed along each key's rows in order.
 
-    ``order[0]`` is the timestamp; the other columns break ties. ``hot`` comes
-    from :func:`heavy_keys`. With hot keys, their rows are cut into time slices,
-    so the window of one key runs in many tasks. What must cross a slice border
-    (last value, sum so far, ...) is taken from one summary row per slice, and
-    the summaries of a key are few: its time span over the slice length.
+    ``order[0]`` is the timestamp, ``order[1]`` an integer that breaks ties. ``hot`` comes
+    from :func:`heavy_keys`. With hot keys, their rows are cut into slices of about as
+    many rows, so the window of one key runs in many tasks. What must cross a slice border
+    (last value, sum so far, ...) is taken from one summary row per slice.
     """
     sliced = hot is not None
     if sliced:
-        df = (_mark_hot(df, keys, hot)
-              .withColumn("_slice", F.when(
-                  F.col("_n").isNotNull(),
-                  F.floor(F.unix_micros(order[0]) / F.lit(slice_seconds * 1_000_000)))
-                  .otherwise(F.lit(0)).cast("long")))
+        df = _sliced(df, keys, order, hot)
     parts = keys + (["_slice"] if sliced else [])
     rows = W.partitionBy(*parts).orderBy(*order)
     so_far = rows.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -223,7 +281,7 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str,
 
     Facts of a hot key are salted by ``spread_by`` over as many parts as they
     fill, and only the table rows of hot keys are repeated. Facts without a key
-    match nothing and are spread too, else they would all meet in one task.
+    match nothing and are spread without a bound, else they would all meet in one task.
     """
     hot = heavy_keys(facts.filter(F.col(key).isNotNull()), [key], hot_rows)
     if hot is None:
@@ -232,7 +290,7 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str,
         facts = _mark_hot(facts, [key], hot)
         table = _mark_hot(table, [key], hot)
         parts = F.coalesce(F.ceil(F.col("_n") / F.lit(hot_rows)), F.lit(1)).cast("long")
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS)))
+    salt = F.when(F.col(key).isNull(), F.xxhash64(spread_by))
     if hot is None:
         salted = table.withColumn("_salt", F.lit(0).cast("long"))
         salt = salt.otherwise(F.lit(0))

@@ -25,26 +25,35 @@ def stitch_identities(links: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: in
     it back with a join that salts hot nodes. Lineage is cut by ``checkpoint()``
     after each round, so a lost executor costs at most one round.
     """
-    enable_checkpoints(links.sparkSession)
+    edges = contracted(link_edges(links), hot_rows, max_rounds)
+    groups = edges.filter(F.col("u").startswith("0")).select(
+        F.expr("substring(u, 2)").alias("record"), F.expr("substring(v, 2)").alias("group_id"))
+    every = links.filter(F.col("record").isNotNull()).select(
+        F.col("record").cast("string").alias("record")).distinct()
+    return (every.join(groups, "record", "left")
+            .select("record", F.coalesce("group_id", "record").alias("group_id")))
+
+
+def link_edges(links: DataFrame) -> DataFrame:
+    """``u, v``: a key and a record that shows it. Records start with 0 and keys with 1, so a record is the least."""
     record = F.concat(F.lit("0"), F.col("record").cast("string"))
     key = F.concat(F.lit("1"), F.col("kind"), F.lit("\u0001"), F.col("value"))
     known = links.filter(F.col("record").isNotNull() & F.col("kind").isNotNull()
                          & F.col("value").isNotNull())
-    edges = known.select(key.alias("u"), record.alias("v")).distinct().checkpoint()
+    return known.select(key.alias("u"), record.alias("v")).distinct()
+
+
+def contracted(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 60) -> DataFrame:
+    """``u, v``: every node but the least of its group, and that least node. Edges come with ``u > v``."""
+    enable_checkpoints(edges.sparkSession)
+    edges = edges.checkpoint()
     mark = _mark(edges)
     for _ in range(max_rounds):
         edges = _small_star(_large_star(edges, hot_rows), hot_rows).checkpoint()
         before, mark = mark, _mark(edges)
         if before == mark:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    groups = edges.filter(F.col("u").startswith("0")).select(
-        F.expr("substring(u, 2)").alias("record"), F.expr("substring(v, 2)").alias("group_id"))
-    every = links.filter(F.col("record").isNotNull()).select(
-        F.col("record").cast("string").alias("record")).distinct()
-    return (every.join(groups, "record", "left")
-            .select("record", F.coalesce("group_id", "record").alias("group_id")))
+            return edges
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -13,6 +13,7 @@ from visitlens.plans.event_queries import STATUS_SQL
 from visitlens.plans.profile_queries import CLICKS_SQL, CONTACT, PROFILES_SQL, profile_table, scored_sql
 from visitlens.session import enable_checkpoints, new_folder
 from visitlens.sources import samples, writers
+from visitlens.sources.group_table import GroupTable
 from visitlens.sources.session_table import SessionTable, activity_log
 
 AS_OF = samples.AS_OF
@@ -268,21 +269,36 @@ def backfill_events(spark, folder):
     return identity.backfill_events(ev, links).select("event_id", "lead_id", "web_visitor_id")
 
 
-@query("stitch_identities", """
+STITCHED_SQL = """
     with recursive l as (
         select distinct 'v' || cast(user_id as varchar) as record, 'd' as kind, device_fingerprint as value from te
         union select distinct 'v' || cast(user_id as varchar), 'b', browser_id from te where browser_id is not null),
     pairs as (select distinct a.record as x, b.record as y from l a join l b using (kind, value)),
     reach as (select x, y from pairs union select r.x, p.y from reach r join pairs p on p.x = r.y)
-    select x as record, min(y) as group_id from reach group by x""")
+    select x as record, min(y) as group_id from reach group by x"""
+
+
+@query("stitch_identities", STITCHED_SQL)
 def stitch_identities(spark, folder):
-    ev = events(spark, folder)
+    return stitching.stitch_identities(identity_links(events(spark, folder)))
+
+
+# The same groups from links that come in by thirds of the month.
+@query("stitch_over_time", STITCHED_SQL)
+def stitch_over_time(spark, folder):
+    groups = GroupTable(spark, new_folder(spark, "groups"), buckets=4)
+    for n, batch in enumerate(_batches(spark, folder)):
+        groups.add(identity_links(batch), n)
+    return groups.read()
+
+
+def identity_links(ev):
+    """Devices and browsers of each user's events."""
     record = F.concat(F.lit("v"), F.regexp_extract("session_id", "s([0-9]+)-", 1))
     keys = F.explode(F.array(
         F.struct(F.lit("d").alias("kind"), F.col("device_fingerprint").alias("value")),
         F.struct(F.lit("b").alias("kind"), F.col("browser_id").alias("value"))))
-    links = ev.select(record.alias("record"), keys.alias("_k")).select("record", "_k.*")
-    return stitching.stitch_identities(links)
+    return ev.select(record.alias("record"), keys.alias("_k")).select("record", "_k.*")
 
 
 @query("email_click_attribution", f"""

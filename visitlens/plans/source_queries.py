@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitlens.operators import enrich, profiles
-from visitlens.plans.catalog import events, query, sql_hash32
+from visitlens.plans.catalog import events, query, raw_events, sql_hash32
 from visitlens.plans import flows
 from visitlens.plans.event_queries import CATEGORY_SQL, IDENTITY_SQL, campaign_leads, identities
 from visitlens.plans.identity_queries import OWNED_SQL, OWNERS_SQL, owned_events
@@ -14,6 +14,8 @@ from visitlens.plans.profile_queries import (
 from visitlens.session import new_folder
 from visitlens.sources import readers, samples, writers
 from visitlens.sources.event_store import EventStore
+from visitlens.sources.key_index import KeyIndex
+from visitlens.sources.snapshots import PagedSnapshot
 
 AS_OF = samples.AS_OF
 
@@ -209,3 +211,48 @@ def event_table_by_day(spark, folder):
      .repartition("event_date").write.partitionBy("event_date").parquet(path))
     return (enrich.retention_filter(spark.read.parquet(path), AS_OF, days=11)
             .select("event_id", "type", "path"))
+
+
+# Events in three batches; the last week is sent again with the last one, under new ids.
+@query("dedupe_across_batches", "select visitor_id, session_id, raw_type, ts, url, event_id, data from te")
+def dedupe_across_batches(spark, folder):
+    ev = raw_events(spark, folder)
+    index = KeyIndex(spark, new_folder(spark, "event-keys"))
+    at = [F.lit(t).cast("timestamp") for t in ("2024-01-11", "2024-01-21")]
+    again = ev.filter(F.col("ts") >= at[1] - F.expr("interval 7 days")).withColumn("event_id", F.col("event_id") + 10**15)
+    batches = [ev.filter(F.col("ts") < at[0]), ev.filter((F.col("ts") >= at[0]) & (F.col("ts") < at[1])),
+               ev.filter(F.col("ts") >= at[1]).unionByName(again)]
+    out = None
+    for n, batch in enumerate(batches):
+        fresh = index.add(batch, f"batch-{n}")
+        out = fresh if out is None else out.unionByName(fresh)
+    return out.select("visitor_id", "session_id", "raw_type", "ts", "url", "event_id", "data")
+
+
+# Stored events without deleted leads and without days past retention, by files.
+@query("delete_from_store", f"""
+    select event_id, lead_id, web_visitor_id, cast(ts as date) as event_date from ({OWNED_SQL})
+    where cast(ts as date) >= date '2024-01-31' - 20 and (lead_id is null or lead_id not in (
+        select lead_id from leads where email_status = 'invalid'))""")
+def delete_from_store(spark, folder):
+    store = EventStore(spark, new_folder(spark, "event-store"), files_per_day=2)
+    store.add(owned_events(spark, folder), "all")
+    store.drop_days_before(AS_OF, days=20)
+    store.delete_leads(samples.leads(spark, folder).filter("email_status = 'invalid'"), "asked")
+    return store.read().select("event_id", "lead_id", "web_visitor_id", "event_date")
+
+
+# The lead table page by page, put together again; between two pages every lead changes.
+@query("leads_by_pages", "select lead_id, tracking_id, updated_at, email_status from leads")
+def leads_by_pages(spark, folder):
+    leads = samples.leads(spark, folder).select("lead_id", "tracking_id", "updated_at", "email_status")
+    pages = PagedSnapshot(spark, new_folder(spark, "lead-pages"))
+    cursor, out = pages.write(leads), None
+    limit = leads.count() // 4 + 1
+    while cursor is not None:
+        page = pages.page(cursor, limit)
+        if cursor.last is None:
+            pages.write(leads.withColumn("updated_at", F.current_timestamp()))
+        cursor = pages.after(cursor, page)
+        out = page if out is None else out.unionByName(page)
+    return out

@@ -166,6 +166,36 @@ def stream_hot_leads(spark, folder):
     return jobs.lead_scores_log(spark, out).outcomes(jobs.HOT).drop("batch")
 
 
+def sent_events(spark, folder):
+    ev = raw_events(spark, folder)
+    sent = ev.groupBy("batch_id").agg(F.timestamp_millis(
+        F.max(F.unix_millis("ts")) + 1000).alias("sent_at"))
+    return ev.join(sent, "batch_id")
+
+
+LATE_DELAY_DAYS = 20
+
+
+# Events in the order they were sent; a batch goes out when its last event is a second old.
+@query("stream_lateness", f"""
+    with s as (select country as source, ts, date_trunc('milliseconds', max(ts) over (partition by batch_id)) + interval 1 second as sent_at
+        from te),
+    p as (select *, cast(floor(epoch_us(sent_at) / 1000000 / {STEP_SECONDS}) as bigint) as period,
+        epoch_ms(sent_at) - epoch_ms(ts) as lag from s),
+    newest as (select period, max(max(ts)) over (order by period rows between unbounded preceding and 1 preceding) as seen
+        from p group by period)
+    select source, count(*) as rows, count(*) filter (not gone and lag <= 86400000) as on_time,
+        count(*) filter (not gone and lag > 86400000) as late, count(*) filter (gone) as dropped
+    from (select *, coalesce(ts < seen - interval {LATE_DELAY_DAYS} day, false) as gone from p join newest using (period))
+    group by source""")
+def stream_lateness(spark, folder):
+    out = new_folder(spark, "stream-lateness")
+    sent = sent_events(spark, folder)
+    finished(jobs.stream_lateness(as_stream(spark, sent, "sent_at"), out, F.col("country"), 24 * 3600,
+                                  LATE_DELAY_DAYS * 24 * 3600))
+    return jobs.lateness_log(spark, out).read().select("source", "rows", "on_time", "late", "dropped")
+
+
 @query("late_events", """
     select event_id, late_seconds from (
         select event_id, cast(floor((epoch_us(date_trunc('milliseconds', max(ts) over (partition by batch_id)))
@@ -173,9 +203,6 @@ def stream_hot_leads(spark, folder):
             epoch_us(date_trunc('milliseconds', max(ts) over (partition by batch_id))) + 1000000 - epoch_us(ts) as us
         from te) where us > 3600000000""")
 def late_events(spark, folder):
-    ev = raw_events(spark, folder)
-    sent = ev.groupBy("batch_id").agg(F.timestamp_millis(
-        F.max(F.unix_millis("ts")) + 1000).alias("sent_at"))
     out = new_folder(spark, "stream-late")
-    finished(jobs.late_events(as_stream(spark, ev.join(sent, "batch_id")), out))
+    finished(jobs.late_events(as_stream(spark, sent_events(spark, folder)), out))
     return spark.read.parquet(f"{out}/out").select("event_id", "late_seconds")

@@ -77,6 +77,9 @@ class PartTable:
         names = [s.getPath().getName() for s in folders if s.isDirectory()]
         return sorted(n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}="))
 
+    def file_names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+
     def replace(self, df: DataFrame, kind: str, name: str, column: str, values: list[str],
                 add: list[Part] = (), without: str | None = None) -> int:
         """Publish ``df`` as what the table holds for some values of ``column``.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -298,3 +298,52 @@ def late_events(events: DataFrame, folder: str, bound_seconds: int = 3600,
     lag = F.unix_micros("sent_at") - F.unix_micros("ts")
     out = events.withColumn("late_seconds", F.floor(lag / F.lit(1_000_000)).cast("long"))
     return _append(out.filter(lag > F.lit(bound_seconds * 1_000_000)), folder, trigger)
+
+
+LATENESS = T.StructType([
+    T.StructField("source", T.StringType()), T.StructField("rows", T.LongType()),
+    T.StructField("on_time", T.LongType()), T.StructField("late", T.LongType()),
+    T.StructField("dropped", T.LongType()), T.StructField("newest", T.TimestampType()),
+    T.StructField("sketch", T.BinaryType())])
+
+
+def lateness_log(spark: SparkSession, folder: str, **settings) -> KeyedLog:
+    """Counts and a mergeable sketch of lateness (milliseconds from event to sending) per source."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source").agg(
+            *[F.sum(c).alias(c) for c in ("rows", "on_time", "late", "dropped")], F.max("newest").alias("newest"),
+            F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+    return KeyedLog(spark, f"{folder}/log", ["source"], merge, **settings)
+
+
+def stream_lateness(events: DataFrame, folder: str, source: Column, bound_seconds: int = 3600,
+                    delay_seconds: int = 3600, trigger: dict | None = None, **settings) -> StreamingQuery:
+    """How late each source's events come, and how many a watermark of ``delay_seconds`` would drop.
+
+    A row is dropped that lies behind the newest time of earlier batches by more than the delay,
+    late if it was sent more than ``bound_seconds`` after it happened, else on time; the three add
+    up to all rows. :func:`watermark_delay` reads the delay to choose off the sketches.
+    """
+    lag = F.unix_millis("sent_at") - F.unix_millis("ts")
+
+    def run(batch: DataFrame, n: int) -> None:
+        log = lateness_log(batch.sparkSession, folder, **settings)
+        if log.holds(n):
+            return
+        newest = log.read(LATENESS).agg(F.max("newest")).first()[0]
+        mark = F.lit(newest).cast("timestamp") - F.make_interval(secs=F.lit(delay_seconds))
+        dropped = F.coalesce(F.col("ts") < mark, F.lit(False))
+        late = ~dropped & (lag > bound_seconds * 1000)
+        log.add(batch.groupBy(source.alias("source")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(~dropped & ~(lag > bound_seconds * 1000)).alias("on_time"),
+            F.count_if(late).alias("late"), F.count_if(dropped).alias("dropped"), F.max("ts").alias("newest"),
+            F.kll_sketch_agg_bigint(lag).alias("sketch")).select(*LATENESS.names), n)
+
+    return _each(events.filter(F.col("ts").isNotNull() & F.col("sent_at").isNotNull()), folder, run, trigger)
+
+
+def watermark_delay(log: DataFrame, share: float = 0.999) -> DataFrame:
+    """``source, delay_seconds`` within which about that share of a source's events is sent."""
+    at = F.kll_sketch_get_quantile_bigint("sketch", F.lit(share).cast("double"))
+    return log.select("source", F.ceil(F.greatest(at, F.lit(0)) / F.lit(1000)).cast("long").alias("delay_seconds"))
