@@ -76,6 +76,13 @@ def test_search_and_sweep_against_all_paths(lattice):
         assert lattice.decode(ids) == word[1:].replace("▁", " ")
 
 
+def test_words_of_one_length_together(lattice):
+    words = sorted({w for i in range(6) for w in pieces.words_of(prose(i, 400) + " 日本 \x00é aé日 ﬁx")}, key=len)
+    for n in {len(w) for w in words}:
+        some = [w for w in words if len(w) == n]
+        assert lattice._solve_equal(some) == lattice.solve(some)
+
+
 def test_n_best_of_a_text_against_all_sums(lattice):
     text = "the  thing is so"
     every = [every_path(lattice, w) for w in ("▁the", "▁▁thing", "▁is", "▁so")]

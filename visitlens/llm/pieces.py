@@ -24,8 +24,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -45,6 +45,8 @@ UNKNOWN_PENALTY = 10.0
 #: Added to each piece's count, so that a piece never seen has a small probability.
 ADD = 0.5
 GRID = 2.0 ** 24
+#: Words of one length that are solved together at least, and up to which length.
+ALIKE, LONGEST_ALIKE = 100, 40
 #: A text with a space in front falls into these: no piece goes from another letter on to a space.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -206,6 +208,61 @@ class Lattice:
             out[i] = (np.array(got, "<u4").tobytes(), *out[i][1:])
         return out
 
+    def _solve_equal(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """As :meth:`solve`, for many words of one length: every node is a column of all words."""
+        n, width = len(words[0]), len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64).reshape(width, n)
+        # Score and id of the piece from each start, by its length; what is no piece is never taken.
+        start, end, ids = self._walk(codes.ravel(), np.repeat(np.arange(1, width + 1) * n, n))
+        row, first = np.divmod(start, n)
+        size = end - start
+        most = int(size.max())
+        score = np.full((most, n, width), -np.inf)
+        piece = np.full((most, n, width), -1, np.int64)
+        score[size - 1, first, row] = np.where(ids >= 0, self.score_of[ids], self.unknown)
+        piece[size - 1, first, row] = ids
+        forward, backward = np.full((n + 1, width), -np.inf), np.full((n + 1, width), -np.inf)
+        through = np.zeros((n + 1, width), np.int64)
+        forward[0] = backward[n] = 0.0
+        for at in range(1, n + 1):
+            # Of equal paths the one whose last piece starts first.
+            for k in range(min(at, most), 0, -1):
+                value = forward[at - k] + score[k - 1, at - k]
+                better = value > forward[at]
+                forward[at][better] = value[better]
+                through[at][better] = k
+        for at in range(n - 1, -1, -1):
+            for k in range(1, min(n - at, most) + 1):
+                np.maximum(backward[at], score[k - 1, at] + backward[at + k], out=backward[at])
+        used = np.zeros((most, n, width), bool)
+        path = np.full((n, width), -2, np.int64)
+        at, every = np.full(width, n), np.arange(width)
+        while True:
+            live = every[at > 0]
+            if not len(live):
+                break
+            k = through[at[live], live]
+            at[live] -= k
+            used[k - 1, at[live], live] = True
+            path[at[live], live] = piece[k - 1, at[live], live]
+        score[used] = -np.inf
+        second = np.full(width, -np.inf)
+        for at in range(1, n + 1):
+            for k in range(1, min(at, most) + 1):
+                np.maximum(second, forward[at - k] + score[k - 1, at - k] + backward[at], out=second)
+        path = path.T
+        taken = path != -2
+        cuts = [0, *(4 * np.cumsum(taken.sum(1))).tolist()]
+        body = path[taken].astype("<u4").tobytes()
+        best = forward[n].tolist()
+        loss = (forward[n] - second).tolist()
+        out = [(body[p:q], b, x) for p, q, b, x in zip(cuts, cuts[1:], best, loss, strict=False)]
+        for i in np.flatnonzero((path == -1).any(1)).tolist():
+            got = [x for j, e in enumerate(path[i].tolist()) if e != -2
+                   for x in ([e] if e >= 0 else self._ids(words[i][j]))]
+            out[i] = (np.array(got, "<u4").tobytes(), *out[i][1:])
+        return out
+
     @staticmethod
     def _sweep(a, b, score, step, begin, nodes) -> tuple[np.ndarray, np.ndarray]:
         """Best score from ``begin`` to each node along edges a to b, and the edge it comes by.
@@ -240,7 +297,18 @@ class Lattice:
                 else:
                     missing.append(w)
         missing.sort(key=len)
-        at = 0
+        # Most words share their length with many others and are done column by column.
+        of_length, rest = defaultdict(list), []
+        for w in missing:
+            of_length[len(w)].append(w)
+        for n, words in of_length.items():
+            if len(words) < ALIKE or n > LONGEST_ALIKE:
+                rest += words
+                continue
+            few = 150_000 // n
+            for i in range(0, len(words), few):
+                self.known.update(zip(words[i:i + few], self._solve_equal(words[i:i + few]), strict=True))
+        missing, at = rest, 0
         while at < len(missing):
             upto, letters = at, 0
             while upto < len(missing) and (upto == at or letters + len(missing[upto]) <= 100_000):
@@ -260,16 +328,16 @@ class Lattice:
         known = self.learn(cut)
         out = []
         for words in cut:
-            found = [known[w] for w in words]
-            body, best = b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
+            bodies, scores, losses = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+            body, best = b"".join(bodies), float(sum(scores))
             if n == 1 or not words:
                 out.append((body, [best], [[]]))
                 continue
-            loss = np.array([f[2] for f in found])
+            loss = np.array(losses)
             # Only the n - 1 words that lose least by their second choice can be in the n best.
             least = np.argpartition(loss, n - 2)[:n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-            losses, choices = _best_sums([(words[i], self._top(words[i], n)) for i in sorted(
-                least.tolist(), key=lambda i: (loss[i], i)) if loss[i] < np.inf], n)
+            least = [i for i in sorted(least.tolist(), key=lambda i: (losses[i], i)) if losses[i] < np.inf]
+            losses, choices = _best_sums([(words[i], losses[i]) for i in least], n, lambda w: self._top(w, n))
             out.append((body, [best - x for x in losses], choices))
         return out
 
@@ -301,22 +369,36 @@ def joined(table: list[bytes], ids: bytes) -> str:
     return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
 
-def _best_sums(parts: list[tuple[str, list[float]]], n: int) -> tuple[list[float], list[list[tuple[str, int]]]]:
-    """The n least total losses over one choice per part, least first, with the parts not at their best."""
-    if not parts:
-        return [0.0], [[]]
-    losses = [[s[0] - x for x in s] for _, s in parts]
+def _best_sums(parts: list[tuple[str, float]], n: int, top: Callable[[str], list[float]]
+               ) -> tuple[list[float], list[list[tuple[str, int]]]]:
+    """The n least total losses over one choice per part, least first, with the parts not at their best.
+
+    ``parts``: a word and what its second choice loses. Further choices are searched only when a sum
+    with the one before them is among the n least.
+    """
+    found: dict[int, list[float]] = {}
+
+    def loss(i: int, rank: int) -> float | None:
+        if rank < 2:
+            return rank * parts[i][1]
+        if i not in found:
+            scores = top(parts[i][0])
+            found[i] = [scores[0] - x for x in scores]
+        return found[i][rank] if rank < len(found[i]) else None
+
     start = (0,) * len(parts)
     agenda, seen, out = [(0.0, start)], {start}, []
     while agenda and len(out) < n:
-        loss, at = heapq.heappop(agenda)
-        out.append((loss, [(parts[i][0], r) for i, r in enumerate(at) if r]))
+        total, at = heapq.heappop(agenda)
+        out.append((total, [(parts[i][0], r) for i, r in enumerate(at) if r]))
+        if len(out) == n:
+            break
         for i, r in enumerate(at):
-            if r + 1 < len(losses[i]):
-                nxt = (*at[:i], r + 1, *at[i + 1:])
-                if nxt not in seen:
-                    seen.add(nxt)
-                    heapq.heappush(agenda, (sum(losses[j][x] for j, x in enumerate(nxt)), nxt))
+            more = loss(i, r + 1)
+            nxt = (*at[:i], r + 1, *at[i + 1:])
+            if more is not None and nxt not in seen:
+                seen.add(nxt)
+                heapq.heappush(agenda, (sum(loss(j, x) for j, x in enumerate(nxt)), nxt))
     return [x for x, _ in out], [c for _, c in out]
 
 
@@ -425,7 +507,7 @@ def digests(docs: DataFrame, counts: np.ndarray, n: int = 4, vocabulary: str = V
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(public_tokenizers.path(vocabulary), counts)
-        for b in (whole_batch.slice(at, 256) for whole_batch in some for at in range(0, whole_batch.num_rows, 256)):
+        for b in (whole_batch.slice(at, 1024) for whole_batch in some for at in range(0, whole_batch.num_rows, 1024)):
             texts = b.column(1).to_pylist()
             rows = [(len(ids) // 4, zlib.crc32(ids), scores[0], scores, of.decode(ids) == t.replace(SPACE, " "))
                     for t, (ids, scores, _) in zip(texts, of.encode(texts, n), strict=True)]
