@@ -13,6 +13,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,16 +34,17 @@ class WordEncoder:
     """Token ids of a text, word by word, with a memory of words seen.
 
     The tokenizer drops white space and lets no token cross it, so a text's ids
-    are those of its white-space separated words. ``most_words`` bounds the memory;
-    it is emptied when full and no result depends on it.
+    are those of its white-space separated words. The memory holds up to twice ``most_words``
+    words, those lately seen; no result depends on it.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most_words = most_words
         size = self.tokenizer.get_vocab_size()
         self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -83,10 +85,15 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         # The special tokens' names are matched in lower case only.
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = {w for words in cut for w in words}.difference(self.known)
-        if len(self.known) + len(missing) > self.most_words:
-            self.known.clear()
-            missing = {w for words in cut for w in words}
+        if len(self.known) > self.most_words:
+            self.known, self.old = {}, self.known
+        known, old, missing = self.known, self.old, set()
+        for w in set(chain.from_iterable(cut)):
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    missing.add(w)
         if missing:
             self._learn(missing)
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
