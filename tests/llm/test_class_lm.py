@@ -20,7 +20,7 @@ def lower(text):
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    s = class_lm.Settings(classes=8, rounds=3, evidence=3, block_tokens=3000)
+    s = class_lm.Settings(classes=8, rounds=3, block_tokens=3000)
     return class_lm.score_texts(clashing(documents(spark, table())), s).collect()
 
 
@@ -49,24 +49,75 @@ def test_model_beats_words_on_texts_held_out(scored):
 def test_exchange_raises_the_class_information(spark):
     rows_ = [(i, " ".join(f"{a}{j} {b}{(i + j) % 9}" for j, (a, b) in enumerate([("det", "noun")] * 9)), None, None, None)
              for i in range(200)]
-    s = class_lm.Settings(classes=5, rounds=1, evidence=2)
+    s = class_lm.Settings(classes=5, rounds=3)
     corpus = class_lm.Corpus(documents(spark, rows_), s)
 
-    def information(words):
-        m = corpus.pairs(words)
-        p = m / m.sum()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nansum(p * np.log(p / np.outer(p.sum(1), p.sum(0))))
-
-    before = information(corpus.words)
-    words = corpus.exchange(corpus.exchange(corpus.words))
-    assert information(words) > before
-    assert words.count() == corpus.words.count()
+    words, steps = corpus.trained()
+    # What a plain count of neighbours over the training texts says.
+    of = {bytes(r["word"]): r["class"] for r in words.collect()} | {b"": 0}
+    pairs = Counter()
+    for d, text, *_ in rows_:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            classes = [0, *(of[t] for t in lower(text)), 0]
+            pairs.update(zip(classes, classes[1:]))
+    n = sum(pairs.values())
+    first, second = Counter(), Counter()
+    for (a, b), c in pairs.items():
+        first[a] += c
+        second[b] += c
+    plain = sum(c / n * math.log(c * n / first[a] / second[b]) for (a, b), c in pairs.items())
+    assert abs(corpus.information(words) - plain) < 1e-9 and abs(steps[-1] - plain) < 1e-9
+    assert len(steps) > 1 and steps == sorted(steps) and words.count() == corpus.words.count()
+
+
+def test_a_round_that_lowers_the_information_is_undone(spark, monkeypatch):
+    s = class_lm.Settings(classes=6, rounds=2, block_tokens=400)
+    corpus = class_lm.Corpus(documents(spark, table()), s)
+    worse = lambda left, right, own, matrix: np.ones(len(own), np.int64)
+    monkeypatch.setattr(class_lm, "best_classes", worse)
+    words, steps = corpus.trained()
+    assert words is corpus.words and len(steps) == 1
+    assert corpus.information(words) == steps[0] > 0
+
+
+def test_number_of_classes_is_checked():
+    with pytest.raises(ValueError):
+        class_lm.Settings(classes=129)
+
+
+def test_scores_against_a_plain_count(spark):
+    """The formula, from the classes the training ends with."""
+    s = class_lm.Settings(classes=7, rounds=1, block_tokens=900)
+    corpus = class_lm.Corpus(documents(spark, table()), s)
+    words, _ = corpus.trained()
+    of = {bytes(r["word"]): r["class"] for r in words.collect()}
+    cls = lambda w: 0 if not w else of.get(w, int(class_lm.first_class([w], 7)[0]))
+    count, pairs, held = Counter(), Counter(), lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    for d, text, *_ in table():
+        if not held(d):
+            t = [b"", *lower(text), b""]
+            count.update(t[1:])
+            pairs.update((cls(a), cls(b)) for a, b in zip(t, t[1:]))
+    rows_of, tokens, types = Counter(), Counter(), Counter()
+    for (a, _), n in pairs.items():
+        rows_of[a] += n
+    for w, n in count.items():
+        tokens[cls(w)] += n
+        types[cls(w)] += 1
+
+    def plain(text):
+        t = [b"", *lower(text), b""]
+        return sum(math.log10((pairs[cls(a), cls(b)] + s.add_transition) / (rows_of[cls(a)] + 7 * s.add_transition))
+                   + math.log10((count[b] + s.add_word) / (tokens[cls(b)] + s.add_word * (types[cls(b)] + 1)))
+                   for a, b in zip(t, t[1:]))
+
+    got = sorted((r["doc_id"], round(r["score"], 5)) for r in corpus.score(words).collect())
+    assert got == sorted((d, round(plain(text), 5)) for d, text, *_ in table())
 
 
 def test_exchange_does_not_depend_on_batches(spark):
     """A word's rows may lie in several Arrow batches, and its blocks in several rows."""
-    s = class_lm.Settings(classes=6, rounds=1, evidence=2, block_tokens=400)
+    s = class_lm.Settings(classes=6, rounds=1, block_tokens=400)
 
     def moved():
         corpus = class_lm.Corpus(documents(spark, table()), s)

@@ -10,12 +10,13 @@ texts as numbers into its own word list, and the word lists of all blocks are
 joined with the counts and classes of the whole corpus. So a task holds the words of one block,
 never the vocabulary; texts and lists are written once, bucketed by
 block, and do not move again. A round moves the classes that changed and, once, what
-stands around the words with evidence. Only the transition counts between classes, at
+stands around the words. Only the transition counts between classes, at
 most the square of their number, are gathered.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -37,21 +38,27 @@ END = b""
 WORDS = "word binary, n bigint, class int, changed boolean"
 #: The largest count that two bytes hold.
 MOST = 65535
+#: A byte tells a class before a word from one after it.
+MOST_CLASSES = 128
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` (at most 128) bounds the transition table. Words seen less often than
-    ``evidence`` times in training stay in the class that their ending gives, as
-    so few neighbours say nothing. ``block_tokens`` bounds a task's memory."""
+    """``classes`` (at most 128) bounds the transition table. Every word seen in training takes part in
+    the exchange. Rounds end when one raises the information of classes by less than ``least_gain`` of
+    it, or after ``rounds``; a round that lowers it is undone. ``block_tokens`` bounds a task's memory."""
 
     classes: int = 64
     rounds: int = 2
-    evidence: int = 20
+    least_gain: float = 0.001
     block_tokens: int = 1_500_000
     add_transition: float = 0.1
     add_word: float = 0.5
 
+    def __post_init__(self):
+        if not 2 <= self.classes <= MOST_CLASSES:
+            raise ValueError(f"classes must be 2 to {MOST_CLASSES}, not {self.classes}")
+
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
@@ -161,8 +168,8 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: n
 class Corpus:
     """The corpus in blocks, with its word counts, ready for rounds and scoring.
 
-    ``words`` holds ``word, n, class, changed`` of the words with evidence; all others
-    stay in the class of their ending, which a block works out by itself. The
+    ``words`` holds ``word, n, class, changed`` of the words seen in training; others
+    are in the class of their ending, which a block works out by itself. The
     tables of texts, word lists and changed classes are all bucketed by block.
     """
 
@@ -176,7 +183,7 @@ class Corpus:
         lists = rows.filter("word is not null").select(
             "block", "local", "word", F.sum("n").over(of_word).alias("n"),
             (F.min("block").over(of_word) == F.col("block")).alias("lead"))
-        strong = (F.col("n") >= settings.evidence) & (F.length("word") > 0)
+        strong = (F.col("n") > 0) & (F.length("word") > 0)
         self.places = staged(lists.select("block", "local", "n", "lead", strong.alias("strong"), F.when(
             F.col("lead") | strong, F.col("word")).alias("word")), "lm-places")
         # One row of each word of the corpus.
@@ -190,6 +197,13 @@ class Corpus:
                                     "lm-lists")
         self.words = self._first(self.counts.filter("strong"))
         self._moved = (self.words, None)
+        self._matrix: tuple[DataFrame | None, np.ndarray | None] = (None, None)
+        self._free()
+
+    def _free(self) -> None:
+        """Shuffle files go with the frames that wrote them, once both sides' memory is cleaned."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _bucketed(self, rows: DataFrame, label: str) -> DataFrame:
         """The rows written once, bucketed by block, so that joins on block move nothing."""
@@ -217,6 +231,8 @@ class Corpus:
             one = F.shiftleft(F.col("local").cast("bigint"), 8) + F.col("class")
             self._moved = (words, self._bucketed(moved.groupBy("block").agg(F.collect_list(one).alias("moved")),
                                                  "lm-moved"))
+            del moved
+            self._free()
         both, moved = self.texts.join(self.lists, "block") if more else self.texts, self._moved[1]
         both = (both.withColumn("moved", F.lit(None).cast("array<bigint>")) if moved is None
                 else both.join(moved, "block", "left"))
@@ -224,6 +240,8 @@ class Corpus:
 
     def pairs(self, words: DataFrame) -> np.ndarray:
         """Counts of class pairs in training, summed before they are gathered (the square of the classes at most)."""
+        if self._matrix[0] is words:
+            return self._matrix[1]
         k = self.s.classes
 
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +257,35 @@ class Corpus:
         out = np.zeros(k * k)
         for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
             out[r["pair"]] = r["n"]
-        return out.reshape(k, k)
+        self._matrix = (words, out.reshape(k, k))
+        return self._matrix[1]
+
+    def information(self, words: DataFrame) -> float:
+        """Mutual information of neighbouring classes, in nats: what exchange is to raise."""
+        p = self.pairs(words)
+        p = p / max(p.sum(), 1)
+        seen = p > 0
+        return float((p[seen] * np.log(p[seen] / np.outer(p.sum(1), p.sum(0))[seen])).sum())
+
+    def trained(self) -> tuple[DataFrame, list[float]]:
+        """Words in their last classes, and the information before the first round and after each that counts."""
+        words, before = self.words, self._moved
+        steps = [self.information(words)]
+        for _ in range(self.s.rounds):
+            moved = self.exchange(words)
+            gained = self.information(moved) - steps[-1]
+            if gained <= 0:
+                # All words moved at once may do worse together; then they stay where they were.
+                self._moved, self._matrix = before, (None, None)
+                break
+            words, before = moved, self._moved
+            steps.append(steps[-1] + gained)
+            if gained < self.s.least_gain * steps[-1]:
+                break
+        return words, steps
 
     def contexts(self, words: DataFrame) -> DataFrame:
-        """Rows ``word, n, class, what, times`` per block, for words with evidence.
+        """Rows ``word, n, class, what, times`` per block, for words seen in training.
 
         ``what`` has a byte per class before the word, or after it (from ``classes``
         up), and ``times`` two bytes with its count; larger counts are told in parts.
@@ -322,8 +365,9 @@ class Corpus:
             if held is not None:
                 yield from moved(*held)
 
-        around = self.contexts(words).repartition("word").sortWithinPartitions("word")
-        return staged(mapped(around, move, WORDS), "lm-words")
+        out = staged(mapped(self.contexts(words).repartition("word").sortWithinPartitions("word"), move, WORDS), "lm-words")
+        self._free()
+        return out
 
     def sizes(self, words: DataFrame) -> np.ndarray:
         """Tokens and different words of each class in training; a row per class."""
@@ -403,7 +447,5 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ending, and one share for all such words of a class.
     """
     corpus = Corpus(docs, settings)
-    words = corpus.words
-    for _ in range(settings.rounds):
-        words = corpus.exchange(words)
+    words, _ = corpus.trained()
     return corpus.score(words)
