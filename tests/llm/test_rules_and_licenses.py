@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import clashing, documents, prose, rows
 from visitlens.llm import license_scan, quality_rules
@@ -79,14 +80,19 @@ def plain_scan(text, threshold=license_scan.THRESHOLD):
         at = [i for i in range(len(words)) if words[i:i + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    labels, best = set(base), 1.0 if base else 0.0
-    for label, template in license_scan.TEMPLATES:
+    labels, best, found = set(base), 1.0 if base else 0.0, []
+    for label, template, must in license_scan.TEMPLATES:
         tokens = license_scan._words(template)
         for start in range(0, max(len(words), 1), len(tokens)):
-            share = len(set(tokens) & set(words[start:start + 2 * len(tokens)])) / len(set(tokens))
-            if share >= threshold:
-                labels.add(label)
-                best = max(best, share)
+            held = set(words[start:start + 2 * len(tokens)])
+            shared = set(tokens) & held
+            if len(shared) / len(set(tokens)) >= threshold and held >= set(must.split()):
+                found.append((label, start, start + 2 * len(tokens), shared, len(shared) / len(set(tokens)), set(must.split())))
+    for label, start, end, shared, share, must in found:
+        if not any(o[0] != label and len(o[3]) > len(shared) and must <= o[3] and start < o[2] and o[1] < end
+                   for o in found):
+            labels.add(label)
+            best = max(best, share)
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), round(best, 9))
 
@@ -101,5 +107,41 @@ def test_license_scan_against_all_blocks(spark, threshold):
         ((r[0], *plain_scan(r[1], threshold)) for r in table), key=key)
 
 
+NOTICES = {
+    "Licensed under CC BY 4.0.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "Released under the BSD License.": "bsd", "Released under the Apache License.": "apache",
+    "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2",
+    "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Released under the Something License.": "",
+    "Released under the MIT License. Licensed under the Apache License, Version 2.0.": "apache-2,mit",
+}
+
+
+def test_each_notice_has_its_own_label(spark):
+    table = [(i, f"{prose(50 + i, 30)}\n{t}\n{prose(70 + i, 30)}", None, None, None) for i, t in enumerate(NOTICES)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(documents(spark, table)).collect()}
+    assert list(map(got.get, range(len(NOTICES)))) == list(NOTICES.values())
+
+
+def test_templates_from_a_table(spark):
+    rows_ = [("own", "The quick license says do as you like with this text", "quick"), ("other", "Do not copy this", None)]
+    templates = license_scan.from_table(spark.createDataFrame(rows_, "label string, text string, must string"))
+    docs = documents(spark, [(1, "x the quick license says: do as you like with this", None, None, None),
+                             (2, "the license says do as you like with this text", None, None, None)])
+    assert [r["labels"] for r in license_scan.scan(docs, templates).orderBy("doc_id").collect()] == ["own", ""]
+
+
+def test_positional_filter_removes_candidates(spark):
+    met = spark.createDataFrame([
+        (["a", "b", "c", "d", "e"], 4, 1, 2, ["b", "x", "c", "d"]),   # no later word in the block: gone
+        (["a", "b", "c", "d", "e"], 4, 1, 2, ["b", "c", "d", "e"]),   # enough left on both sides
+        (["a", "b", "c", "d", "e"], 4, 2, 3, ["c", "d", "e", "x"]),   # too few left of the template
+        (["a", "b", "c", "d", "e"], 4, 0, 1, ["a", "b", "c"]),        # block too short
+    ], "tokens array<string>, need int, at int, rank int, held array<string>")
+    ranks = F.create_map(*[F.lit(x) for i, t in enumerate("abcde") for x in (t, i + 1)])
+    assert [r["held"] for r in license_scan.candidates(met, ranks).collect()] == [["b", "c", "d", "e"]]
+
+
 def test_license_scan_of_nothing(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
