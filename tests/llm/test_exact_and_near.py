@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.samples import clashing, documents, prose, rows
 from visitlens.llm import exact_dedup, simhash
@@ -53,6 +54,29 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert sorted(texts) == sorted({(r[1] or "").translate(UPPER) for r in rows()})
 
 
+def test_drops_leave_columns_of_any_name(spark):
+    docs = documents(spark)
+    for c in ("_digest", "_print", "row_no", "gone", "a.b"):
+        docs = docs.withColumn(c, F.lit(c))
+    for drop in (lambda d: exact_dedup.drop_copies(d, index(spark)), simhash.drop_near):
+        left = drop(docs)
+        assert left.columns == docs.columns
+        assert {tuple(r)[-5:] for r in left.collect()} == {("_digest", "_print", "row_no", "gone", "a.b")}
+
+
+def test_groups_without_ids_keep_one_row(spark):
+    """A group whose ids are all null must not bring other rows with null ids along."""
+    docs = documents(spark, [(None, prose(1, 90), None, None, 1), (None, prose(1, 90), None, None, 2),
+                             (3, prose(5, 90), None, None, 3), (None, prose(5, 90), None, None, 4)])
+    assert sorted(r["doc_id"] or 0 for r in simhash.drop_near(docs).collect()) == [0, 3]
+
+
+def test_two_paths_never_share_an_index(spark):
+    long = "x" * 90
+    a, b = (exact_dedup.DigestIndex(spark, f"/{top}/{long}") for top in "ab")
+    assert a.name != b.name
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert exact_dedup.ingest(none, index(spark)).count() == 0

@@ -43,6 +43,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number per row, and that column's name, which no column of ``docs`` has.
+
+    Decisions then are made on numbers, and the texts stay where they are.
+    """
+    name = "row_no"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+
+
+def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """Numbered rows but for those whose numbers are in ``gone`` (column ``gone``), without the number.
+
+    Each number is in ``gone`` once at most. A short list is sent to the rows by the adaptive planner.
+    """
+    left = rows.join(gone, rows[name] == gone["gone"], "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in rows.columns if c != name])
+
+
 def mapped(df: DataFrame, batches: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow``; callers take a batch apart by bytes or rows, as one row may hold a very long text."""
     return df.mapInArrow(batches, schema)

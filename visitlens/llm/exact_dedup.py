@@ -8,12 +8,13 @@ appended. Texts never shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import ascii_lower, staged, whole
+from visitlens.llm.common import ascii_lower, numbered, staged, whole, without
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class DigestIndex:
 
     @property
     def name(self) -> str:
-        return "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.path)[-80:].lower()
+        """Two paths never share a name, however alike they end."""
+        return "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
 
     def open(self) -> DigestIndex:
         self.spark.sql(
@@ -48,11 +50,11 @@ class DigestIndex:
          .saveAsTable(f"`{self.name}`", path=self.path))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, SHA-256 ``digest`` of the text with A-Z in lower case, and a row number."""
+def digests(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """``doc_id``, SHA-256 ``digest`` of the text with A-Z in lower case, and a row number (the column ``number``)."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.unhex(F.sha2(ascii_lower(whole()).cast("binary"), 256)).alias("digest"),
-                       F.monotonically_increasing_id().alias("row_no"))
+                       (F.col(number) if number else F.monotonically_increasing_id()).alias("row_no"))
 
 
 def ingest(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
@@ -73,8 +75,13 @@ def ingest(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
     (combined before the shuffle). The join back to rows carries only ids and
     digests; its hot key is split by the adaptive skew join.
     """
+    return _decided(digests(docs), index, batch).drop("row_no")
+
+
+def _decided(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """``ingest`` of digests, with the rows' numbers."""
     index.open()
-    rows = staged(digests(docs), "digests")
+    rows = staged(rows, "digests")
     groups = staged(rows.groupBy("digest").agg(
         F.max("doc_id").alias("own_id"), F.count(F.lit(1)).alias("group_size"),
         F.coalesce(F.max_by("row_no", "doc_id"), F.max("row_no")).alias("keep_row")), "digest-groups")
@@ -88,7 +95,7 @@ def ingest(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
     # Texts that occur once need no look-up; the left join passes them by.
     shared = decided.filter((F.col("group_size") > 1) | F.col("keep_row").isNull()).withColumn("_found", F.lit(True))
     return rows.join(shared, "digest", "left").select(
-        "doc_id",
+        "row_no", "doc_id",
         F.when(F.col("_found"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
         F.when(F.col("_found"), F.coalesce(F.col("keep_row") == F.col("row_no"), F.lit(False)))
@@ -98,11 +105,6 @@ def ingest(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex, batch: str = "0") -> DataFrame:
     """``docs`` without the rows that ``ingest`` drops; all columns stay as they are."""
-    kept = ingest(docs, index, batch).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(whole()).cast("binary"), 256)))
-    some = marked.alias("d").join(
-        kept.alias("k"), (F.col("d._digest") == F.col("k._digest")) & F.col("d.doc_id").eqNullSafe(F.col("k._id")),
-        "left_semi")
-    # A row repeated with the same id and text passes the join each time.
-    return some.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    rows, number = numbered(docs)
+    gone = _decided(digests(rows, number), index, batch).filter(~F.col("kept")).select(F.col("row_no").alias("gone"))
+    return without(rows, number, gone)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import mapped, staged, whole
+from visitlens.llm.common import mapped, numbered, staged, whole, without
 from visitlens.llm.components import components
 
 SEED = 42
@@ -53,16 +53,18 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_in > len(starts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = 3, number: str | None = None) -> DataFrame:
+    """``row_no, doc_id, fp``: the fingerprint of each row as a signed 64-bit number, beside the column ``number``."""
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64))],
+                                             ["row_no", "doc_id", "fp"])
 
-    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                              whole().cast("binary").alias("text")), batches, "doc_id bigint, fp bigint")
+    row = F.col(number) if number else F.lit(0).cast("bigint")
+    return mapped(docs.select(row.alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                              whole().cast("binary").alias("text")), batches, "row_no bigint, doc_id bigint, fp bigint")
 
 
 def thermometer(fp: Column) -> Column:
@@ -126,27 +128,35 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame
     a group of documents. A hot fingerprint meets its group in an adaptive skew
     join of two numbers per row.
     """
-    rows = staged(fingerprints(docs, words), "fingerprints")
+    rows = staged(fingerprints(docs, words).drop("row_no"), "fingerprints")
+    classes = _classes(rows, max_bits)
+    return rows.join(classes, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component_id`` of each different fingerprint; ``root`` names the group, also where it has no id."""
     points = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "points")
     roots = staged(components(links(points.select("fp"), max_bits)), "roots")
     members = roots.join(points, roots["node"] == points["fp"])
     least = members.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    grouped = roots.join(least, "root").select(F.col("node").alias("fp"), "group_id")
-    classes = points.join(grouped.withColumn("_linked", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("_linked"), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"))
-    return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "group_id")
+    return points.join(grouped, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id; columns unchanged.
+    """``docs`` with one row of each group, the one with the least id; columns unchanged.
 
-    Rows that share a ``doc_id`` stand or fall together, null ids too; of rows
-    that repeat both id and text one stays.
+    Null ids come after all others. Of rows that share the least id the first written stays.
     """
-    groups = near_groups(docs, words, max_bits)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_print", F.xxhash64(F.sha2(whole().cast("binary"), 256)))
-    some = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return some.dropDuplicates(["doc_id", "_print"]).drop("_print")
+    rows, number = numbered(docs)
+    prints = staged(fingerprints(rows, words, number), "fingerprints")
+    grouped = staged(prints.join(_classes(prints, max_bits).select("fp", "root"), "fp").select(
+        "root", "row_no", "doc_id"), "near-groups")
+    # The numbers that stay are combined before they move; a hot group is one row per task.
+    stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("m"))
+    gone = grouped.join(stay.select("root", F.col("m.row_no").alias("first")), "root").filter(
+        "row_no <> first").select(F.col("row_no").alias("gone"))
+    return without(rows, number, gone)
