@@ -9,7 +9,7 @@ from visitlens.functions import emails
 from visitlens.functions.scalars import (
     bound, email_domain, filled, first_filled, payload, payload_struct)
 from visitlens.operators.periods import before, in_period
-from visitlens.operators.profiles import SERVED
+from visitlens.operators.profiles import SERVED, served
 from visitlens.operators.skew import HOT_ROWS, lookup
 from visitlens.session import enable_checkpoints
 
@@ -101,7 +101,7 @@ def lead_tracking_ids(leads: DataFrame) -> DataFrame:
 
 
 def resolve_lead(signals: DataFrame, leads: DataFrame, row: str = "batch_id",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``lead_id`` and ``resolved_by``: tracking id first, then address.
 
     Two equality joins; one join on "either matches" would be a nested loop.
@@ -117,7 +117,7 @@ def resolve_lead(signals: DataFrame, leads: DataFrame, row: str = "batch_id",
 
 
 def visitor_status(rows: DataFrame, visitors: DataFrame, row: str = "batch_id",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``is_identified`` and ``known_lead_id``; unknown visitors are not."""
     known = visitors.select("visitor_id", F.col("is_identified").alias("_known"),
                             F.col("lead_id").alias("known_lead_id"))
@@ -166,8 +166,11 @@ def batch_owners(signals: DataFrame, leads: DataFrame, visitors: DataFrame,
     A tracking id means the lead with it, else the lead with the address, else
     a new lead. Without a tracking id an address means the lead the visitor is
     known as, else the lead with the address, else a new lead. Otherwise the
-    visitor stays anonymous.
+    visitor stays anonymous. ``signals`` should be a written table: it is counted once, and where it
+    has fewer rows than a hot key the joins look for none.
     """
+    if signals.count() < hot_rows:
+        hot_rows = None
     known = visitor_status(resolve_lead(signals, leads, hot_rows=hot_rows), visitors,
                            hot_rows=hot_rows)
     tracked = F.col("tracking_id").isNotNull()
@@ -311,8 +314,8 @@ def resolve_profile(ids: DataFrame, identities: DataFrame, personal: DataFrame,
     ids = ids.select(F.col("visitor_id")).filter(F.col("visitor_id").isNotNull()).distinct()
     by_tracking = (leads.filter(filled(F.col("tracking_id")).isNotNull())
                    .groupBy("tracking_id")
-                   .agg(F.min_by(_lead_struct(), F.col("lead_id")).alias("_lead")))
-    by_id = leads.select(F.col("lead_id").alias("_lead_id"), _lead_struct().alias("_vlead"))
+                   .agg(F.min_by(_lead_struct(leads), F.col("lead_id")).alias("_lead")))
+    by_id = leads.select(F.col("lead_id").alias("_lead_id"), _lead_struct(leads).alias("_vlead"))
     seen = visitors.select(
         "visitor_id", F.coalesce("is_identified", F.lit(False)).alias("_identified"),
         F.col("lead_id").alias("_lead_id"), F.col("total_sessions").alias("_sessions"),
@@ -326,8 +329,9 @@ def resolve_profile(ids: DataFrame, identities: DataFrame, personal: DataFrame,
            .join(personal.select(F.col("key").alias("visitor_id"),
                                  F.col("value_json").alias("_p_json")), "visitor_id", "left")
            .join(by_tracking.withColumnRenamed("tracking_id", "visitor_id"), "visitor_id", "left")
-           .join(seen, "visitor_id", "left")
-           .join(by_id, "_lead_id", "left"))
+           .join(seen, "visitor_id", "left"))
+    # Most visitors have no lead; a lead is reached by few visitors.
+    out = lookup(out, by_id, "_lead_id", "visitor_id", hot_rows=None)
     tier = (F.when(F.col("_id_json").isNotNull(), "identity")
             .when(F.col("_p_json").isNotNull(), "personalization")
             .when(F.col("_lead").isNotNull(), "lead")
@@ -367,7 +371,7 @@ LEAD_PROFILE = ["first_name", "last_name", "person_name", "email", "company_name
                 "company_industry", "company_revenue", *SERVED]
 
 
-def _lead_struct() -> Column:
+def _lead_struct(leads: DataFrame) -> Column:
     contact = emails.contact_email(F.col("work_email"), F.col("personal_email"))
     both = filled(F.col("first_name")).isNotNull() & filled(F.col("last_name")).isNotNull()
     return F.struct(
@@ -375,4 +379,5 @@ def _lead_struct() -> Column:
         F.when(both, F.concat_ws(" ", "first_name", "last_name")).alias("person_name"),
         contact.alias("email"), "company_name",
         F.coalesce(filled(F.col("company_website")), filled(email_domain(contact))).alias("domain"),
-        "company_industry", "company_revenue", *[filled(F.col(c)).alias(c) for c in SERVED])
+        *[(F.col(c) if c in leads.columns else F.lit(None).cast("string")).alias(c)
+          for c in ("company_industry", "company_revenue")], *served(leads))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,6 +18,11 @@ SERVED = ["phone", "linkedin_url", "company_website", "company_description", "co
           "company_linkedin", "job_title", "job_seniority", "job_department"]
 
 
+def served(leads: DataFrame) -> list[Column]:
+    """The attributes of :data:`SERVED`; those the table lacks are null."""
+    return [(filled(F.col(c)) if c in leads.columns else F.lit(None).cast("string")).alias(c) for c in SERVED]
+
+
 def visitor_behavior(events: DataFrame, as_of, days: int = 90, key: str = "visitor_id") -> DataFrame:
     """Per visitor over the last ``days``: sessions, page views, visits, flags.
 
@@ -73,7 +78,7 @@ def lead_profile_build(leads: DataFrame, behavior: DataFrame, campaigns: DataFra
     return out.select(
         "tracking_id", "lead_id", "first_name", "last_name", "person_name", contact.alias("email"),
         F.coalesce(filled(F.col("company_website")), filled(email_domain(contact))).alias("domain"),
-        "company_name", "company_industry", "company_revenue", *[filled(F.col(c)).alias(c) for c in SERVED],
+        "company_name", "company_industry", "company_revenue", *served(out),
         sessions.alias("total_sessions"), F.coalesce("total_pageviews", zero).alias("total_pageviews"),
         "last_visit", "first_visit", pricing.alias("viewed_pricing"),
         F.coalesce("requested_demo", no).alias("requested_demo"),

@@ -276,14 +276,15 @@ def _carried(hot_rows: DataFrame, keys: list[str], order: list[str],
 
 
 def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str,
-           how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+           how: str = "left", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Join facts to a table that is unique on ``key``.
 
     Facts of a hot key are salted by ``spread_by`` over as many parts as they
     fill, and only the table rows of hot keys are repeated. Facts without a key
-    match nothing and are spread without a bound, else they would all meet in one task.
+    match nothing and are spread without a bound, else they would all meet in one task. Finding hot keys
+    is a job; a caller that knows there are none, as the table is small, gives no ``hot_rows``.
     """
-    hot = heavy_keys(facts.filter(F.col(key).isNotNull()), [key], hot_rows)
+    hot = heavy_keys(facts.filter(F.col(key).isNotNull()), [key], hot_rows) if hot_rows else None
     if hot is None:
         parts = F.lit(1)
     else:

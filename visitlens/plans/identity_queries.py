@@ -373,10 +373,11 @@ def upsert_leads(spark, folder):
 
 # A patch for every third lead: new title for half of them, a new address for all.
 @query("update_lead_identity", """
-    select lead_id, case when n % 9 = 0 then 'patched' || cast(n as varchar) || '@new.org' else work_email end as work_email,
+    select * exclude (n) replace (
+        case when n % 9 = 0 then 'patched' || cast(n as varchar) || '@new.org' else work_email end as work_email,
         case when n % 3 = 0 and n % 9 <> 0 then 'patched' || cast(n as varchar) || '@gmail.com'
             else personal_email end as personal_email,
-        case when n % 6 = 0 then 'Director' else job_title end as job_title
+        case when n % 6 = 0 then 'Director' else job_title end as job_title)
     from (select *, cast(substr(lead_id, 2) as bigint) as n from leads)""")
 def update_lead_identity(spark, folder):
     leads = samples.leads(spark, folder)
@@ -385,8 +386,7 @@ def update_lead_identity(spark, folder):
         "lead_id", F.concat(F.lit("patched"), n.cast("string"), F.when(
             n % 9 == 0, "@new.org").otherwise("@gmail.com")).alias("email"),
         F.when(n % 6 == 0, "Director").otherwise("").alias("job_title"))
-    return upserts.update_lead_identity(leads, patches).select(
-        "lead_id", "work_email", "personal_email", "job_title")
+    return upserts.update_lead_identity(leads, patches)
 
 
 @query("identify_visitors", f"""

@@ -152,12 +152,14 @@ def write_campaign_urls(spark, folder):
 
 
 @query("write_identity_map", f"""
-    select short_id, email, campaign_id, created_at, expires_at, 0 as clicks from ({IDENTITY_SQL})""")
+    select short_id, cast(null as varchar) as visitor_id, email, {sql_hash32('lower(trim(email))')} as email_hash,
+        first_name, last_name, company, campaign_id, campaign_name, cast(null as integer) as sequence_step,
+        created_at, expires_at, 0 as clicks, cast(null as timestamp) as last_clicked_at
+    from ({IDENTITY_SQL})""")
 def write_identity_map(spark, folder):
     path = new_folder(spark, "identity-map")
     writers.write_identity_map(identities(spark, folder), path)
-    return spark.read.parquet(path).select(
-        "short_id", "email", "campaign_id", "created_at", "expires_at", "clicks")
+    return spark.read.parquet(path)
 
 
 @query("init_lead_profiles", f"""
