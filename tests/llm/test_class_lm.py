@@ -54,7 +54,7 @@ def test_exchange_raises_the_class_information(spark):
 
     words, steps = corpus.trained()
     # What a plain count of neighbours over the training texts says.
-    of = {bytes(r["word"]): r["class"] for r in words.collect()} | {b"": 0}
+    of = {bytes(r["word"]): r["class"] for r in corpus.named(words).collect()} | {b"": 0}
     pairs = Counter()
     for d, text, *_ in rows_:
         if zlib.crc32(str(d).encode()) % 7 != 2:
@@ -90,7 +90,7 @@ def test_scores_against_a_plain_count(spark):
     s = class_lm.Settings(classes=7, rounds=1, block_tokens=900)
     corpus = class_lm.Corpus(documents(spark, table()), s)
     words, _ = corpus.trained()
-    of = {bytes(r["word"]): r["class"] for r in words.collect()}
+    of = {bytes(r["word"]): r["class"] for r in corpus.named(words).collect()}
     cls = lambda w: 0 if not w else of.get(w, int(class_lm.first_class([w], 7)[0]))
     count, pairs, held = Counter(), Counter(), lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     for d, text, *_ in table():
@@ -122,7 +122,7 @@ def test_exchange_does_not_depend_on_batches(spark):
     def moved():
         corpus = class_lm.Corpus(documents(spark, table()), s)
         return {(bytes(r["word"]), r["n"], r["class"], r["changed"])
-                for r in corpus.exchange(corpus.words).collect()}
+                for r in corpus.named(corpus.exchange(corpus.words)).collect()}
 
     plain, key = moved(), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

@@ -34,8 +34,11 @@ from visitlens.session import new_folder
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
-#: What ``Corpus.words`` holds; ``changed``: not in the class of its ending any more.
-WORDS = "word binary, n bigint, class int, changed boolean"
+#: What ``Corpus.words`` holds; ``changed``: not in the class of its ending any more. A word is told by its
+#: ``id``, its place in the first block that has it.
+WORDS = "id bigint, n bigint, class int, changed boolean"
+#: More different words than a block has tokens.
+LOCAL_BITS = 22
 #: The largest count that two bytes hold.
 MOST = 65535
 #: A byte tells a class before a word from one after it.
@@ -56,6 +59,8 @@ class Settings:
     add_word: float = 0.5
 
     def __post_init__(self):
+        if self.block_tokens >= 1 << LOCAL_BITS:
+            raise ValueError(f"block_tokens must be below {1 << LOCAL_BITS}")
         if not 2 <= self.classes <= MOST_CLASSES:
             raise ValueError(f"classes must be 2 to {MOST_CLASSES}, not {self.classes}")
 
@@ -84,23 +89,24 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n, known, ids, texts
-            block, n = part << 20 | n, n + 1
+            block, n = part << 18 | n, n + 1
             flat = np.concatenate(ids).astype(np.int32)
             lengths = np.array([len(x) for x in ids], np.int64)
             out = np.array([h for _, h in texts], bool)
             taught = np.repeat(~out, lengths)
             counts = np.bincount(flat[taught], minlength=len(known))
             words = list(known)
-            first = first_class(words, s.classes).astype(np.uint8).tobytes()
-            yield _rows([(block, None, None, None,
-                          [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes(), first)])
+            first = first_class(words, s.classes).astype(np.uint8)
+            yield _rows([(block, None, None, None, None,
+                          [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes(), first.tobytes())])
             for at in range(0, len(words), 50_000):
                 some = words[at:at + 50_000]
                 size = len(some)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, block, np.int64)), pa.array(some, pa.binary()),
                      pa.array(np.arange(at, at + size, dtype=np.int32)), pa.array(counts[at:at + size]),
-                     *[pa.nulls(size, f.type) for f in list(_ARROW)[4:]]], schema=_ARROW)
+                     pa.array(first[at:at + size].astype(np.int32)),
+                     *[pa.nulls(size, f.type) for f in list(_ARROW)[5:]]], schema=_ARROW)
             known, ids, texts = {END: 0}, [], []
 
         size = 0
@@ -123,10 +129,10 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
                   batches, _SCHEMA)
 
 
-_SCHEMA = ("block bigint, word binary, local int, n bigint, doc_ids array<bigint>, held_out array<boolean>, "
+_SCHEMA = ("block bigint, word binary, local int, n bigint, class int, doc_ids array<bigint>, held_out array<boolean>, "
            "lengths array<bigint>, ids binary, first binary")
 _ARROW = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64()),
-                    ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                    ("class", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
                     ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("first", pa.binary())])
 
 
@@ -178,23 +184,26 @@ class Corpus:
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = self._bucketed(_blocks(docs, settings), "lm-blocks")
         self.texts = rows.filter("word is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
-        # The lists move once by word. A word is in a block's list once, so none is hot.
+        # The lists move once by word. A word is in a block's list once; its first place there is its number.
         of_word = Window.partitionBy("word")
-        lists = rows.filter("word is not null").select(
-            "block", "local", "word", F.sum("n").over(of_word).alias("n"),
-            (F.min("block").over(of_word) == F.col("block")).alias("lead"))
+        place = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("bigint"))
+        lists = rows.filter("word is not null").select("block", "local", "word", "class", "n", place.alias("place")).select(
+            "block", "local", "word", "class", F.sum("n").over(of_word).alias("n"), F.min("place").over(of_word).alias("id"),
+            "place")
         strong = (F.col("n") > 0) & (F.length("word") > 0)
-        self.places = staged(lists.select("block", "local", "n", "lead", strong.alias("strong"), F.when(
-            F.col("lead") | strong, F.col("word")).alias("word")), "lm-places")
+        self.places = staged(lists.select("block", "local", "n", "class", "id", strong.alias("strong"), F.when(
+            F.col("id") == F.col("place"), F.col("word")).alias("word")), "lm-places")
+        del lists
         # One row of each word of the corpus.
-        self.counts = self.places.filter("lead").select("word", "n", "strong")
+        self.counts = self.places.filter("word is not null").select("id", "n", "class", "strong")
         sizes = self.counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
         self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
         # A block's words have the numbers 0, 1, 2, .., so sorted lists need no numbers.
-        entry = F.struct("local", "n", F.when(F.col("strong"), F.col("word")).alias("word"))
+        entry = F.struct("local", "n", F.when(F.col("strong"), F.col("id")).alias("id"))
         lists = self.places.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        self.lists = self._bucketed(lists.select("block", F.col("e.n").alias("n"), F.col("e.word").alias("word")),
+        self.lists = self._bucketed(lists.select("block", F.col("e.n").alias("n"), F.col("e.id").alias("id")),
                                     "lm-lists")
+        del lists
         self.words = self._first(self.counts.filter("strong"))
         self._moved = (self.words, None)
         self._matrix: tuple[DataFrame | None, np.ndarray | None] = (None, None)
@@ -213,21 +222,17 @@ class Corpus:
         return self.spark.table(name)
 
     def _first(self, counts: DataFrame) -> DataFrame:
-        k = self.s.classes
-
-        def classed(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in some:
-                got = pa.array(first_class(b.column(0).to_pylist(), k).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns, got, pa.array(np.zeros(b.num_rows, bool))],
-                                                 ["word", "n", "class", "changed"])
+        return counts.select("id", "n", "class", F.lit(False).alias("changed"))
 
-        return mapped(counts.select("word", "n"), classed, WORDS)
+    def named(self, words: DataFrame) -> DataFrame:
+        """``words`` with each word's text as ``word``."""
+        return words.join(self.places.filter("word is not null").select("id", "word"), "id")
 
     def _joined(self, words: DataFrame, *more: str) -> DataFrame:
         """Texts of each block, with the numbers and classes of its words that left their first class, and ``more``."""
         if self._moved[0] is not words:
-            moved = (self.places.filter("strong").select("block", "local", "word")
-                     .join(words.filter("changed").select("word", "class"), "word"))
+            moved = (self.places.filter("strong").select("block", "local", "id")
+                     .join(words.filter("changed").select("id", "class"), "id"))
             one = F.shiftleft(F.col("local").cast("bigint"), 8) + F.col("class")
             self._moved = (words, self._bucketed(moved.groupBy("block").agg(F.collect_list(one).alias("moved")),
                                                  "lm-moved"))
@@ -285,7 +290,7 @@ class Corpus:
         return words, steps
 
     def contexts(self, words: DataFrame) -> DataFrame:
-        """Rows ``word, n, class, what, times`` per block, for words seen in training.
+        """Rows ``id, n, class, first, what, times`` per block, for words seen in training.
 
         ``what`` has a byte per class before the word, or after it (from ``classes``
         up), and ``times`` two bytes with its count; larger counts are told in parts.
@@ -295,8 +300,10 @@ class Corpus:
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
                 seq, lengths, out, classes = _block(row)
+                first = np.frombuffer(row.column(3)[0].as_py(), np.uint8)
                 n, name = np.asarray(row.column(5).flatten()), row.column(6).flatten()
                 strong = name.is_valid().to_numpy(zero_copy_only=False)
+                name = np.asarray(name.fill_null(0))
                 seq = seq[np.repeat(~out, lengths)]
                 at = np.where(strong, np.arange(len(strong)), -1)
                 here = at[seq]
@@ -319,12 +326,12 @@ class Corpus:
                     which, offsets = who[starts], np.append(starts, stop) - starts[0]
                     z = slice(starts[0], stop)
                     yield pa.RecordBatch.from_arrays(
-                        [name.take(pa.array(which)), pa.array(n[which]), pa.array(classes[which].astype(np.int32)),
-                         _binaries(what[z], offsets), _binaries(times[z], offsets)],
-                        ["word", "n", "class", "what", "times"])
+                        [pa.array(name[which]), pa.array(n[which]), pa.array(classes[which].astype(np.int32)),
+                         pa.array(first[which].astype(np.int32)), _binaries(what[z], offsets), _binaries(times[z], offsets)],
+                        ["id", "n", "class", "first", "what", "times"])
 
-        return mapped(self._joined(words, "n", "word"), count,
-                      "word binary, n bigint, class int, what binary, times binary")
+        return mapped(self._joined(words, "n", "id"), count,
+                      "id bigint, n bigint, class int, first int, what binary, times binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
         """``words`` with each word in its best class.
@@ -334,30 +341,28 @@ class Corpus:
         """
         k, matrix = self.s.classes, self.pairs(words)
 
-        def moved(word: pa.Array, n: np.ndarray, own: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def moved(word: np.ndarray, n: np.ndarray, own: np.ndarray, first: np.ndarray,
+                  counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(own), 2_000):
                 z = slice(at, at + 2_000)
                 new = best_classes(counts[z, :k], counts[z, k:], own[z], matrix)
-                some = word.slice(at, 2_000)
                 yield pa.RecordBatch.from_arrays(
-                    [some, pa.array(n[z]), pa.array(new.astype(np.int32)),
-                     pa.array(new != first_class(some.to_pylist(), k))], ["word", "n", "class", "changed"])
+                    [pa.array(word[z]), pa.array(n[z]), pa.array(new.astype(np.int32)), pa.array(new != first[z])],
+                    ["id", "n", "class", "changed"])
 
         def move(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
             for b in (b for b in some if b.num_rows):
-                word = b.column(0)
-                other = np.asarray(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(
-                    zero_copy_only=False), bool)
+                word = np.asarray(b.column(0))
+                other = word[1:] != word[:-1]
                 starts = np.append(0, np.flatnonzero(other) + 1)
                 group = np.cumsum(np.append(0, other.astype(np.int64)))
-                what, times = _flat(b.column(3), "<u1"), _flat(b.column(4), "<u2")
-                rows = np.repeat(group, np.asarray(pc.binary_length(b.column(3))))
+                what, times = _flat(b.column(4), "<u1"), _flat(b.column(5), "<u2")
+                rows = np.repeat(group, np.asarray(pc.binary_length(b.column(4))))
                 counts = np.bincount(rows * (2 * k) + what, times, len(starts) * 2 * k).reshape(-1, 2 * k)
-                part = (word.take(pa.array(starts)), np.asarray(b.column(1))[starts],
-                        np.asarray(b.column(2)).astype(np.int64)[starts], counts)
+                part = (*(np.asarray(b.column(c)).astype(np.int64)[starts] for c in range(4)), counts)
                 if held is not None and held[0][0] == part[0][0]:
-                    counts[0] += held[3][0]
+                    counts[0] += held[4][0]
                 elif held is not None:
                     yield from moved(*held)
                 yield from moved(*(x[:-1] for x in part))
@@ -365,7 +370,7 @@ class Corpus:
             if held is not None:
                 yield from moved(*held)
 
-        out = staged(mapped(self.contexts(words).repartition("word").sortWithinPartitions("word"), move, WORDS), "lm-words")
+        out = staged(mapped(self.contexts(words).repartition("id").sortWithinPartitions("id"), move, WORDS), "lm-words")
         self._free()
         return out
 
