@@ -200,7 +200,7 @@ class Corpus:
         self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
         # A block's words have the numbers 0, 1, 2, .., so sorted lists need no numbers.
         entry = F.struct("local", "n", F.when(F.col("strong"), F.col("id")).alias("id"))
-        lists = self.places.groupBy("block").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        lists = self.places.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("e"))
         self.lists = self._bucketed(lists.select("block", F.col("e.n").alias("n"), F.col("e.id").alias("id")),
                                     "lm-lists")
         del lists
