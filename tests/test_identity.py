@@ -184,3 +184,14 @@ def test_origins(spark):
         "origin string")
     got = {r.origin for r in enrich.origin_allowlist(df, ["https://*.site.io"]).collect()}
     assert got == {"https://a.site.io", "https://x.canvas.webflow.com"}
+
+
+def test_colliding_ids_are_counted_after_one_shuffle(spark):
+    from visitlens.operators import campaigns
+
+    rows = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", 3), ("y", 3), ("z", 4), (None, 5)],
+                                 "short_id string, n long")
+    out = campaigns.tracking_id_collisions(rows, F.col("n"), 3)
+    assert [tuple(r) for r in out.collect()] == [("x", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1

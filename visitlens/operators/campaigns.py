@@ -23,10 +23,19 @@ def create_identities(leads: DataFrame, campaign_id: str, campaign_name: str, cr
         F.timestamp_micros(F.unix_micros(created) + days * 86_400_000_000).alias("expires_at"))
 
 
-def tracking_id_collisions(identities: DataFrame) -> DataFrame:
-    """Ids shared by different addresses; eight hex digits make some likely."""
-    return (identities.groupBy("short_id")
-            .agg(F.count_distinct(emails.normal_email(F.col("email"))).alias("emails"))
+def tracking_id_collisions(identities: DataFrame, person: Column | None = None,
+                           partitions: int | None = None) -> DataFrame:
+    """Ids shared by different addresses; eight hex digits make some likely.
+
+    ``person`` tells addresses apart if not the address itself does, such as a number per address.
+    With ``partitions`` a row is shuffled once, by its id alone: for addresses that come once per campaign,
+    as then no id has many rows.
+    """
+    person = emails.normal_email(F.col("email")) if person is None else person
+    rows = identities.select("short_id", person.alias("_person"))
+    if partitions:
+        rows = rows.repartition(partitions, "short_id")
+    return (rows.groupBy("short_id").agg(F.count_distinct("_person").alias("emails"))
             .filter("emails > 1"))
 
 

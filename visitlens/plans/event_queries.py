@@ -10,6 +10,7 @@ from visitlens.functions.scalars import filled, payload
 from visitlens.operators import audiences, campaigns, enrich
 from visitlens.plans.catalog import events, query, raw_events, sql_hash32
 from visitlens.plans.profile_queries import PROFILES_SQL, profile_table
+from visitlens.session import enable_checkpoints
 from visitlens.sources import samples
 
 AS_OF = samples.AS_OF
@@ -339,6 +340,7 @@ def deterministic_tracking_id(spark, folder):
 
 # All ids share one space of eight digits, so every lead is given its id in each of a season's campaigns.
 CAMPAIGNS_OF_SEASON = 200
+IDS_PER_TASK = 2_000_000
 
 
 @query("tracking_id_collisions", f"""
@@ -348,10 +350,15 @@ CAMPAIGNS_OF_SEASON = 200
             unnest(range({CAMPAIGNS_OF_SEASON})) as n from leads))
     group by short_id having count(distinct email) > 1""")
 def tracking_id_collisions(spark, folder):
+    # Addresses once and numbered, then dealt out, as each makes many ids and one small file holds many addresses.
+    enable_checkpoints(spark)
+    known = (campaign_leads(spark, folder).select(emails.normal_email(F.col("email")).alias("email"))
+             .filter("email is not null").distinct().withColumn("person", F.monotonically_increasing_id()).checkpoint())
+    parts = max(spark.sparkContext.defaultParallelism, -(-known.count() * CAMPAIGNS_OF_SEASON // IDS_PER_TASK))
     season = F.explode(F.sequence(F.lit(0), F.lit(CAMPAIGNS_OF_SEASON - 1)))
-    ids = campaign_leads(spark, folder).select("email", season.alias("n")).select(
-        "email", emails.tracking_id_for(F.col("email"), F.concat(F.lit("c"), F.col("n").cast("string"))).alias("short_id"))
-    return campaigns.tracking_id_collisions(ids)
+    ids = known.repartition(parts).select("email", "person", season.alias("n")).select(
+        "person", emails.tracking_id_for(F.col("email"), F.concat(F.lit("c"), F.col("n").cast("string"))).alias("short_id"))
+    return campaigns.tracking_id_collisions(ids, F.col("person"), parts)
 
 
 @query("tracking_urls", f"""
