@@ -201,3 +201,12 @@ def test_a_page_is_pushed_to_the_scan(spark, tmp_path):
     page = pages.page(pages.after(cursor, pages.page(cursor, 10)), 10)
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" in plan and "LessThanOrEqual(updated_at" in plan
+
+
+def test_a_batch_of_links_is_read_once(spark, tmp_path):
+    # Rows that come out anew each time they are read.
+    links = spark.range(50).select(F.expr("uuid()").alias("record"), F.lit("d").alias("kind"),
+                                   F.when(F.col("id") > 0, F.concat(F.lit("k"), "id")).alias("value"))
+    table = GroupTable(spark, str(tmp_path / "g"), buckets=2)
+    table.add(links, 0)
+    assert table.read().count() == 50

@@ -46,10 +46,12 @@ class GroupTable:
         """
         if self.names.holds(number):
             return False
-        alone = links.filter(F.col("record").isNotNull()).select(
-            F.concat(F.lit("0"), F.col("record").cast("string")).alias("node")).distinct()
-        edges = self._staged(link_edges(links), "new-links")
-        every = alone.union(edges.select("u")).union(edges.select("v")).distinct()
+        # The batch is read once; from here on there is one row per link.
+        links = self._staged(links.filter(F.col("record").isNotNull()).select("record", "kind", "value").distinct(),
+                             "new-links")
+        alone = links.select(F.concat(F.lit("0"), F.col("record").cast("string")).alias("node"))
+        edges = self._staged(link_edges(links), "new-edges")
+        every = self._staged(alone.union(edges.select("u")).union(edges.select("v")).distinct(), "new-nodes")
         names = self.names.read(NAMES).select("name", "now")
         known = self._staged(
             lookup(self.nodes.read_for(every, NODES).select("node", "name"), names, "name", "node", hot_rows=self.hot_rows)
