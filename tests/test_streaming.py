@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tests.test_behavior import greedy
+from visitlens.plans import stream_queries
+from visitlens.session import new_folder
 from visitlens.streaming import jobs
 
 
@@ -152,3 +154,15 @@ def test_lateness_adds_up_to_all_rows(spark, tmp_path):
     assert any(w["dropped"] for w in want.values())
     for share, least, most in ((0.2, 0, 0), (0.4, 5, 5), (0.99, 3000, 3000)):
         assert all(least <= r.delay_seconds <= most for r in jobs.watermark_delay(log, share).collect())
+
+
+def test_large_periods_are_several_files(spark):
+    day = F.timestamp_seconds(F.when(F.col("id") < 240_000, 1000).otherwise(stream_queries.STEP_SECONDS + 1000))
+    df = spark.range(300_000).select("id", day.alias("ts"))
+    sizes = []
+    stream = stream_queries.as_stream(spark, df)
+    path = new_folder(spark, "sizes")
+    (stream.writeStream.foreachBatch(lambda b, n: sizes.append(tuple(
+        b.select(F.input_file_name().alias("f")).agg(F.count("*"), F.count_distinct("f")).first())))
+     .option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination())
+    assert sizes == [(240_000, 3), (60_000, 3)]

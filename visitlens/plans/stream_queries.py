@@ -17,7 +17,10 @@ from visitlens.session import new_folder
 from visitlens.streaming import jobs
 
 STEP_SECONDS = 6 * 24 * 3600
-ROWS_PER_FILE = 2_000_000
+# A file is read and written by one task.
+ROWS_PER_FILE = 100_000
+# Rows dealt round by round leave no file empty if there are many for each.
+LEAST_PER_FILE = 1_000
 
 
 def as_stream(spark: SparkSession, df: DataFrame, order: str = "ts",
@@ -34,7 +37,7 @@ def as_stream(spark: SparkSession, df: DataFrame, order: str = "ts",
     stored = spark.read.parquet(table)
     sizes = stored.groupBy("_period").count().agg(
         F.min("_period"), F.max("_period"), F.min("count"), F.max("count")).first()
-    files = max(1, min(sizes[2], sizes[3] // ROWS_PER_FILE))
+    files = max(1, min(sizes[2] // LEAST_PER_FILE, -(-sizes[3] // ROWS_PER_FILE)))
     for p in range(sizes[0], sizes[1] + 1):
         (stored.filter(F.col("_period") == p).drop("_period").repartition(files)
          .write.mode("append").parquet(path))
