@@ -166,3 +166,16 @@ def test_large_periods_are_several_files(spark):
         b.select(F.input_file_name().alias("f")).agg(F.count("*"), F.count_distinct("f")).first())))
      .option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination())
     assert sizes == [(240_000, 3), (60_000, 3)]
+
+
+def test_first_signal_of_a_visitor(spark, tmp_path):
+    schema = "visitor_id string, ms long, event_id long, data string"
+    frames = [spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis("ms")) for rows in (
+        [("a", 5, 2, '{"tracking_id":"late"}'), ("a", 5, 1, '{"tracking_id":"first"}'), ("a", 4, 9, "{}"),
+         ("b", None, 3, '{"tracking_id":"no time"}'), ("b", 7, None, '{"email":" X@Y.z "}')],
+        [("a", 1, 1, '{"tracking_id":"again"}'), ("c", 2, 1, '{"tracking_id":"c"}')])]
+    out = str(tmp_path / "identity")
+    jobs.stream_identity(feed(spark, tmp_path, frames), out).awaitTermination()
+    got = {(r.visitor_id, r.at, r.event_id, r.tracking_id) for r in spark.read.parquet(f"{out}/out").withColumn(
+        "at", F.unix_millis("ts")).collect()}
+    assert got == {("a", 5, 1, "first"), ("b", 7, None, None), ("c", 2, 1, "c")}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -189,8 +189,9 @@ def stream_rage_clicks(events: DataFrame, folder: str, key: str = "session_id",
     return _log(clicks, folder, part, trigger)
 
 
+# Times as microseconds, which Python workers pass on as they are.
 SIGNAL = T.StructType([
-    T.StructField("visitor_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("visitor_id", T.StringType()), T.StructField("us", T.LongType()),
     T.StructField("event_id", T.LongType()), T.StructField("tracking_id", T.StringType()),
     T.StructField("email_sha256", T.StringType())])
 
@@ -204,15 +205,11 @@ class FirstSignal(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "event_id long", self.ttl_millis)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.seen.exists():
             return
-        first = None
-        for some in rows:
-            least = some.sort_values(["ts", "event_id"], kind="stable").head(1)
-            if first is None or tuple(least[["ts", "event_id"]].iloc[0]) < tuple(first[["ts", "event_id"]].iloc[0]):
-                first = least
-        self.seen.update((int(first["event_id"].iloc[0]),))
+        first = min(rows, key=lambda r: (r.us is None, r.us or 0, r.event_id is None, r.event_id or 0))
+        self.seen.update((first.event_id,))
         yield first
 
     def close(self) -> None:
@@ -222,7 +219,7 @@ class FirstSignal(StatefulProcessor):
 def _first_of_each(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First signal per visitor of each batch of rows, so that a hot visitor is a row per some thousand."""
     for rows in some:
-        yield rows.sort_values(["ts", "event_id"], kind="stable").drop_duplicates("visitor_id")
+        yield rows.sort_values(["us", "event_id"], kind="stable").drop_duplicates("visitor_id")
 
 
 def stream_identity(events: DataFrame, folder: str, trigger: dict | None = None,
@@ -238,13 +235,16 @@ def stream_identity(events: DataFrame, folder: str, trigger: dict | None = None,
     tracking = filled(payload(data, "tracking_id"))
     address = F.when(payload(data, "email").contains("@"), payload(data, "email"))
     signals = events.select(
-        "visitor_id", "ts", F.col("event_id").cast("long").alias("event_id"), tracking.alias("tracking_id"),
+        "visitor_id", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"),
+        tracking.alias("tracking_id"),
         F.sha2(F.lower(F.trim(address)), 256).alias("email_sha256")).filter(
         F.col("visitor_id").isNotNull()
         & (F.col("tracking_id").isNotNull() | F.col("email_sha256").isNotNull()))
     ttl = ttl_days * 86_400_000 if ttl_days else None
+    # Rows, not frames: most visitors have one, and a frame for each costs more than all the rest.
     changes = (signals.mapInPandas(_first_of_each, SIGNAL).groupBy("visitor_id")
-               .transformWithStateInPandas(FirstSignal(ttl), SIGNAL, "Append", "ProcessingTime" if ttl else "None"))
+               .transformWithState(FirstSignal(ttl), SIGNAL, "Append", "ProcessingTime" if ttl else "None")
+               .select("visitor_id", F.timestamp_micros("us").alias("ts"), "event_id", "tracking_id", "email_sha256"))
     # A running query keeps the settings it was started with.
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
