@@ -126,3 +126,8 @@ def test_envelopes_from_files(spark, tmp_path):
     (tmp_path / "in.json").write_text("\n".join(map(json.dumps, lines)))
     rows = readers.read_envelopes(spark, str(tmp_path)).collect()
     assert {(len(r.batch_id), r.request and r.request.city) for r in rows} == {(1, "Rome"), (64, None)}
+
+
+def test_bodies_are_parsed_once(spark):
+    good, _ = readers.parsed_envelopes(received(spark, envelope("a", event())))
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
