@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -91,6 +92,41 @@ def test_n_best_of_a_text_against_all_sums(lattice):
     assert scores == sums[:9] and changes[0] == [] and len(changes) == 9
 
 
+ENDED = ["cat.\nDog, cat", " (naïve)\x01\x01 x", "日本語。 12.5%\n\n", "", "  ", "don't -- stop...", "▁a▁.b ", "\x00é\x01"]
+
+
+def test_parts_are_the_text_and_no_piece_goes_on_behind_one(lattice):
+    parts, which, bounds = pieces.parts_of(pa.array(ENDED, pa.string()).slice(1), lattice.borders)
+    for text, a, b in zip(ENDED[1:], bounds, bounds[1:], strict=False):
+        row = [parts[i] for i in which[a:b]]
+        assert "".join(row) == ("▁" + text.replace(" ", "▁") if text else "")
+        assert not any(x[-1] + y[0] in piece for x, y in itertools.pairwise(row) for piece in lattice.scores)
+    assert len(set(parts)) == len(parts)
+
+
+def test_best_of_parts_is_the_best_of_the_whole(lattice):
+    for text, (ids, scores, _) in zip(ENDED, lattice.encode(ENDED, 4), strict=True):
+        if text:
+            want = lattice.n_best("▁" + text.replace(" ", "▁"), 4)
+            assert scores == [s for s, _ in want]
+            assert ids == lattice.solve(["▁" + text.replace(" ", "▁")])[0][0]
+    back = lattice.decode_all([ids for ids, _, _ in lattice.encode(ENDED)])
+    assert [x.decode() for x in back] == [t.replace("▁", " ") for t in ENDED]
+
+
+def test_counts_of_parts(spark, model):
+    texts = [t for t in ENDED if t] * 3
+    want = Counter(i for t in texts for i in model.encode(t.replace("▁", " ")))
+    docs = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    assert {i: n for i, n in enumerate(pieces.train(docs, most_words=4).tolist()) if n} == want
+
+
+def test_a_word_and_its_ends_are_solved_once(counts):
+    lattice = pieces.Lattice(PATH, counts)
+    lattice.encode([f"cat{e} dog{e}" for e in ("", ".", ",", "\n", ".\n", ")", "?", "\n\n")], 4)
+    assert {w for w in lattice.known if "c" in w or "d" in w} == {"▁cat", "▁dog"}
+
+
 def test_ties_do_not_widen_the_search(lattice):
     found = lattice.n_best("▁" + "ab" * 400, 3)
     assert len(found) == 3 and found[0][0] >= found[1][0] >= found[2][0]

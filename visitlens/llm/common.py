@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,3 +69,35 @@ def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
 def mapped(df: DataFrame, batches: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow``; callers take a batch apart by bytes or rows, as one row may hold a very long text."""
     return df.mapInArrow(batches, schema)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts take up to ``most`` bytes, or of one row that takes more."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts without nulls in a row, and where each begins and the last one ends."""
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, places, body = values.buffers()
+    offsets = np.frombuffer(places, np.int64)[values.offset:values.offset + len(values) + 1]
+    if offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+    return np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def told_apart(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different ones of the parts of ``data`` that begin at ``starts``, and which one each part is."""
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    got = parts.dictionary_encode()
+    return got.dictionary, got.indices.to_numpy()

@@ -11,10 +11,12 @@ N-best search walks backward from the end: a partial path's own score plus the
 forward score of the node it has reached is exactly the best total it can still get,
 so an A-star search with that heuristic yields whole paths best first.
 
-A node that no piece spans is on every path. No piece goes on behind a space, so
-the lattice of a text falls into those of its words. The best and second best
-score of each word are found for many words at once and remembered; the N best
-of a text are the N best sums over its words, and only the N - 1 words that lose
+A node that no piece spans is on every path, so the lattice of a text falls into those
+of its parts, cut wherever no piece holds the two letters that meet there: in front of
+a space, and mostly between a word and its punctuation (:func:`borders`). A batch of texts is
+cut at once and only its different parts are looked up. The best and second best
+score of each part are found for many parts at once and remembered; the N best
+of a text are the N best sums over its parts, and only the N - 1 parts that lose
 least by their second choice can take part in them. Those are searched by A-star.
 This is exact.
 """
@@ -24,18 +26,19 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import mapped, whole
+from visitlens.llm.common import by_bytes, flat, mapped, told_apart, whole
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -45,6 +48,8 @@ UNKNOWN_PENALTY = 10.0
 #: Added to each piece's count, so that a piece never seen has a small probability.
 ADD = 0.5
 GRID = 2.0 ** 24
+#: A letter of no piece but its byte, between parts that are segmented in one call, and how many these are.
+BETWEEN, IN_ONE_CALL = "\x01", 2000
 #: Words of one length that are solved together at least, and up to which length.
 ALIKE, LONGEST_ALIKE = 100, 40
 #: A text with a space in front falls into these: no piece goes from another letter on to a space.
@@ -74,6 +79,8 @@ class Lattice:
         self.longest = max(map(len, self.scores))
         self.unknown = least - UNKNOWN_PENALTY
         self.decoded = bytes_of_ids(model)
+        self.decoded_table = pa.array(self.decoded, pa.large_binary())
+        self.borders = borders(model)
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
         self.most_words = most_words
         self.known: dict[str, tuple[bytes, float, float]] = {}
@@ -318,27 +325,36 @@ class Lattice:
             at = upto
         return self.known
 
-    def encode(self, texts: list[str], n: int = 1) -> list[tuple[bytes, list[float], list[list[tuple[str, int]]]]]:
-        """Per text the ids of the best segmentation, the n best scores, and per score the words
+    def encode(self, texts: list[str] | pa.Array, n: int = 1
+               ) -> list[tuple[bytes, list[float], list[list[tuple[str, int]]]]]:
+        """Per text the ids of the best segmentation, the n best scores, and per score the parts
         that differ from the best, with the rank of their segmentation.
 
         A space becomes the space mark and one more is put in front; no text, no pieces.
         """
-        cut = [words_of(t) for t in texts]
-        known = self.learn(cut)
-        out = []
-        for words in cut:
-            bodies, scores, losses = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
-            body, best = b"".join(bodies), float(sum(scores))
-            if n == 1 or not words:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        parts, which, bounds = parts_of(texts, self.borders)
+        if not len(parts):
+            return [(b"", [0.0], [[]])] * len(texts)
+        known = self.learn([parts])
+        bodies, scores, losses = zip(*map(known.__getitem__, parts), strict=True)
+        ids, places = flat(pa.array(bodies, pa.large_binary()).take(pa.array(which)))
+        cuts = places[bounds].tolist()
+        # Sums are exact, so the difference of two is.
+        sums = np.concatenate([[0.0], np.cumsum(np.array(scores)[which])])[bounds]
+        lost, bounds, out = np.array(losses)[which], bounds.tolist(), []
+        for p, q, a, b, best in zip(cuts, cuts[1:], bounds, bounds[1:], np.diff(sums).tolist(), strict=False):
+            body = ids[p:q].tobytes()
+            if n == 1 or a == b:
                 out.append((body, [best], [[]]))
                 continue
-            loss = np.array(losses)
-            # Only the n - 1 words that lose least by their second choice can be in the n best.
+            loss = lost[a:b]
+            # Only the n - 1 parts that lose least by their second choice can be in the n best.
             least = np.argpartition(loss, n - 2)[:n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-            least = [i for i in sorted(least.tolist(), key=lambda i: (losses[i], i)) if losses[i] < np.inf]
-            losses, choices = _best_sums([(words[i], losses[i]) for i in least], n, lambda w: self._top(w, n))
-            out.append((body, [best - x for x in losses], choices))
+            least = sorted((x, i) for x, i in zip(loss[least].tolist(), least.tolist(), strict=True) if x < np.inf)
+            got, choices = _best_sums([(parts[which[a + i]], x) for x, i in least], n, lambda w: self._top(w, n))
+            out.append((body, [best - x for x in got], choices))
         return out
 
     def _top(self, word: str, n: int) -> list[float]:
@@ -352,12 +368,49 @@ class Lattice:
         """The text of ids; inverse of ``encode`` for every text without the space mark."""
         return joined(self.decoded, ids)
 
+    def decode_all(self, bodies: list[bytes]) -> list[bytes]:
+        """As :meth:`decode`, for many texts at once, in UTF-8."""
+        ids = np.frombuffer(b"".join(bodies), "<u4")
+        data, places = flat(self.decoded_table.take(pa.array(ids)))
+        cuts = places[np.cumsum([0, *map(len, bodies)]) // 4].tolist()
+        out = [data[p:q].tobytes() for p, q in zip(cuts, cuts[1:], strict=False)]
+        return [x[1:] if x[:1] == b" " else x for x in out]
+
 
 def words_of(text: str) -> list[str]:
     """Words of a text, each with the space marks in front of it."""
     return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def borders(model: sentencepiece.SentencePieceProcessor) -> np.ndarray:
+    """For each two bytes, as a number of 16 bits, whether a letter ends and another begins
+    between them and no piece goes on from one to the other. Spaces stand for their mark."""
+    out = np.ones((256, 256), bool)
+    out[:, 0x80:0xC0] = False
+    for i in range(model.vocab_size()):
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
+            letters = np.frombuffer(model.id_to_piece(i).replace(SPACE, " ").encode(), np.uint8)
+            out[letters[:-1], letters[1:]] = False
+    return out.ravel()
+
+
+def parts_of(texts: pa.Array, cut: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different parts of some texts, which of them stand in a row in all texts together, and
+    the number of parts before each text and behind the last. ``cut``: see :func:`borders`."""
+    texts = pc.replace_substring(texts.cast(pa.large_string()), SPACE, " ")
+    marked = pc.binary_join_element_wise(*(x if x is texts else pa.scalar(x, texts.type) for x in ("", texts, " ")))
+    data, offsets = flat(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, marked))
+    if not len(data):
+        return [], np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    first = np.ones(len(data), bool)
+    first[1:] = cut[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(first)
+    parts, which = told_apart(data, starts)
+    parts = pc.replace_substring(parts.cast(pa.large_string()), " ", SPACE)
+    return parts.to_numpy(zero_copy_only=False).tolist(), which, np.searchsorted(starts, offsets)
+
+
 def bytes_of_ids(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     pieces = map(model.id_to_piece, range(model.vocab_size()))
     return [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode()
@@ -405,7 +458,7 @@ def _best_sums(parts: list[tuple[str, float]], n: int, top: Callable[[str], list
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, most_words: int = 200_000) -> np.ndarray:
     """How often each id of the vocabulary is in the library's own segmentation of all texts.
 
-    No piece goes on behind a space, so words are counted first and each different one of
+    No piece crosses the borders of parts, so parts are counted first and each different one of
     a stretch is segmented once. A task sends a row per id, and the result has the
     vocabulary's length. Null and empty texts count nothing; an empty table gives zeros.
     """
@@ -413,25 +466,45 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, most_words: int = 200_0
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
-        total, words, mark = np.zeros(size, np.int64), Counter(), model.encode("x")
+        total, cut, between = np.zeros(size, np.int64), borders(model), model.encode(BETWEEN)[-1]
+        found = [pa.table({"part": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})]
+        held = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(found).group_by("part").aggregate([("n", "sum")]).rename_columns(["part", "n"])
 
         def add() -> None:
-            # The library puts a space in front by itself, but not where nothing follows.
-            filled = [w for w in words if w.strip(SPACE)]
-            ids = model.encode([w[1:] for w in filled], num_threads=1)
-            spaces = [w for w in words if not w.strip(SPACE)]
-            ids += [x[len(mark):] for x in model.encode(["x" + w for w in spaces], num_threads=1)]
-            words_ = [*filled, *spaces]
-            n = np.fromiter(map(words.__getitem__, words_), np.int64, len(words_))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64)
-            total[:] += np.bincount(flat, np.repeat(n, list(map(len, ids))), size).astype(np.int64)
-            words.clear()
+            counted = merged()
+            parts, many = counted["part"].to_pylist(), counted["n"].to_numpy()
+            for at in range(0, len(parts), IN_ONE_CALL):
+                some_parts, n = parts[at:at + IN_ONE_CALL], many[at:at + IN_ONE_CALL]
+                if BETWEEN in some_parts:
+                    i = some_parts.index(BETWEEN)
+                    total[between] += n[i]
+                    some_parts, n = some_parts[:i] + some_parts[i + 1:], np.delete(n, i)
+                if not some_parts:
+                    continue
+                # The library puts a space in front by itself.
+                ids = np.array(model.encode(BETWEEN + BETWEEN.join(some_parts) + BETWEEN, num_threads=1))[1:]
+                own = ids != between
+                part = np.cumsum(~own)[own] - 1
+                if len(ids) - own.sum() != len(some_parts) + 1:
+                    raise ValueError(f"{vocabulary}: a piece goes on behind a border")
+                total[:] += np.bincount(ids[own], n[part], size).astype(np.int64)
+            del found[1:]
 
         for b in some:
-            for text in b.column(0):
-                words.update(words_of(text.as_py()))
-                if len(words) > most_words:
-                    add()
+            for batch in by_bytes(b, 0):
+                parts, which, _ = parts_of(batch.column(0), cut)
+                found.append(pa.table({"part": pa.array(parts, pa.large_string()),
+                                       "n": np.bincount(which, minlength=len(parts))}))
+                held += len(parts)
+                if held > most_words:
+                    found[1:] = [merged()]
+                    held = found[1].num_rows
+                    if 2 * held > most_words:
+                        add()
+                        held = 0
         add()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
@@ -468,9 +541,8 @@ def encode(docs: DataFrame, counts: np.ndarray, n: int = 4, vocabulary: str = VO
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(public_tokenizers.path(vocabulary), counts)
         for b in some:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = of.encode(part.column(1).to_pylist(), n)
+            for part in by_bytes(b):
+                got = of.encode(part.column(1), n)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([g[0] for g in got], pa.binary()),
                     pa.array([g[1] for g in got], pa.list_(pa.float64())),
@@ -507,10 +579,13 @@ def digests(docs: DataFrame, counts: np.ndarray, n: int = 4, vocabulary: str = V
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(public_tokenizers.path(vocabulary), counts)
-        for b in (whole_batch.slice(at, 1024) for whole_batch in some for at in range(0, whole_batch.num_rows, 1024)):
-            texts = b.column(1).to_pylist()
-            rows = [(len(ids) // 4, zlib.crc32(ids), scores[0], scores, of.decode(ids) == t.replace(SPACE, " "))
-                    for t, (ids, scores, _) in zip(texts, of.encode(texts, n), strict=True)]
+        for b in (part for whole_batch in some for part in by_bytes(whole_batch)):
+            got = of.encode(b.column(1), n)
+            texts = pc.replace_substring(b.column(1), SPACE, " ").cast(pa.binary()).to_pylist()
+            back = of.decode_all([ids for ids, _, _ in got])
+            rows = [(len(ids) // 4, zlib.crc32(ids), scores[0], scores,
+                     own == t or own.decode("utf-8", "replace") == t.decode())
+                    for t, own, (ids, scores, _) in zip(texts, back, got, strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
