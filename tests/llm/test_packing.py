@@ -49,6 +49,32 @@ def test_words_alone_give_the_tokens_of_the_text():
         tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_parts_of_words_are_remembered_once():
+    words = ["plain", "naïve", "x2", "don't"]
+    ends = ["", ".", ",", "...", "?!", "'", ")", "$$$", "2", "42,", "'s", "'st."]
+    texts = [f"{a}{e} {b}{e}{a}\n" for a in words for b in words for e in ends]
+    texts += ["a<|endoftext|>b", "a|b <|startoftext|x", "=\u0338 a=\u0338, 1\u0301 e\u0301. é. É, Σας. _a_b_ a_1", "½. a½, ²3"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    encoder.encode([f"{a}{e}".encode() for a in ("plain", "words") for e in ends])
+    # The two words, nine marks and closings, two digits, 's and 'st.
+    assert len(encoder.known) <= 15
+
+
+def test_plain_words_by_the_merges_alone():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    words = [*packing.LATIN, *prose(5, 300).split(), "straße", "ÿ", packing.LATIN, "s", "'s"]
+    for w in words:
+        if packing.PLAIN.fullmatch(w.encode()):
+            assert encoder._plain_ids(w.encode()) == np.array(
+                tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not any(packing.PLAIN.fullmatch(w.encode()) for w in ("É", "×", "÷", "a.", "ā", "'s", ""))
+
+
 def test_fullest_against_brute_force():
     rng = random.Random(1)
     for _ in range(200):

@@ -9,38 +9,66 @@ within their length and dealt to the places of the plan. Texts never shuffle.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import mapped, staged, whole
+from visitlens.llm.common import by_bytes, flat, mapped, staged, told_apart, whole
 
 VOCABULARY = "word_bpe_49k.json"
 SEPARATOR = 0
 CAPACITY = 2048
 #: Rows that one task numbers; more rows mean more tasks, not longer ones.
 RANKED_ROWS = 20_000
+#: How the vocabulary cuts a text into units.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that the tokenizer's normalising leaves as they are and that are one unit each.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _borders() -> np.ndarray:
+    """For each two bytes, as a number of 16 bits, whether one of the ``UNITS`` ends between them
+    in any text: in front of a digit or a mark behind a letter or digit, and behind a digit.
+
+    A special token's name has a bar behind a letter.
+    """
+    out = np.zeros((256, 256), bool)
+    letters, digits = list(string.ascii_letters.encode()), list(string.digits.encode())
+    marks = list(string.punctuation.replace("|", "").encode())
+    out[np.ix_(letters + digits, digits + marks)] = True
+    out[np.ix_(digits, letters)] = True
+    return out.ravel()
+
+
+BORDERS = _borders()
 
 
 class WordEncoder:
-    """Token ids of a text, word by word, with a memory of words seen.
+    """Token ids of texts, part by part, with a memory of parts seen.
 
-    The tokenizer drops white space and lets no token cross it, so a text's ids
-    are those of its white-space separated words. The memory holds up to twice ``most_words``
-    words, those lately seen; no result depends on it.
+    The tokenizer drops white space and lets no token cross it nor a border between units, so a text's
+    ids are those of its parts. A batch of texts is cut at once and its different parts looked up.
+    The memory holds up to twice ``most_words`` parts, those lately seen, beside those of a batch;
+    no result depends on it. Vocabularies of other units are cut at white space alone.
     """
 
     def __init__(self, path: str, most_words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
@@ -48,13 +76,24 @@ class WordEncoder:
         self.most_words = most_words
         size = self.tokenizer.get_vocab_size()
         self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in LATIN}
+        self.model = self.tokenizer.model
+        self.usual = json.dumps(UNITS) in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        self.borders = BORDERS if self.usual else np.zeros_like(BORDERS)
+
+    def _plain_ids(self, word: bytes) -> bytes:
+        """Ids of a plain word by the merges alone, without normalising and cutting it again."""
+        text = word.decode()
+        text = text if text.isascii() else text.translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Words of letters only are one unit of the vocabulary, whose last
         token is marked as an end, so many of them are encoded as one text and cut at the marks."""
-        texts = [w.decode() for w in words]
-        letters = [i for i, t in enumerate(texts) if unicodedata.normalize("NFC", t).lower().isalpha()]
-        out = [b""] * len(words)
+        out = [self._plain_ids(w) if self.usual and PLAIN.fullmatch(w) else b"" for w in words]
+        texts = ["" if x else w.decode() for w, x in zip(words, out, strict=True)]
+        letters = [i for i, t in enumerate(texts) if t and unicodedata.normalize("NFC", t).lower().isalpha()]
         for at in range(0, len(letters), 2000):
             some = letters[at:at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])],
@@ -70,33 +109,42 @@ class WordEncoder:
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def _learn(self, missing: set[bytes]) -> None:
-        """A word's closing marks are tokens of their own, so the word without them is looked up too."""
-        ends = {w: w.rstrip(b".,;:!?") for w in missing}
-        plain = lambda w, core: core and core != w and core[-1:].isalnum()
-        parts = {p for w, core in ends.items() for p in ((core, w[len(core):]) if plain(w, core) else (w,))}
-        new = [p for p in parts if p not in self.known]
-        self.known.update(zip(new, self._ids(new), strict=True))
-        for w, core in ends.items():
-            if plain(w, core):
-                self.known[w] = self.known[core] + self.known[w[len(core):]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        # The special tokens' names are matched in lower case only.
-        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some different words."""
         if len(self.known) > self.most_words:
             self.known, self.old = {}, self.known
-        known, old, missing = self.known, self.old, set()
-        for w in set(chain.from_iterable(cut)):
+        known, old, missing = self.known, self.old, []
+        for w in words:
             if w not in known:
                 if w in old:
                     known[w] = old[w]
                 else:
-                    missing.add(w)
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+                    missing.append(w)
+        known.update(zip(missing, self._ids(missing), strict=True))
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_binary())
+        data, offsets = flat(texts)
+        # The special tokens' names are matched in lower case only.
+        lower = LOWER[data]
+        for i in np.flatnonzero(pc.match_substring(texts, b"<|").to_numpy(zero_copy_only=False)).tolist():
+            lower[offsets[i]:offsets[i + 1]] = data[offsets[i]:offsets[i + 1]]
+        inside = ~WHITE[lower]
+        first = np.ones(len(lower), bool)
+        first[1:] = self.borders[lower[:-1].astype(np.uint16) << 8 | lower[1:]] | ~inside[:-1]
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(first[inside])
+        if not len(starts):
+            return [b""] * len(texts)
+        before = np.concatenate([[0], np.cumsum(inside)])[offsets]
+        words, which = told_apart(lower[inside], starts)
+        bodies = pa.array(self._learn(words.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        ids, places = flat(bodies.take(pa.array(which)))
+        cuts = places[np.searchsorted(starts, before)].tolist()
+        return [ids[p:q].tobytes() for p, q in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -116,9 +164,9 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(public_tokenizers.path(vocabulary)).encode
         end = np.array([SEPARATOR], "<u4").tobytes()
-        for b in (whole_batch.slice(at, 256) for whole_batch in some for at in range(0, whole_batch.num_rows, 256)):
+        for b in (part for whole_batch in some for part in by_bytes(whole_batch)):
             rows: list[tuple] = []
-            for i, found in enumerate(encode(b.column(1).to_pylist())):
+            for i, found in enumerate(encode(b.column(1))):
                 ids = memoryview(found + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
