@@ -2,11 +2,13 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.samples import clashing, documents, prose, rows
 from visitlens.llm import pii
+from visitlens.llm.common import BATCH_BYTES, mapped
 
 
 def plain_base(text):
@@ -101,3 +103,20 @@ def test_scan_and_mask(spark):
     assert all(r["n_chars"] == len(r["text"]) for d, r in after.items() if d >= 400)
     none = documents(spark, [])
     assert pii.scan(none, pii.train(none)).count() == 0 and pii.mask(none, field).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A task takes long texts some at a time, not by a number of rows."""
+    texts = [(i, f"mail jane{i}@example.com " + "x" * 400_000, None, None, None) for i in range(60)]
+    docs = documents(spark, texts).repartition(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    hidden = pii.mask(docs, pii.learn([], pii.Settings()))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    seen = mapped(docs, sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in seen) == 60 and max(r["bytes"] for r in seen) < 2 * BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+    assert sorted(r["text"][:12] for r in hidden.collect()) == ["mail <email>"] * 60

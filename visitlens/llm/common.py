@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from visitlens.session import new_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of rows that Spark hands to Python at once; a longer row comes alone.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,7 +69,9 @@ def without(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
 
 
 def mapped(df: DataFrame, batches: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow``; callers take a batch apart by bytes or rows, as one row may hold a very long text."""
+    """``mapInArrow`` over batches of about ``BATCH_BYTES``, so that a task's memory does not follow the length
+    of texts; callers take a batch apart by bytes or rows, as one row may hold a very long text."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(batches, schema)
 
 

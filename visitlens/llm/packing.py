@@ -79,7 +79,9 @@ class WordEncoder:
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in LATIN}
         self.model = self.tokenizer.model
-        self.usual = json.dumps(UNITS) in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        # Asked of this part alone: the whole vocabulary as JSON would stay in the worker's memory.
+        cut = self.tokenizer.pre_tokenizer
+        self.usual = cut is not None and json.dumps(UNITS) in json.dumps(json.loads(cut.__getstate__()))
         self.borders = BORDERS if self.usual else np.zeros_like(BORDERS)
 
     def _plain_ids(self, word: bytes) -> bytes:
