@@ -141,3 +141,18 @@ def test_best_class_leaves_out_the_word_itself():
 
 def test_nothing(spark):
     assert class_lm.score_texts(documents(spark, [])).count() == 0
+
+
+def test_lists_move_as_few_rows(spark):
+    """A task's entries for a block move together; each block's list is whole and in order."""
+    s = class_lm.Settings(classes=6, rounds=1, block_tokens=400)
+    corpus = class_lm.Corpus(documents(spark, table()), s)
+    want = {}
+    for r in corpus.places.collect():
+        want.setdefault(r["block"], {})[r["local"]] = (r["n"], r["id"] if r["strong"] else -1)
+    got, parts = {}, 0
+    for block, row in ((r["block"], r["list"]) for r in corpus.lists.collect()):
+        n, name = class_lm._list(class_lm.pa.array([[bytes(x) for x in row]]))
+        got[block], parts = dict(enumerate(zip(n.tolist(), name.tolist()))), parts + len(row)
+    assert len(want) > 3 and got == want
+    assert parts <= len(want) * corpus.places.rdd.getNumPartitions() < corpus.places.count()

@@ -194,16 +194,15 @@ class Corpus:
         self.places = staged(lists.select("block", "local", "n", "class", "id", strong.alias("strong"), F.when(
             F.col("id") == F.col("place"), F.col("word")).alias("word")), "lm-places")
         del lists
+        self._free()
         # One row of each word of the corpus.
         self.counts = self.places.filter("word is not null").select("id", "n", "class", "strong")
         sizes = self.counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
         self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
-        # A block's words have the numbers 0, 1, 2, .., so sorted lists need no numbers.
-        entry = F.struct("local", "n", F.when(F.col("strong"), F.col("id")).alias("id"))
-        lists = self.places.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-        self.lists = self._bucketed(lists.select("block", F.col("e.n").alias("n"), F.col("e.id").alias("id")),
-                                    "lm-lists")
-        del lists
+        entries = mapped(self.places.select("block", "local", "n", F.when(F.col("strong"), F.col("id")).alias("id")),
+                         _gathered, "block bigint, part binary")
+        self.lists = self._bucketed(entries.groupBy("block").agg(F.collect_list("part").alias("list")), "lm-lists")
+        del entries
         self.words = self._first(self.counts.filter("strong"))
         self._moved = (self.words, None)
         self._matrix: tuple[DataFrame | None, np.ndarray | None] = (None, None)
@@ -301,9 +300,8 @@ class Corpus:
             for row in _single(some):
                 seq, lengths, out, classes = _block(row)
                 first = np.frombuffer(row.column(3)[0].as_py(), np.uint8)
-                n, name = np.asarray(row.column(5).flatten()), row.column(6).flatten()
-                strong = name.is_valid().to_numpy(zero_copy_only=False)
-                name = np.asarray(name.fill_null(0))
+                n, name = _list(row.column(5))
+                strong = name >= 0
                 seq = seq[np.repeat(~out, lengths)]
                 at = np.where(strong, np.arange(len(strong)), -1)
                 here = at[seq]
@@ -330,7 +328,7 @@ class Corpus:
                          pa.array(first[which].astype(np.int32)), _binaries(what[z], offsets), _binaries(times[z], offsets)],
                         ["id", "n", "class", "first", "what", "times"])
 
-        return mapped(self._joined(words, "n", "id"), count,
+        return mapped(self._joined(words, "list"), count,
                       "id bigint, n bigint, class int, first int, what binary, times binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
@@ -392,7 +390,7 @@ class Corpus:
         def score(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
                 seq, lengths, out, classes = _block(row)
-                count = np.asarray(row.column(5).flatten())
+                count, _ = _list(row.column(5))
                 base = np.log10((count + 1) / (n_all + v_all + 1))
                 emit = np.log10(count + s.add_word) - room[classes]
                 before = np.concatenate(([0], seq[:-1]))
@@ -405,11 +403,53 @@ class Corpus:
                      pa.array(np.add.reduceat(model, starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        return mapped(self._joined(words, "n", "doc_ids"), score,
+        return mapped(self._joined(words, "list", "doc_ids"), score,
                       "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                       "base_score double, score double")
 
 
+#: What a block's list holds of a word: its number there, its count in the corpus, its ``id`` (-1 if it has no part
+#: in the exchange).
+ENTRY = np.dtype([("local", "<i4"), ("n", "<i8"), ("id", "<i8")])
+#: Rows that a task deals to blocks at once.
+GATHERED = 250_000
+
+
+def _gathered(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``block, part`` with the entries of many rows ``block, local, n, id`` each, so that few rows move."""
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, entry = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((entry["local"], block))
+        block, entry = block[order], entry[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        # First bytes of all entries come first, then the second bytes, and so on: that takes less disk.
+        parts = [x.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes() for x in np.split(entry, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(parts, pa.binary())], ["block", "part"])
+
+    held, size = [], 0
+    for b in (b for b in some if b.num_rows):
+        entry = np.empty(b.num_rows, ENTRY)
+        entry["local"], entry["n"] = np.asarray(b.column(1)), np.asarray(b.column(2))
+        entry["id"] = np.asarray(b.column(3).fill_null(-1))
+        held.append((np.asarray(b.column(0)), entry))
+        size += b.num_rows
+        if size >= GATHERED:
+            yield dealt(held)
+            held, size = [], 0
+    if held:
+        yield dealt(held)
+
+
+def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and ids of a block's words by number; its words have the numbers 0, 1, 2, .."""
+    entry = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(ENTRY.itemsize, -1).T.ravel().view(ENTRY)
+                            for x in column.flatten()])
+    n, name = np.empty(len(entry), np.int64), np.empty(len(entry), np.int64)
+    n[entry["local"]], name[entry["local"]] = entry["n"], entry["id"]
+    return n, name
+
+
 def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block at a time."""
     for b in some:
