@@ -156,3 +156,32 @@ def test_lists_move_as_few_rows(spark):
         got[block], parts = dict(enumerate(zip(n.tolist(), name.tolist()))), parts + len(row)
     assert len(want) > 3 and got == want
     assert parts <= len(want) * corpus.places.rdd.getNumPartitions() < corpus.places.count()
+
+
+def test_words_are_those_of_a_plain_split():
+    texts = [b"", b" ", b"One\ttwo\x0bTHREE\x0cfour\r\nfive", "ÄÖ éTÉ x　Y".encode(), b"a\x00B\x1cc d",
+             b"  lead", b"trail \n", b"x", b"", b"joined"]
+    data, starts, per = class_lm._words(class_lm.pa.array(texts))
+    ends = np.append(starts[1:], len(data))
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends)] == [w for t in texts for w in t.lower().split()]
+    assert per.tolist() == [len(t.split()) for t in texts]
+
+
+def test_words_move_as_parts(spark):
+    """What stands around the words moves as a row per block and share, with every count, and classes come back to
+    the words they belong to however the words are shared out."""
+    long = [(5000, "q " * 70_000 + "r", None, None, None)]
+    some = documents(spark, table() + long)
+    s, other = (class_lm.Settings(classes=6, rounds=2, block_tokens=n) for n in (9000, 1000))
+    corpus = class_lm.Corpus(some, s)
+    blocks, rows = corpus.texts.count(), corpus.contexts(corpus.words).collect()
+    seen = sum(r["n"] for r in corpus.named(corpus.words).collect())
+    assert s.shares > 1 == other.shares and blocks > 2
+    assert len(rows) <= blocks * s.shares < corpus.places.filter("strong").count()
+    assert sum(int(class_lm._values(bytes(r["times"]), "<u2").sum(dtype=np.int64)) for r in rows) == 2 * seen
+
+    def scores(settings):
+        return sorted((r["doc_id"], round(r["base_score"], 6), round(r["score"], 6))
+                      for r in class_lm.score_texts(some, settings).collect())
+
+    assert scores(s) == scores(other)

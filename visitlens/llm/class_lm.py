@@ -6,11 +6,12 @@ class by the pointwise information between that class and the classes around the
 word (its own share taken out of its own class), and moves it to the best.
 
 How it is laid out. Texts are cut into blocks of some million tokens. A block keeps its
-texts as numbers into its own word list, and the word lists of all blocks are
-joined with the counts and classes of the whole corpus. So a task holds the words of one block,
-never the vocabulary; texts and lists are written once, bucketed by
-block, and do not move again. A round moves the classes that changed and, once, what
-stands around the words. Only the transition counts between classes, at
+texts as numbers into its own word list. The lists are cut by a hash of the word into shares, and the
+parts of a share, one from each block, meet in one task that counts its words over the whole corpus
+and tells each block. So a task holds the words of one block or of one share,
+never the vocabulary; a part of a list moves as one row, and texts and lists are written once, bucketed by
+block, and do not move again. A round moves what stands around the words to the
+shares and a byte for each word of a block back. Only the transition counts between classes, at
 most the square of their number, are gathered.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import gc
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,19 +28,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import mapped, staged, whole
+from visitlens.llm.common import flat, mapped, told_apart, whole
 from visitlens.session import new_folder
 
 #: The end of a text, counted as a token; no word is empty.
 END = b""
-#: What ``Corpus.words`` holds; ``changed``: not in the class of its ending any more. A word is told by its
-#: ``id``, its place in the first block that has it.
-WORDS = "id bigint, n bigint, class int, changed boolean"
 #: More different words than a block has tokens.
 LOCAL_BITS = 22
+#: Tokens of a block for each share of the words.
+SHARE = 2048
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: The largest count that two bytes hold.
 MOST = 65535
 #: A byte tells a class before a word from one after it.
@@ -64,15 +68,31 @@ class Settings:
         if not 2 <= self.classes <= MOST_CLASSES:
             raise ValueError(f"classes must be 2 to {MOST_CLASSES}, not {self.classes}")
 
+    @property
+    def shares(self) -> int:
+        """Shares of the words: a block has some hundred words in each, so that few rows move."""
+        return 1 + self.block_tokens // SHARE
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words of texts end to end, where each begins, and the number of words of each text."""
+    data, offsets = flat(texts)
+    data = LOWER[data]
+    solid = ~SPACE[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    at = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[at] = solid[at]
+    return data[solid], np.flatnonzero(begins[solid]), np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
 
-def first_class(words: list[bytes], classes: int) -> np.ndarray:
+
+def first_class(words: list[bytes] | pa.Array, classes: int) -> np.ndarray:
     """Class by a word's last two bytes, 1 and up; class 0 is the end of a text."""
-    last = np.array([int.from_bytes(w[-2:], "little") + 1 if w else 0 for w in words], np.int64)
-    return np.where(last > 0, 1 + last * 40503 % 65521 % (classes - 1), 0)
+    data, offsets = flat(words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary()))
+    size, data = np.diff(offsets), np.append(data, (0, 0)).astype(np.int64)
+    one, two = data[offsets[1:] - 1], data[offsets[1:] - 2]
+    last = np.where(size > 1, two + 256 * one, one) + 1
+    return np.where(size > 0, 1 + last * 40503 % 65521 % (classes - 1), 0)
 
 
 def held_out_flag(doc_id: Column, of: int = 7, at: int = 2) -> Column:
@@ -81,64 +101,147 @@ def held_out_flag(doc_id: Column, of: int = 7, at: int = 2) -> Column:
 
 
 def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
-    """Rows of two kinds: a block's texts, and a row per word of its list."""
+    """Rows of two kinds: a block's texts, and a row per share with the words of its list in that share."""
 
     def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        known, ids, texts = {END: 0}, [], []
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal n, known, ids, texts
+            nonlocal n
             block, n = part << 18 | n, n + 1
-            flat = np.concatenate(ids).astype(np.int32)
-            lengths = np.array([len(x) for x in ids], np.int64)
-            out = np.array([h for _, h in texts], bool)
-            taught = np.repeat(~out, lengths)
-            counts = np.bincount(flat[taught], minlength=len(known))
-            words = list(known)
-            first = first_class(words, s.classes).astype(np.uint8)
-            yield _rows([(block, None, None, None, None,
-                          [d for d, _ in texts], out.tolist(), lengths.tolist(), flat.tobytes(), first.tobytes())])
-            for at in range(0, len(words), 50_000):
-                some = words[at:at + 50_000]
-                size = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, block, np.int64)), pa.array(some, pa.binary()),
-                     pa.array(np.arange(at, at + size, dtype=np.int32)), pa.array(counts[at:at + size]),
-                     pa.array(first[at:at + size].astype(np.int32)),
-                     *[pa.nulls(size, f.type) for f in list(_ARROW)[5:]]], schema=_ARROW)
-            known, ids, texts = {END: 0}, [], []
+            docs, out, per, starts, data = zip(*held, strict=True)
+            before = np.cumsum([0, *map(len, data)])
+            words, which = told_apart(np.concatenate(data), np.concatenate([x + b for x, b in zip(starts, before)]))
+            words = pa.concat_arrays([pa.array([END], pa.large_binary()), words])
+            doc_ids, out, lengths = pa.concat_arrays(docs), pa.concat_arrays(out), np.concatenate(per) + 1
+            inside = np.ones(lengths.sum(), bool)
+            inside[np.cumsum(lengths) - 1] = False
+            ids = np.zeros(len(inside), np.int32)
+            ids[inside] = which + 1
+            taught = np.repeat(~np.asarray(out.to_numpy(zero_copy_only=False), bool), lengths)
+            counts = np.bincount(ids[taught], minlength=len(words))
+            yield _batch(_BLOCKS, block=[block], doc_ids=pa.ListArray.from_arrays([0, len(out)], doc_ids),
+                         held_out=pa.ListArray.from_arrays([0, len(out)], out), lengths=[lengths],
+                         ids=[_planes(ids, "<i4").tobytes()], first=[first_class(words, s.classes).astype("u1").tobytes()])
+            share = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % s.shares
+            order = np.argsort(share, kind="stable")
+            share = share[order]
+            cuts = np.flatnonzero(np.diff(share, prepend=-1))
+            data, ends = flat(words.take(pa.array(order)))
+            yield _batch(_BLOCKS, block=np.full(len(cuts), block), share=share[cuts].astype(np.int32),
+                         words=_cut(data, np.append(ends[cuts], len(data))), sizes=_parts(np.diff(ends), "<i4", cuts),
+                         local=_parts(order, "<i4", cuts), n=_parts(counts[order], "<i4", cuts))
 
-        size = 0
         for b in some:
-            for doc, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = tokens(text.as_py())
-                for w in set(words).difference(known):
-                    known[w] = len(known)
-                ids.append(np.fromiter(map(known.__getitem__, [*words, END]), np.int64, len(words) + 1))
-                texts.append((doc, out))
-                size += len(words) + 1
+            data, starts, per = _words(b.column(2))
+            # Words and bytes before each text, and tokens up to its end.
+            first = np.append(0, np.cumsum(per))
+            bytes_ = np.append(starts, len(data))[first]
+            ends, at = first[1:] + np.arange(1, len(per) + 1), 0
+            while at < len(per):
+                before = ends[at - 1] if at else 0
+                upto = min(len(per), int(np.searchsorted(ends, before + s.block_tokens - size)) + 1)
+                held.append((b.column(0).slice(at, upto - at), b.column(1).slice(at, upto - at), per[at:upto],
+                             starts[first[at]:first[upto]] - bytes_[at], data[bytes_[at]:bytes_[upto]]))
+                size += ends[upto - 1] - before
+                at = upto
                 if size >= s.block_tokens:
                     yield from flush()
-                    size = 0
-        if texts:
+                    held, size = [], 0
+        if held:
             yield from flush()
 
     return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                               held_out_flag(F.col("doc_id")).alias("held_out"), whole().cast("binary").alias("text")),
-                  batches, _SCHEMA)
+                  batches, "block bigint, share int, words binary, sizes binary, local binary, n binary, "
+                           "doc_ids array<bigint>, held_out array<boolean>, lengths array<bigint>, ids binary, first binary")
+
+
+_BLOCKS = pa.schema([("block", pa.int64()), ("share", pa.int32()), *[(x, pa.binary()) for x in (
+    "words", "sizes", "local", "n")], ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+    ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("first", pa.binary())])
+#: A share of the words: with no block, its different words, ``strong`` of them first that take part in the exchange;
+#: with a block, the entries of the words in that block's list.
+_SHARES = pa.schema([("share", pa.int32()), ("block", pa.int64()), *[(x, pa.binary()) for x in (
+    "part", "words", "sizes", "n", "first")], ("strong", pa.int64())])
+#: What stands around the words of a block and a share.
+_AROUND = pa.schema([("share", pa.int32()), ("block", pa.int64()), *[(x, pa.binary()) for x in (
+    "index", "class", "keys", "what", "times")]])
+
+
+def _batch(schema: pa.Schema, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    """A batch of ``schema``; columns that are not given are null."""
+    size = len(next(iter(columns.values())))
+    given = {x: y if isinstance(y, pa.Array) else pa.array(y, schema.field(x).type) for x, y in columns.items()}
+    return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(size, f.type) for f in schema],
+                                      schema=schema)
+
+
+def _planes(values: np.ndarray, kind: str) -> np.ndarray:
+    """First bytes of all values, then the second bytes, and so on, a row each: that takes less disk."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
 
+def _values(data: bytes, kind: str | np.dtype) -> np.ndarray:
+    """What ``_planes`` took apart."""
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.ravel().view(kind)
 
-_SCHEMA = ("block bigint, word binary, local int, n bigint, class int, doc_ids array<bigint>, held_out array<boolean>, "
-           "lengths array<bigint>, ids binary, first binary")
-_ARROW = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64()),
-                    ("class", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
-                    ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("first", pa.binary())])
 
+def _parts(values: np.ndarray, kind: str, cuts: np.ndarray) -> list[bytes]:
+    """``_planes`` of each part of ``values``; parts begin at ``cuts``."""
+    planes = _planes(values, kind)
+    return [planes[:, a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(values)))]
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW,
-                                                                           strict=True)], schema=_ARROW)
+
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts of ``data`` between ``ends``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)),
+                                                              pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _met(some: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Each share with its rows, which come one after the other."""
+    now, held = None, []
+    for b in some:
+        for row in b.to_pylist():
+            if row["share"] != now:
+                if held:
+                    yield now, held
+                now, held = row["share"], []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _counted(classes: int):
+    """A share's rows of all blocks into its different words, with what the corpus counts, and each block's entries."""
+
+    def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, rows in _met(some):
+            sizes = [_values(r["sizes"], "<i4") for r in rows]
+            ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
+            words, which = told_apart(np.frombuffer(b"".join(r["words"] for r in rows), np.uint8), np.append(0, ends[:-1]))
+            n = np.bincount(which, np.concatenate([_values(r["n"], "<i4") for r in rows]), len(words)).astype(np.int64)
+            strong = (n > 0) & (pc.binary_length(words).to_numpy() > 0)
+            order = np.argsort(~strong, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            entry = np.empty(len(which), ENTRY)
+            entry["local"], entry["n"] = np.concatenate([_values(r["local"], "<i4") for r in rows]), n[which]
+            entry["id"] = np.where(strong[which], share << 32 | rank[which], -1)
+            lengths = [len(x) for x in sizes]
+            parts = _parts(entry, ENTRY, np.cumsum(lengths) - lengths)
+            for at in range(0, len(rows), 256):
+                some = rows[at:at + 256]
+                yield _batch(_SHARES, share=[share] * len(some), block=[r["block"] for r in some], part=parts[at:at + 256])
+            words = words.take(pa.array(order))
+            yield _batch(_SHARES, share=[share], words=[flat(words)[0].tobytes()],
+                         sizes=[_planes(np.diff(flat(words)[1]), "<i4").tobytes()], n=[_planes(n[order], "<i8").tobytes()],
+                         first=[first_class(words, classes).astype("u1").tobytes()], strong=[int(strong.sum())])
+
+    return count
 
 
 def _log_ratio(matrix: np.ndarray) -> np.ndarray:
@@ -174,39 +277,33 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: n
 class Corpus:
     """The corpus in blocks, with its word counts, ready for rounds and scoring.
 
-    ``words`` holds ``word, n, class, changed`` of the words seen in training; others
+    ``words`` holds ``share, classes``: a byte for each word of a share that is seen in training; others
     are in the class of their ending, which a block works out by itself. The
-    tables of texts, word lists and changed classes are all bucketed by block.
+    tables of texts, word lists and moved classes are all bucketed by block.
     """
 
     def __init__(self, docs: DataFrame, settings: Settings):
         self.s, self.spark = settings, docs.sparkSession
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = self._bucketed(_blocks(docs, settings), "lm-blocks")
-        self.texts = rows.filter("word is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
-        # The lists move once by word. A word is in a block's list once; its first place there is its number.
-        of_word = Window.partitionBy("word")
-        place = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("bigint"))
-        lists = rows.filter("word is not null").select("block", "local", "word", "class", "n", place.alias("place")).select(
-            "block", "local", "word", "class", F.sum("n").over(of_word).alias("n"), F.min("place").over(of_word).alias("id"),
-            "place")
-        strong = (F.col("n") > 0) & (F.length("word") > 0)
-        self.places = staged(lists.select("block", "local", "n", "class", "id", strong.alias("strong"), F.when(
-            F.col("id") == F.col("place"), F.col("word")).alias("word")), "lm-places")
+        self.texts = rows.filter("share is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
+        # The lists move once by share. A word is in a block's list once; its place in its share is its number.
+        lists = self._by_share(rows.filter("share is not null").select("share", "block", "words", "sizes", "local", "n"))
+        rows = self._written(mapped(lists, _counted(settings.classes),
+                                    "share int, block bigint, part binary, words binary, sizes binary, n binary, "
+                                    "first binary, strong bigint"), "lm-shares")
         del lists
         self._free()
-        # One row of each word of the corpus.
-        self.counts = self.places.filter("word is not null").select("id", "n", "class", "strong")
-        sizes = self.counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
-        self.tokens, self.types = sizes["tokens"] or 0, sizes["types"] or 0
-        entries = mapped(self.places.select("block", "local", "n", F.when(F.col("strong"), F.col("id")).alias("id")),
-                         _gathered, "block bigint, part binary")
-        self.lists = self._bucketed(entries.groupBy("block").agg(F.collect_list("part").alias("list")), "lm-lists")
-        del entries
-        self.words = self._first(self.counts.filter("strong"))
-        self._moved = (self.words, None)
+        self.shares = rows.filter("block is null").select("share", "words", "sizes", "n", "first", "strong")
+        self._entries = rows.filter("block is not null").select("block", "part")
+        self.lists = self._bucketed(self._entries.groupBy("block").agg(F.collect_list("part").alias("list")), "lm-lists")
+        self.words = self.shares.filter("strong > 0").select("share", F.expr("substring(first, 1, int(strong))").alias("classes"))
+        #: Words of a round and the classes that its blocks got.
+        self._moved: list[tuple[DataFrame, DataFrame | None]] = [(self.words, None)]
         self._matrix: tuple[DataFrame | None, np.ndarray | None] = (None, None)
         self._free()
+        sizes = self.sizes(self.words).sum(0)
+        self.tokens, self.types = int(sizes[0]), int(sizes[1])
 
     def _free(self) -> None:
         """Shuffle files go with the frames that wrote them, once both sides' memory is cleaned."""
@@ -220,27 +317,55 @@ class Corpus:
          .saveAsTable(name, path=new_folder(self.spark, label)))
         return self.spark.table(name)
 
-    def _first(self, counts: DataFrame) -> DataFrame:
-        return counts.select("id", "n", "class", F.lit(False).alias("changed"))
+    def _written(self, rows: DataFrame, label: str) -> DataFrame:
+        """``staged``, with packed rows in less disk."""
+        path = new_folder(self.spark, label)
+        rows.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _by_share(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("share").sortWithinPartitions("share", "block")
+
+    @property
+    def places(self) -> DataFrame:
+        """A row per word of a block's list, to look at: ``block, local, n, id, strong``; ``id`` is -1 without ``strong``."""
+
+        def rows(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _single(some):
+                entry = _values(row.column(1)[0].as_py(), ENTRY)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row.column(0)[0].as_py()] * len(entry)), *[pa.array(entry[x]) for x in ("local", "n", "id")],
+                     pa.array(entry["id"] >= 0)], ["block", "local", "n", "id", "strong"])
+
+        return mapped(self._entries, rows, "block bigint, local int, n bigint, id bigint, strong boolean")
 
     def named(self, words: DataFrame) -> DataFrame:
-        """``words`` with each word's text as ``word``."""
-        return words.join(self.places.filter("word is not null").select("id", "word"), "id")
+        """Rows ``word, n, class, changed`` of ``words``; ``changed``: not in the class of its ending any more."""
+
+        def rows(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in (r for b in some for r in b.to_pylist()):
+                z = slice(0, row["strong"])
+                ends = np.append(0, np.cumsum(_values(row["sizes"], "<i4")[z]))
+                own, first = (np.frombuffer(row[x], np.uint8)[z] for x in ("classes", "first"))
+                yield pa.RecordBatch.from_arrays(
+                    [_cut(np.frombuffer(row["words"], np.uint8), ends), pa.array(_values(row["n"], "<i8")[z]),
+                     pa.array(own.astype(np.int32)), pa.array(own != first)], ["word", "n", "class", "changed"])
+
+        return mapped(self.shares.join(words, "share"), rows, "word binary, n bigint, class int, changed boolean")
 
     def _joined(self, words: DataFrame, *more: str) -> DataFrame:
-        """Texts of each block, with the numbers and classes of its words that left their first class, and ``more``."""
-        if self._moved[0] is not words:
-            moved = (self.places.filter("strong").select("block", "local", "id")
-                     .join(words.filter("changed").select("id", "class"), "id"))
-            one = F.shiftleft(F.col("local").cast("bigint"), 8) + F.col("class")
-            self._moved = (words, self._bucketed(moved.groupBy("block").agg(F.collect_list(one).alias("moved")),
-                                                 "lm-moved"))
-            del moved
-            self._free()
-        both, moved = self.texts.join(self.lists, "block") if more else self.texts, self._moved[1]
-        both = (both.withColumn("moved", F.lit(None).cast("array<bigint>")) if moved is None
-                else both.join(moved, "block", "left"))
-        return both.select("ids", "lengths", "held_out", "first", "moved", *more)
+        """Texts of each block, with its list and the classes of its words if they left their first ones, and ``more``."""
+        moved = next(m for w, m in self._moved if w is words)
+        both = self.texts
+        if more or moved is not None:
+            both = both.join(self.lists, "block")
+        if moved is None:
+            both = both.withColumn("moved", F.lit(None).cast("array<struct<share:int,classes:binary>>"))
+        else:
+            both = both.join(moved, "block", "left")
+        return both.select("ids", "lengths", "held_out", "first", "moved",
+                           "list" if "list" in both.columns else F.lit(None).cast("array<binary>").alias("list"),
+                           *[c for c in more if c != "list"])
 
     def pairs(self, words: DataFrame) -> np.ndarray:
         """Counts of class pairs in training, summed before they are gathered (the square of the classes at most)."""
@@ -273,24 +398,26 @@ class Corpus:
 
     def trained(self) -> tuple[DataFrame, list[float]]:
         """Words in their last classes, and the information before the first round and after each that counts."""
-        words, before = self.words, self._moved
+        words = self.words
         steps = [self.information(words)]
         for _ in range(self.s.rounds):
+            before = self._matrix
             moved = self.exchange(words)
             gained = self.information(moved) - steps[-1]
             if gained <= 0:
                 # All words moved at once may do worse together; then they stay where they were.
-                self._moved, self._matrix = before, (None, None)
+                self._matrix = before
                 break
-            words, before = moved, self._moved
+            words = moved
             steps.append(steps[-1] + gained)
             if gained < self.s.least_gain * steps[-1]:
                 break
         return words, steps
 
     def contexts(self, words: DataFrame) -> DataFrame:
-        """Rows ``id, n, class, first, what, times`` per block, for words seen in training.
+        """Rows ``share, block, index, class, keys, what, times`` for words seen in training.
 
+        ``index`` tells the words in their share, ``class`` the class of each and ``keys`` how many follow for it:
         ``what`` has a byte per class before the word, or after it (from ``classes``
         up), and ``times`` two bytes with its count; larger counts are told in parts.
         """
@@ -298,85 +425,104 @@ class Corpus:
 
         def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
-                seq, lengths, out, classes = _block(row)
-                first = np.frombuffer(row.column(3)[0].as_py(), np.uint8)
-                n, name = _list(row.column(5))
-                strong = name >= 0
+                block, (seq, lengths, out, classes) = row.column(6)[0].as_py(), _block(row)
+                _, name = _list(row.column(5))
+                mine = _strong(name)
+                at = np.full(len(name), -1, np.int32 if len(mine) * 2 * k < 1 << 31 else np.int64)
+                at[mine] = np.arange(len(mine))
                 seq = seq[np.repeat(~out, lengths)]
-                at = np.where(strong, np.arange(len(strong)), -1)
-                here = at[seq]
-                before = np.concatenate(([0], seq[:-1])) if len(seq) else seq
-                there = at[before]
-                key, times = np.unique(np.concatenate((
-                    here[here >= 0].astype(np.int64) * (2 * k) + classes[before[here >= 0]],
-                    there[there >= 0].astype(np.int64) * (2 * k) + k + classes[seq[there >= 0]])), return_counts=True)
+                here, own = at[seq], classes[seq].astype(at.dtype)
+                there, before = (np.append(at.dtype.type(x), y)[:len(seq)] for x, y in ((-1, here), (0, own)))
+                key = np.concatenate(((here * (2 * k) + before)[here >= 0], (there * (2 * k) + k + own)[there >= 0]))
+                key.sort()
+                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+                key, times = key[starts], np.diff(starts, append=len(key))
                 parts = (times - 1) // MOST + 1
                 last = np.cumsum(parts) - 1
                 key, rest = np.repeat(key, parts), times - (parts - 1) * MOST
                 times = np.full(len(key), MOST, np.int64)
                 times[last] = rest
                 who, what = np.divmod(key, 2 * k)
-                cut = np.flatnonzero(np.diff(who, prepend=-1))
-                ends = np.append(cut[1:], len(who))
-                what, times = what.astype("<u1"), times.astype("<u2")
-                for a in range(0, len(cut), 20_000):
-                    starts, stop = cut[a:a + 20_000], ends[a:a + 20_000][-1]
-                    which, offsets = who[starts], np.append(starts, stop) - starts[0]
-                    z = slice(starts[0], stop)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(name[which]), pa.array(n[which]), pa.array(classes[which].astype(np.int32)),
-                         pa.array(first[which].astype(np.int32)), _binaries(what[z], offsets), _binaries(times[z], offsets)],
-                        ["id", "n", "class", "first", "what", "times"])
-
-        return mapped(self._joined(words, "list"), count,
-                      "id bigint, n bigint, class int, first int, what binary, times binary")
+                keys = np.bincount(who, minlength=len(mine))
+                share, index = name[mine] >> 32, name[mine] & 0xFFFFFFFF
+                cuts = np.flatnonzero(np.diff(share, prepend=-1))
+                ends = np.append(0, np.cumsum(keys))[np.append(cuts, len(mine))]
+                yield _batch(_AROUND, share=share[cuts].astype(np.int32), block=[block] * len(cuts),
+                             index=_parts(index, "<i4", cuts), keys=_parts(keys, "<i4", cuts),
+                             what=_cut(what.astype("u1"), ends), times=_parts(times, "<u2", ends[:-1]),
+                             **{"class": _cut(classes[mine].astype("u1"), np.append(cuts, len(mine)))})
+
+        return mapped(self._joined(words, "list", "block"), count, "share int, block bigint, index binary, class binary, "
+                                                                   "keys binary, what binary, times binary")
 
     def exchange(self, words: DataFrame) -> DataFrame:
         """``words`` with each word in its best class.
 
-        A word's rows come one after the other and are added up as they come, so a word
-        of every block takes no more memory than any other.
+        A share's rows come one after the other and are added up as they come; what is kept of a block's row
+        is which words are to be told.
         """
         k, matrix = self.s.classes, self.pairs(words)
 
-        def moved(word: np.ndarray, n: np.ndarray, own: np.ndarray, first: np.ndarray,
+        def moved(share: int, asked: list[tuple[int, np.ndarray]], own: np.ndarray,
                   counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.empty(len(own), np.uint8)
             for at in range(0, len(own), 2_000):
                 z = slice(at, at + 2_000)
-                new = best_classes(counts[z, :k], counts[z, k:], own[z], matrix)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[z]), pa.array(n[z]), pa.array(new.astype(np.int32)), pa.array(new != first[z])],
-                    ["id", "n", "class", "changed"])
+                new[z] = best_classes(counts[z, :k], counts[z, k:], own[z], matrix)
+            blocks, classes = [None, *[b for b, _ in asked]], [new.tobytes(), *[new[i].tobytes() for _, i in asked]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(blocks), share, np.int32)), pa.array(blocks, pa.int64()),
+                 pa.array(classes, pa.binary())], ["share", "block", "classes"])
 
         def move(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for b in (b for b in some if b.num_rows):
-                word = np.asarray(b.column(0))
-                other = word[1:] != word[:-1]
-                starts = np.append(0, np.flatnonzero(other) + 1)
-                group = np.cumsum(np.append(0, other.astype(np.int64)))
-                what, times = _flat(b.column(4), "<u1"), _flat(b.column(5), "<u2")
-                rows = np.repeat(group, np.asarray(pc.binary_length(b.column(4))))
-                counts = np.bincount(rows * (2 * k) + what, times, len(starts) * 2 * k).reshape(-1, 2 * k)
-                part = (*(np.asarray(b.column(c)).astype(np.int64)[starts] for c in range(4)), counts)
-                if held is not None and held[0][0] == part[0][0]:
-                    counts[0] += held[4][0]
-                elif held is not None:
-                    yield from moved(*held)
-                yield from moved(*(x[:-1] for x in part))
-                held = tuple(x[-1:] for x in part)
-            if held is not None:
-                yield from moved(*held)
-
-        out = staged(mapped(self.contexts(words).repartition("id").sortWithinPartitions("id"), move, WORDS), "lm-words")
+            now, asked, size = None, [], 0
+            own, counts = np.zeros(0, np.int64), np.zeros((0, 2 * k))
+            for row in (r for b in some for r in b.to_pylist()):
+                if row["share"] != now:
+                    if asked:
+                        yield from moved(now, asked, own[:size], counts[:size])
+                    now, asked, size = row["share"], [], 0
+                    own, counts = np.zeros(0, np.int64), np.zeros((0, 2 * k))
+                index = _values(row["index"], "<i4")
+                size = max(size, int(index[-1]) + 1)
+                if size > len(own):
+                    own = np.append(own, np.zeros(2 * size - len(own), np.int64))
+                    counts = np.append(counts, np.zeros((2 * size - len(counts), 2 * k)), 0)
+                own[index] = np.frombuffer(row["class"], np.uint8)
+                who = np.repeat(index.astype(np.int64), _values(row["keys"], "<i4"))
+                np.add.at(counts.reshape(-1), who * (2 * k) + np.frombuffer(row["what"], np.uint8),
+                          _values(row["times"], "<u2").astype(float))
+                asked.append((row["block"], index))
+            if asked:
+                yield from moved(now, asked, own[:size], counts[:size])
+
+        rows = self._written(mapped(self._by_share(self.contexts(words)), move,
+                                    "share int, block bigint, classes binary"), "lm-words")
         self._free()
+        out = rows.filter("block is null").select("share", "classes")
+        told = self._bucketed(rows.filter("block is not null").groupBy("block").agg(
+            F.collect_list(F.struct("share", "classes")).alias("moved")), "lm-moved")
+        self._moved.append((out, told))
         return out
 
     def sizes(self, words: DataFrame) -> np.ndarray:
         """Tokens and different words of each class in training; a row per class."""
-        every = words.unionByName(self._first(self.counts.filter("not strong"))).filter("n > 0")
-        out = np.zeros((self.s.classes, 2))
-        for r in every.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        k = self.s.classes
+
+        def count(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, v = np.zeros(k, np.int64), np.zeros(k, np.int64)
+            for row in (r for b in some for r in b.to_pylist()):
+                times, own = _values(row["n"], "<i8"), np.frombuffer(row["first"], np.uint8).copy()
+                own[:row["strong"]] = np.frombuffer(row["classes"] or b"", np.uint8)
+                n += np.bincount(own, times, k).astype(np.int64)
+                v += np.bincount(own[times > 0], minlength=k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array(v)],
+                                             ["class", "n", "v"])
+
+        out = np.zeros((k, 2))
+        rows = mapped(self.shares.select("share", "n", "first", "strong").join(words, "share", "left"), count,
+                      "class int, n bigint, v bigint")
+        for r in rows.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
             out[r["class"]] = r["n"], r["v"]
         return out
 
@@ -408,48 +554,25 @@ class Corpus:
                       "base_score double, score double")
 
 
-#: What a block's list holds of a word: its number there, its count in the corpus, its ``id`` (-1 if it has no part
-#: in the exchange).
+#: What a block's list holds of a word: its number there, its count in the corpus, its ``id``, which is its share and its
+#: place there (-1 if it has no part in the exchange).
 ENTRY = np.dtype([("local", "<i4"), ("n", "<i8"), ("id", "<i8")])
-#: Rows that a task deals to blocks at once.
-GATHERED = 250_000
-
-
-def _gathered(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``block, part`` with the entries of many rows ``block, local, n, id`` each, so that few rows move."""
-
-    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        block, entry = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((entry["local"], block))
-        block, entry = block[order], entry[order]
-        cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-        # First bytes of all entries come first, then the second bytes, and so on: that takes less disk.
-        parts = [x.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes() for x in np.split(entry, cuts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array(parts, pa.binary())], ["block", "part"])
-
-    held, size = [], 0
-    for b in (b for b in some if b.num_rows):
-        entry = np.empty(b.num_rows, ENTRY)
-        entry["local"], entry["n"] = np.asarray(b.column(1)), np.asarray(b.column(2))
-        entry["id"] = np.asarray(b.column(3).fill_null(-1))
-        held.append((np.asarray(b.column(0)), entry))
-        size += b.num_rows
-        if size >= GATHERED:
-            yield dealt(held)
-            held, size = [], 0
-    if held:
-        yield dealt(held)
 
 
 def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts and ids of a block's words by number; its words have the numbers 0, 1, 2, .."""
-    entry = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(ENTRY.itemsize, -1).T.ravel().view(ENTRY)
-                            for x in column.flatten()])
+    entry = np.concatenate([_values(x.as_buffer(), ENTRY) for x in column.flatten()])
     n, name = np.empty(len(entry), np.int64), np.empty(len(entry), np.int64)
     n[entry["local"]], name[entry["local"]] = entry["n"], entry["id"]
     return n, name
 
 
+def _strong(name: np.ndarray) -> np.ndarray:
+    """Numbers of the words that take part in the exchange, in the order of their ids."""
+    mine = np.flatnonzero(name >= 0)
+    return mine[np.argsort(name[mine])]
+
+
 def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block at a time."""
     for b in some:
@@ -457,28 +580,16 @@ def _single(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, 1)
 
 
-def _binaries(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Values of ``flat``, cut at ``offsets``, as an array of bytes."""
-    ends = (offsets * flat.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
-
-
-def _flat(column: pa.Array, kind: str) -> np.ndarray:
-    """All values of an array of bytes, end to end."""
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(memoryview(data)[ends[0]:ends[-1]], kind) if data is not None else np.zeros(0, kind)
-
-
 def _block(row: pa.RecordBatch):
     """One block: numbers of its tokens, lengths of its texts, their flags, classes by number."""
-    seq = np.frombuffer(row.column(0)[0].as_py(), np.int32)
+    seq = _values(row.column(0)[0].as_buffer(), "<i4")
     lengths = np.asarray(row.column(1).flatten())
     out = np.asarray(row.column(2).flatten().to_numpy(zero_copy_only=False), bool)
-    classes = np.frombuffer(row.column(3)[0].as_py(), np.uint8).astype(np.int64)
+    classes = np.frombuffer(row.column(3)[0].as_py(), np.uint8)
     if row.column(4)[0].is_valid:
-        local, new = np.divmod(np.asarray(row.column(4).flatten()), 256)
-        classes[local] = new
+        classes = classes.copy()
+        told = sorted((x["share"], x["classes"]) for x in row.column(4)[0].as_py())
+        classes[_strong(_list(row.column(5))[1])] = np.frombuffer(b"".join(x for _, x in told), np.uint8)
     return seq, lengths, out, classes
 
 
