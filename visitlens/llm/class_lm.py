@@ -123,7 +123,8 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
             counts = np.bincount(ids[taught], minlength=len(words))
             yield _batch(_BLOCKS, block=[block], doc_ids=pa.ListArray.from_arrays([0, len(out)], doc_ids),
                          held_out=pa.ListArray.from_arrays([0, len(out)], out), lengths=[lengths],
-                         ids=[_planes(ids, "<i4").tobytes()], first=[first_class(words, s.classes).astype("u1").tobytes()])
+                         ids=[_planes(ids, "<i4").tobytes()],
+                         first=[first_class(words, s.classes).astype("u1").tobytes()])
             share = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words)) % s.shares
             order = np.argsort(share, kind="stable")
             share = share[order]
@@ -154,8 +155,8 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
 
     return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                               held_out_flag(F.col("doc_id")).alias("held_out"), whole().cast("binary").alias("text")),
-                  batches, "block bigint, share int, words binary, sizes binary, local binary, n binary, "
-                           "doc_ids array<bigint>, held_out array<boolean>, lengths array<bigint>, ids binary, first binary")
+                  batches, "block bigint, share int, words binary, sizes binary, local binary, n binary, doc_ids array<bigint>, "
+                           "held_out array<boolean>, lengths array<bigint>, ids binary, first binary")
 
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("share", pa.int32()), *[(x, pa.binary()) for x in (
@@ -222,7 +223,8 @@ def _counted(classes: int):
         for share, rows in _met(some):
             sizes = [_values(r["sizes"], "<i4") for r in rows]
             ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
-            words, which = told_apart(np.frombuffer(b"".join(r["words"] for r in rows), np.uint8), np.append(0, ends[:-1]))
+            data = np.frombuffer(b"".join(r["words"] for r in rows), np.uint8)
+            words, which = told_apart(data, np.append(0, ends[:-1]))
             n = np.bincount(which, np.concatenate([_values(r["n"], "<i4") for r in rows]), len(words)).astype(np.int64)
             strong = (n > 0) & (pc.binary_length(words).to_numpy() > 0)
             order = np.argsort(~strong, kind="stable")
@@ -238,7 +240,8 @@ def _counted(classes: int):
                 yield _batch(_SHARES, share=[share] * len(some), block=[r["block"] for r in some], part=parts[at:at + 256])
             words = words.take(pa.array(order))
             yield _batch(_SHARES, share=[share], words=[flat(words)[0].tobytes()],
-                         sizes=[_planes(np.diff(flat(words)[1]), "<i4").tobytes()], n=[_planes(n[order], "<i8").tobytes()],
+                         sizes=[_planes(np.diff(flat(words)[1]), "<i4").tobytes()],
+                         n=[_planes(n[order], "<i8").tobytes()],
                          first=[first_class(words, classes).astype("u1").tobytes()], strong=[int(strong.sum())])
 
     return count
@@ -288,7 +291,8 @@ class Corpus:
         rows = self._bucketed(_blocks(docs, settings), "lm-blocks")
         self.texts = rows.filter("share is null").select("block", "doc_ids", "held_out", "lengths", "ids", "first")
         # The lists move once by share. A word is in a block's list once; its place in its share is its number.
-        lists = self._by_share(rows.filter("share is not null").select("share", "block", "words", "sizes", "local", "n"))
+        lists = self._by_share(rows.filter("share is not null")
+                               .select("share", "block", "words", "sizes", "local", "n"))
         rows = self._written(mapped(lists, _counted(settings.classes),
                                     "share int, block bigint, part binary, words binary, sizes binary, n binary, "
                                     "first binary, strong bigint"), "lm-shares")
@@ -296,8 +300,10 @@ class Corpus:
         self._free()
         self.shares = rows.filter("block is null").select("share", "words", "sizes", "n", "first", "strong")
         self._entries = rows.filter("block is not null").select("block", "part")
-        self.lists = self._bucketed(self._entries.groupBy("block").agg(F.collect_list("part").alias("list")), "lm-lists")
-        self.words = self.shares.filter("strong > 0").select("share", F.expr("substring(first, 1, int(strong))").alias("classes"))
+        self.lists = self._bucketed(self._entries.groupBy("block").agg(F.collect_list("part").alias("list")),
+                                    "lm-lists")
+        self.words = self.shares.filter("strong > 0").select(
+            "share", F.expr("substring(first, 1, int(strong))").alias("classes"))
         #: Words of a round and the classes that its blocks got.
         self._moved: list[tuple[DataFrame, DataFrame | None]] = [(self.words, None)]
         self._matrix: tuple[DataFrame | None, np.ndarray | None] = (None, None)
@@ -328,14 +334,15 @@ class Corpus:
 
     @property
     def places(self) -> DataFrame:
-        """A row per word of a block's list, to look at: ``block, local, n, id, strong``; ``id`` is -1 without ``strong``."""
+        """A row per word of a block's list, to look at: ``block, local, n, id, strong``; ``id`` -1 without ``strong``."""
 
         def rows(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _single(some):
                 entry = _values(row.column(1)[0].as_py(), ENTRY)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.column(0)[0].as_py()] * len(entry)), *[pa.array(entry[x]) for x in ("local", "n", "id")],
-                     pa.array(entry["id"] >= 0)], ["block", "local", "n", "id", "strong"])
+                    [pa.array([row.column(0)[0].as_py()] * len(entry)),
+                     *[pa.array(entry[x]) for x in ("local", "n", "id")], pa.array(entry["id"] >= 0)],
+                    ["block", "local", "n", "id", "strong"])
 
         return mapped(self._entries, rows, "block bigint, local int, n bigint, id bigint, strong boolean")
 
