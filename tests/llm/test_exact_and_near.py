@@ -126,6 +126,28 @@ def test_simhash_groups_against_all_pairs(spark):
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
 
 
+def test_near_dedup_broadcasts_no_table_of_the_input(spark, monkeypatch):
+    """Spark sizes these tables too low: an explode's rows are not counted, and files are packed."""
+    plans, write = {}, simhash.staged
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, label):
+        plans[label] = plan(df)
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "staged", noted)
+    prints = write(spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)], "fp bigint"), "fp")
+    plans["links"] = plan(simhash.links(prints))
+    docs = write(documents(spark, near_texts()), "docs")
+    near = simhash.near_groups(docs)
+    plans["result"] = plan(near)
+    assert near.count() == len(near_texts())
+    assert "Join" in plans["links"] and "Join" in plans["result"]
+    assert [label for label, p in plans.items() if "Broadcast" in p] == []
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4, 5])
 def test_grid_join_loses_no_link(spark, bits):
     import random

@@ -12,6 +12,9 @@ vector goes to its own unit cell on each part, and to the cells one step away;
 a pair meets where one's own cell is a cell the other reaches. Pairs that meet
 are held to the Manhattan bound on all axes, then to the exact bit distance. For
 k = 3 that is 2 own cells and about 50 reached ones per different fingerprint.
+
+Tables with a row per fingerprint, cell or document are merged, never broadcast:
+Spark sizes them by their packed files and does not count the rows an explode makes.
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         *[c for p, axes in parts for c in _cells(p, axes, near=False)])).alias("cell"))
     reach = points.select(F.col("fp").alias("other"), F.explode(F.array_compact(F.array(
         *[c for p, axes in parts for c in _cells(p, axes, near=True)]))).alias("cell"))
-    met = home.join(reach, "cell").filter(F.col("fp") < F.col("other"))
+    met = home.hint("merge").join(reach, "cell").filter(F.col("fp") < F.col("other"))
     bound = F.bit_count(F.col("grid").bitwiseXOR(thermometer(F.col("other")))) <= max_bits
     exact = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
     return met.filter(bound & exact).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
@@ -130,7 +133,7 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame
     """
     rows = staged(fingerprints(docs, words).drop("row_no"), "fingerprints")
     classes = _classes(rows, max_bits)
-    return rows.join(classes, "fp").select(
+    return rows.hint("merge").join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -138,10 +141,10 @@ def _classes(rows: DataFrame, max_bits: int) -> DataFrame:
     """``fp, root, component_id`` of each different fingerprint; ``root`` names the group, also where it has no id."""
     points = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "points")
     roots = staged(components(links(points.select("fp"), max_bits)), "roots")
-    members = roots.join(points, roots["node"] == points["fp"])
+    members = roots.hint("merge").join(points, roots["node"] == points["fp"])
     least = members.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    grouped = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "group_id")
-    return points.join(grouped, "fp", "left").select(
+    grouped = roots.hint("merge").join(least, "root").select(F.col("node").alias("fp"), "root", "group_id")
+    return points.hint("merge").join(grouped, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id"))
 
