@@ -141,10 +141,11 @@ def test_near_dedup_broadcasts_no_table_of_the_input(spark, monkeypatch):
     prints = write(spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)], "fp bigint"), "fp")
     plans["links"] = plan(simhash.links(prints))
     docs = write(documents(spark, near_texts()), "docs")
+    simhash.drop_near(docs)
     near = simhash.near_groups(docs)
     plans["result"] = plan(near)
     assert near.count() == len(near_texts())
-    assert "Join" in plans["links"] and "Join" in plans["result"]
+    assert "near-groups" in plans and "Join" in plans["links"] and "Join" in plans["result"]
     assert [label for label, p in plans.items() if "Broadcast" in p] == []
 
 

@@ -156,10 +156,10 @@ def drop_near(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """
     rows, number = numbered(docs)
     prints = staged(fingerprints(rows, words, number), "fingerprints")
-    grouped = staged(prints.join(_classes(prints, max_bits).select("fp", "root"), "fp").select(
-        "root", "row_no", "doc_id"), "near-groups")
+    classes = _classes(prints, max_bits).select("fp", "root")
+    grouped = staged(prints.hint("merge").join(classes, "fp").select("root", "row_no", "doc_id"), "near-groups")
     # The numbers that stay are combined before they move; a hot group is one row per task.
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("m"))
-    gone = grouped.join(stay.select("root", F.col("m.row_no").alias("first")), "root").filter(
+    gone = grouped.hint("merge").join(stay.select("root", F.col("m.row_no").alias("first")), "root").filter(
         "row_no <> first").select(F.col("row_no").alias("gone"))
     return without(rows, number, gone)
